@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, packing, simhash, token_counts
+from panelspark.llm import bpe, langid, line_dedup, mixing, packing, quality, simhash, token_counts, topk
 from panelspark.registry import Registry
 
 REGISTRY = Registry()
@@ -35,3 +35,54 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     packed = packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packed.withColumn("ids", F.sha2("ids", 256)).withColumnRenamed("ids", "ids_sha256")
+
+
+@REGISTRY.query("op8_mixing", f"SELECT doc_id, source, mix_epoch_ AS epoch FROM ({mixing.sql()})")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "source", F.col("mix_epoch_").alias("epoch"))
+
+
+@REGISTRY.query("op9_line_dedup", f"SELECT doc_id, text, n_chars FROM ({line_dedup.sql()})")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_chars")
+
+
+def _learned(docs: DataFrame, parts: int, part: int) -> DataFrame:
+    return docs.where(~langid.held_out("doc_id", parts, part))
+
+
+@REGISTRY.query("op4_langid")
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = langid.fit(_learned(docs, 4, 2))
+    told = langid.predict(docs, net, ["doc_id"])
+    return told.select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@REGISTRY.query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    space = quality.fit(_learned(docs, 3, 1), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    told = quality.predict(docs, space, ["doc_id"])
+    return told.select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@REGISTRY.query("op3_topk", OP3_SQL)
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
