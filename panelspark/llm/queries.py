@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, langid, line_dedup, mixing, packing, quality, simhash, token_counts, topk
+from panelspark.llm import bpe, langid, line_dedup, mixing, nn_descent, packing, quality, simhash, token_counts, topk
 from panelspark.registry import Registry
 
 REGISTRY = Registry()
@@ -86,3 +86,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@REGISTRY.query("op10_nn_descent")
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
