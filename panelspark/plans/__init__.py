@@ -1,0 +1,10 @@
+"""Queries on the panel, by subject. Importing this package registers them all."""
+
+import importlib
+
+from panelspark.plans.catalogue import REGISTRY
+
+for _subject in ("window_queries", "quality_queries"):
+    importlib.import_module(f"panelspark.plans.{_subject}")
+
+__all__ = ["REGISTRY"]

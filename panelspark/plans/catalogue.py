@@ -1,4 +1,4 @@
-"""All panel queries, gathered from the query modules of this package."""
+"""All panel queries: the registry that the query modules fill."""
 
 from __future__ import annotations
 
