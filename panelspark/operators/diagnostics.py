@@ -13,6 +13,10 @@ from panelspark.functions.window import div
 from panelspark.operators.buckets import daily_quintile
 
 
+#: A correlation up to this is rounding noise around zero.
+NOISE = 1e-12
+
+
 def guarded_corr(x: Column, y: Column) -> Column:
     """Correlation as an aggregate over complete pairs; NULL where either is constant."""
     both = x.isNotNull() & y.isNotNull()
@@ -106,7 +110,7 @@ def ic_summary(daily: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, share of positive days, population deviation (over more than one day), their ratio, and days."""
     std = F.when(F.count("ic") > 1, F.stddev_pop("ic"))
     return daily.groupBy(*by).agg(
-        F.avg("ic").alias("ic_mean"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"), std.alias("ic_std"),
+        F.avg("ic").alias("ic_mean"), F.avg((F.col("ic") > NOISE).cast("double")).alias("ic_positive"), std.alias("ic_std"),
         div(F.avg("ic"), std).alias("icir"), F.count("ic").alias("days"),
     )
 
