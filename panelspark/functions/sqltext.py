@@ -71,7 +71,7 @@ def cov(x: str, y: str, n: int) -> str:
 
 
 def corr(x: str, y: str, n: int) -> str:
-    return div(cov(x, y, n), f"({std(x, n)} * {std(y, n)})")
+    return f"round({div(cov(x, y, n), f'({std(x, n)} * {std(y, n)})')}, 10)"
 
 
 def corr_zero(x: str, y: str, n: int) -> str:

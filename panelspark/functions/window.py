@@ -91,8 +91,8 @@ def rolling_cov(x: Column, y: Column, n: int) -> Column:
 
 
 def rolling_corr(x: Column, y: Column, n: int) -> Column:
-    """NULL for a constant window."""
-    return div(rolling_cov(x, y, n), rolling_std(x, n) * rolling_std(y, n))
+    """NULL for a constant window. Ten digits, so that windows that correlate alike rank alike."""
+    return F.round(div(rolling_cov(x, y, n), rolling_std(x, n) * rolling_std(y, n)), 10)
 
 
 def rolling_corr_zero(x: Column, y: Column, n: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
 from panelspark.operators import diagnostics as d
-from panelspark.plans import sqltext as q
+from panelspark.functions import sqltext as q
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
 from panelspark.sources.panel import BARS_SQL, bars, with_sql

@@ -147,22 +147,23 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instrument, buy_date, sell_date, quantity, buy_price, sell_price, pnl): one round trip an order, open if it is."""
     day = F.col("o_orderdate").cast("date")
     sell = F.when(F.col("o_orderstatus") != "O", F.date_add(day, (1 + F.col("o_orderkey") % 30).cast("int")))
-    price = F.round(F.col("o_totalprice") / 100, 4)
-    out = F.when(F.col("o_orderstatus") != "O", F.round(F.col("o_totalprice") / 100 * (1 + (F.col("o_orderkey") % 7 - 3) / 100), 4))
+    price = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("double") / 10000
+    out = F.when(F.col("o_orderstatus") != "O", F.floor(F.col("o_totalprice") * (100 + F.col("o_orderkey") % 7 - 3)).cast("double") / 10000)
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("trade_id"), (F.col("o_custkey") % 100).alias("instrument"), day.alias("buy_date"), sell.alias("sell_date"),
-        F.lit(100).alias("quantity"), price.alias("buy_price"), out.alias("sell_price"), F.round((out - price) * 100, 2).alias("pnl"),
+        F.lit(100).alias("quantity"), price.alias("buy_price"), out.alias("sell_price"), (F.floor((out - price) * 10000 + 0.5).cast("double") / 100).alias("pnl"),
     )
 
 
 TRADES_SQL = """
+priced_trades AS (
+  SELECT *, floor(o_totalprice * 100 + 0.5) / 10000 AS bought, CASE WHEN o_orderstatus <> 'O' THEN floor(o_totalprice * (100 + o_orderkey % 7 - 3)) / 10000 END AS sold FROM orders
+),
 trades AS (
   SELECT o_orderkey AS trade_id, o_custkey % 100 AS instrument, o_orderdate::DATE AS buy_date,
     CASE WHEN o_orderstatus <> 'O' THEN o_orderdate::DATE + (1 + o_orderkey % 30)::INTEGER END AS sell_date, 100 AS quantity,
-    round(o_totalprice / 100, 4) AS buy_price,
-    CASE WHEN o_orderstatus <> 'O' THEN round(o_totalprice / 100 * (1 + (o_orderkey % 7 - 3) / 100), 4) END AS sell_price,
-    CASE WHEN o_orderstatus <> 'O' THEN round((round(o_totalprice / 100 * (1 + (o_orderkey % 7 - 3) / 100), 4) - round(o_totalprice / 100, 4)) * 100, 2) END AS pnl
-  FROM orders
+    bought AS buy_price, sold AS sell_price, floor((sold - bought) * 10000 + 0.5) / 100 AS pnl
+  FROM priced_trades
 )"""
 
 
@@ -174,7 +175,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string")), F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string"))).alias("factor_versions"),
         F.col("o_orderpriority").alias("weighting"),
     )
-    metrics = F.struct(F.round(F.col("o_totalprice") / 100000 - 1, 6).alias("sharpe"), F.round(F.col("o_totalprice") / 1000000 - 0.1, 6).alias("excess_return"))
+    metrics = F.struct(F.round(F.floor("o_totalprice") / 100000 - 1, 6).alias("sharpe"), F.round(F.floor("o_totalprice") / 1000000 - 0.1, 6).alias("excess_return"))
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("date").alias("finished"), status.alias("status"), F.to_json(config).alias("config_json"), F.to_json(metrics).alias("metrics_json")
@@ -185,7 +186,7 @@ RUNS_SQL = """
 runs AS (
   SELECT o_orderkey AS run_id, o_orderdate::DATE AS finished, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status,
     year(o_orderdate) AS year, o_custkey % 5 + 1 AS top_n, list_sort(list_distinct(['f' || (o_custkey % 3), 'f' || (o_orderkey % 3)])) AS factors,
-    o_orderpriority AS weighting, round(o_totalprice / 100000 - 1, 6) AS sharpe, round(o_totalprice / 1000000 - 0.1, 6) AS excess_return
+    o_orderpriority AS weighting, round(floor(o_totalprice) / 100000 - 1, 6) AS sharpe, round(floor(o_totalprice) / 1000000 - 0.1, 6) AS excess_return
   FROM orders
 )"""
 
