@@ -2,8 +2,10 @@
 
 Spark and SQL both ask for a projection between a window and a window over it.
 A Series is an expression with the number of projections that must come before
-it; using a windowed Series inside a window puts it into the next projection
-first. The same formula gives Columns for Spark and text for the SQL check.
+it. Every window call becomes a named column of the first projection that can
+hold it, so that calls of one level share their sorts and a call that several
+formulas use is computed once. The same formula gives Columns for Spark and text
+for the SQL check.
 """
 
 from __future__ import annotations
@@ -163,6 +165,6 @@ class Series:
             form = function(base.form, *[a.form if isinstance(a, Series) else a for a in others])
             key = f"{base.key}.{name}({', '.join(a.key if isinstance(a, Series) else repr(a) for a in others)})"
             level = max([base.level, *(a.level for a in others if isinstance(a, Series))])
-            return Series(self.stages, form, key, level, True)
+            return self.stages.settled(Series(self.stages, form, key, level, True))
 
         return call

@@ -73,8 +73,8 @@ def rolling_sum(x: Column, n: int) -> Column:
 def ts_rank(x: Column, n: int) -> Column:
     """Average rank of the last value among the window's values, over n. Missing values are not counted; NULL if the last is."""
     held = F.collect_list(x).over(last_n(n))
-    less, equal = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.count(F.lit(1)).over(last_n(n)) == n), (less + (equal + 1) / 2) / n)
+    below = F.aggregate(held, F.lit(0.5), lambda total, v: total + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
+    return F.when(x.isNotNull() & (F.count(F.lit(1)).over(last_n(n)) == n), below / n)
 
 
 def ts_zscore(x: Column, n: int) -> Column:
