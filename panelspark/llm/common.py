@@ -30,6 +30,19 @@ def is_finite(vector: str) -> Column:
     return F.coalesce(x.isNotNull() & ~bad, F.lit(False))
 
 
+def hash_sample(rows: DataFrame, by: Column, n: int) -> list:
+    """At most n rows, those with the smallest hash of `by`; the columns of rows reach the driver for about 2n rows at most.
+
+    Rows far above the n-th smallest hash are filtered out before they are
+    ordered; with many rows the hashes are spread evenly enough for that.
+    """
+    total = rows.count()
+    marked = rows.withColumn("order_", F.shiftrightunsigned(F.xxhash64(by), 1))
+    if total > 4 * n:
+        marked = marked.where(F.col("order_") < int(2 * n / total * 2**63))
+    return marked.orderBy("order_").limit(n).collect()
+
+
 def mapped(df: DataFrame, schema: str, block: Callable[[pa.RecordBatch], dict], rows: int = 2048) -> DataFrame:
     """Apply a function of a record batch (at most `rows` rows) that returns columns by name."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mapped, text_bytes
+from panelspark.llm.common import hash_sample, mapped, text_bytes
 
 WINDOW = 256
 #: Labelled rows that a network is trained on, at most; so many windows of each.
@@ -90,22 +90,21 @@ class ByteConvNet:
                 np.add.at(d_embed, x[np.arange(n)[:, None], at + w], d_col[:, :, w * dims : (w + 1) * dims])
         return float(loss), [d_embed, *d_filters, *d_bias, hidden.T @ p, p.sum(0)]
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.005, seed: int = 7) -> None:
-        """Adam; the same data and seed give the same network."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 1_000, batch: int = 64, rate: float = 0.005, seed: int = 7) -> None:
+        """Adam, for as many steps whatever the number of windows; the same data and seed give the same network."""
         rng = np.random.default_rng(seed)
         m = [np.zeros_like(p) for p in self.parameters()]
         v = [np.zeros_like(p) for p in self.parameters()]
-        t = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for start in range(0, len(x), batch):
-                own = order[start : start + batch]
-                _, grads = self.step(x[own], y[own])
-                t += 1
-                for p, g, a, b in zip(self.parameters(), grads, m, v, strict=True):
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+        order = np.empty(0, dtype=np.int64)
+        for t in range(1, steps + 1):
+            if len(order) < min(batch, len(x)):
+                order = np.concatenate([order, rng.permutation(len(x))])
+            own, order = order[:batch], order[batch:]
+            _, grads = self.step(x[own], y[own])
+            for p, g, a, b in zip(self.parameters(), grads, m, v, strict=True):
+                a += 0.1 * (g - a)
+                b += 0.001 * (g * g - b)
+                p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
 
     def tables(self) -> list[list[np.ndarray]]:
         """For each width, what byte pairs (or a last single byte) add to the filters: lookups replace the products."""
@@ -143,16 +142,16 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> ByteConvNet | None:
-    """A network trained on at most `sample_rows` labelled rows, chosen by hash; None without any.
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> ByteConvNet | None:
+    """A network trained on at most `sample_rows` labelled rows, chosen by a hash of their ids; None without any.
 
     Only the first bytes of up to SAMPLE_WINDOWS windows of a sampled text are
     fetched: this bounds what reaches the driver. Prediction reads whole texts.
     """
     given = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    order = given.orderBy(F.xxhash64(text_col), label_col).limit(sample_rows)
-    rows = order.select(F.left(text_col, F.lit(SAMPLE_WINDOWS * WINDOW)), label_col).collect()
-    rows = [(t.encode()[: SAMPLE_WINDOWS * WINDOW], label) for t, label in rows if LETTER.search(t)]
+    starts = given.select(F.left(text_col, F.lit(SAMPLE_WINDOWS * WINDOW)).alias("start_"), F.col(label_col).alias("label_"), F.col(id_col).alias("id_"))
+    rows = hash_sample(starts, F.col("id_"), sample_rows)
+    rows = [(r["start_"].encode()[: SAMPLE_WINDOWS * WINDOW], r["label_"]) for r in rows if LETTER.search(r["start_"])]
     if not rows:
         return None
     labels = sorted({label for _, label in rows})

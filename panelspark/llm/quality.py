@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mapped, text_bytes
+from panelspark.llm.common import hash_sample, mapped, text_bytes
 
 #: Labelled rows in the space, at most, and the bytes of each sampled text that reach the driver.
 SAMPLE_ROWS = 4_000
@@ -99,7 +99,7 @@ class LabelledSpace:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> LabelledSpace | None:
-    """The space of at most `sample_rows` labelled documents, half of either label where there are enough, chosen by hash.
+    """The space of at most `sample_rows` labelled documents, half of either label where there are enough, chosen by a hash of their ids.
 
     Of a sampled text, the first SAMPLE_BYTES bytes reach the driver. Rows with
     a null text or label are left out; None if nothing is left.
@@ -108,8 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     given = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text_")).join(marked, id_col)
     rows = []
     for label in (0, 1):
-        some = given.where(F.col("label_") == label).select("label_", F.xxhash64("text_").alias("order_"), F.left("text_", F.lit(SAMPLE_BYTES)).alias("start_"))
-        rows += some.orderBy("order_").limit(sample_rows // 2).collect()
+        some = given.where(F.col("label_") == label).select("label_", F.col(id_col).alias("id_"), F.left("text_", F.lit(SAMPLE_BYTES)).alias("start_"))
+        rows += hash_sample(some, F.col("id_"), sample_rows // 2)
     if not rows:
         return None
     return LabelledSpace.fit([r["start_"].encode()[:SAMPLE_BYTES] for r in rows], [int(r["label_"]) for r in rows])
