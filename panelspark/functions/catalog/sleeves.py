@@ -66,3 +66,21 @@ def masked_sleeves(s: Stages, core: dict[str, float]) -> dict[str, Series]:
         "again_in_pool": sleeve(parts, core, again_in=open_pool),
         "cut_quiet": sleeve(parts, core, mask=parts["quiet"] - 0.2),
     }
+
+
+def index_sleeves(s: Stages, core: dict[str, float]) -> dict[str, Series]:
+    """Sleeves that need an as-of index: columns index_weight and tenure, NULL outside of it.
+
+    Members only, members ranked again, a weight floor, and tilts by weight and by tenure.
+    """
+    parts = legs(s)
+    base = sleeve(parts, core)
+    weight, tenure = s.column("index_weight"), s.column("tenure")
+    return {
+        "index_members": base.where(weight),
+        "index_again": base.where(weight).cs_rank(),
+        "index_weight_floor": base.where(weight.cs_rank() - 0.5),
+        "index_weight_tilt": base + 0.5 * weight.cs_rank(),
+        "index_tenure_tilt": base + 0.25 * tenure.cs_rank(),
+        "index_two_snapshots": base.where(tenure - 1),
+    }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
 from panelspark.functions import sqltext as q
-from panelspark.operators import archive, books, labels, models, signals
+from panelspark.operators import archive, books, experts, labels, models, signals
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
 from panelspark.plans.diagnostic_queries import SCORED_SQL, scored
@@ -282,3 +282,31 @@ def stream_first_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.event_stream(spark, f"{sf_dir}/events.parquet*").select("user_id", F.col("ts").cast("date").alias("day"), "ts")
     first = jobs.first_of_key(rows, ("user_id", "day"), "ts", "40 days").select("user_id", "day")
     return jobs.run_to_memory(first, f"first_{uuid.uuid4().hex}")
+
+
+EXPERT_SQL = """
+bench AS (SELECT date, avg(label) AS ret FROM scored WHERE label IS NOT NULL GROUP BY 1),
+experts AS (SELECT CASE WHEN st_status = 0 THEN 'plain' ELSE 'flagged' END AS expert, date, avg(label) AS ret FROM scored WHERE label IS NOT NULL GROUP BY 1, 2),
+rewards AS (SELECT e.expert, e.date, e.ret - b.ret AS reward FROM experts e JOIN bench b USING (date) UNION ALL SELECT 'cash', date, -ret FROM bench)"""
+
+
+def _experts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    held = scored(spark, sf_dir).where(F.col("label").isNotNull())
+    kind = F.when(F.col("st_status") == 0, "plain").otherwise("flagged")
+    return held.groupBy(kind.alias("expert"), "date").agg(F.avg("label").alias("ret")), held.groupBy("date").agg(F.avg("label").alias("ret"))
+
+
+@REGISTRY.query("expert_transitions", with_sql(BARS_SQL, SCORED_SQL, EXPERT_SQL, select="SELECT expert, date, round(reward, 6) + 0.0 AS reward FROM rewards"))
+def expert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(experts.transitions(*_experts(spark, sf_dir)), ("expert", "date"))
+
+
+@REGISTRY.query(
+    "expert_state",
+    with_sql(BARS_SQL, SCORED_SQL, EXPERT_SQL,
+        "market AS (SELECT date, avg(ret) OVER w AS bench_mean, coalesce(stddev_samp(ret) OVER w, 0) AS bench_vol FROM bench WINDOW w AS (ORDER BY date ROWS 19 PRECEDING))",
+        "own AS (SELECT expert, date, avg(reward) OVER (PARTITION BY expert ORDER BY date ROWS 19 PRECEDING) AS excess_mean FROM rewards)",
+        select="SELECT m.date, n.expert, round(bench_mean, 6) + 0.0 AS bench_mean, round(bench_vol, 6) + 0.0 AS bench_vol, round(coalesce(excess_mean, 0), 6) + 0.0 AS excess_mean FROM market m CROSS JOIN (SELECT DISTINCT expert FROM rewards) n LEFT JOIN own o ON o.expert = n.expert AND o.date = m.date"),
+)
+def expert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(experts.state_features(*_experts(spark, sf_dir)), ("date", "expert"))

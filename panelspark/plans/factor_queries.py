@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from panelspark.functions import window as w
 from panelspark.functions.catalog import alpha158, alpha191, pack, sleeves
 from panelspark.functions.series import Series, Stages
+from panelspark.operators import universe
 from panelspark.plans.catalogue import REGISTRY
-from panelspark.sources.panel import BARS_SQL, MONEYFLOW_SQL, bars, moneyflow, with_sql
+from panelspark.sources.panel import BARS_SQL, MEMBERSHIP_SQL, MONEYFLOW_SQL, bars, membership, moneyflow, with_sql
 
 TIMED_SQL = "timed AS (SELECT *, (row_number() OVER (PARTITION BY instrument ORDER BY date))::DOUBLE AS t FROM bars)"
 FLOWS_SQL = "flows AS (SELECT * FROM bars LEFT JOIN moneyflow USING (instrument, date))"
@@ -47,3 +48,27 @@ _catalogue("sleeves_base", sleeves.base_sleeves, bars, "bars")
 CORE = {"price60": 1, "mv": 1, "div": 1, "cheap": 1.5}
 _catalogue("sleeves_swept", lambda s: sleeves.weight_sweep(s, CORE, "cheap", (0.25, 0.5, 0.75, 1.25, 1.5, 2.0)) | sleeves.weight_sweep(s, CORE, "range", (0.25, 0.5)), bars, "bars")
 _catalogue("sleeves_masked", lambda s: sleeves.masked_sleeves(s, CORE), bars, "bars")
+
+
+INDEX_PANEL_SQL = """
+snapshots AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS n FROM (SELECT DISTINCT snapshot FROM membership WHERE index_code = '2-HIGH')),
+stays AS (SELECT m.*, n - row_number() OVER (PARTITION BY con_code ORDER BY snapshot) AS island FROM membership m JOIN snapshots USING (snapshot) WHERE index_code = '2-HIGH'),
+tenured AS (SELECT con_code, snapshot, weight, (row_number() OVER (PARTITION BY con_code, island ORDER BY snapshot))::DOUBLE AS tenure FROM stays),
+last_seen AS (SELECT date, max(snapshot) AS snapshot FROM (SELECT DISTINCT date FROM bars) JOIN snapshots ON snapshot <= date GROUP BY 1),
+indexed AS (
+  SELECT b.*, t.weight AS index_weight, t.tenure FROM bars b LEFT JOIN last_seen USING (date) LEFT JOIN tenured t ON t.snapshot = last_seen.snapshot AND t.con_code = b.instrument
+)"""
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the as-of weight and tenure of one index."""
+    panel = bars(spark, sf_dir)
+    own = membership(spark, sf_dir).where(F.col("index_code") == "2-HIGH")
+    stayed = universe.tenure(own).select("snapshot", "con_code", F.col("tenure").cast("double").alias("tenure"))
+    held = own.join(stayed, ["snapshot", "con_code"])
+    days = universe.last_snapshots(panel.select("date").distinct(), own)
+    now = days.join(held, "snapshot").select("date", F.col("con_code").alias("instrument"), F.col("weight").alias("index_weight"), "tenure")
+    return panel.join(now, ["date", "instrument"], "left")
+
+
+_catalogue("sleeves_index", lambda s: sleeves.index_sleeves(s, CORE), indexed, "indexed", MEMBERSHIP_SQL, INDEX_PANEL_SQL)
