@@ -70,8 +70,12 @@ def cov(x: str, y: str, n: int) -> str:
     return f"(CASE WHEN count({both}) OVER {last_n(n)} = {n} THEN covar_samp({x}, {y}) OVER {last_n(n)} END)"
 
 
+def spread(x: str, n: int) -> str:
+    return f"(CASE WHEN {std(x, n)} > 1e-9 * abs(avg({x}) OVER {last_n(n)}) THEN {std(x, n)} END)"
+
+
 def corr(x: str, y: str, n: int) -> str:
-    return f"round({div(cov(x, y, n), f'({std(x, n)} * {std(y, n)})')}, 10)"
+    return f"round({div(cov(x, y, n), f'({spread(x, n)} * {spread(y, n)})')}, 6)"
 
 
 def corr_zero(x: str, y: str, n: int) -> str:

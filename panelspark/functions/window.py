@@ -90,9 +90,15 @@ def rolling_cov(x: Column, y: Column, n: int) -> Column:
     return F.when(F.count(both).over(last_n(n)) == n, F.covar_samp(x, y).over(last_n(n)))
 
 
+def _spread(x: Column, n: int) -> Column:
+    """rolling_std, NULL where it is but the rounding error of equal values."""
+    std = rolling_std(x, n)
+    return F.when(std > 1e-9 * F.abs(F.avg(x).over(last_n(n))), std)
+
+
 def rolling_corr(x: Column, y: Column, n: int) -> Column:
-    """NULL for a constant window. Ten digits, so that windows that correlate alike rank alike."""
-    return F.round(div(rolling_cov(x, y, n), rolling_std(x, n) * rolling_std(y, n)), 10)
+    """NULL for a window that is constant up to rounding. Six digits, so that windows that correlate alike rank alike."""
+    return F.round(div(rolling_cov(x, y, n), _spread(x, n) * _spread(y, n)), 6)
 
 
 def rolling_corr_zero(x: Column, y: Column, n: int) -> Column:
