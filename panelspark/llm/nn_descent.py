@@ -26,6 +26,10 @@ from panelspark.llm.common import is_finite, saved
 from panelspark.llm.components import connected_components
 
 
+#: Sizes of components are broadcast only up to this count.
+BROADCAST_ROOTS = 100_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """threshold: least cosine of a link. neighbours, largest: list sizes, first and at most. trees, leaf: of a start.
@@ -47,6 +51,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    for batch in batches:
+        v = batch.column("v")
+        flat, size = np.asarray(v.flatten().to_numpy(zero_copy_only=False), dtype=np.float64), np.diff(v.offsets.to_numpy())
+        start = np.cumsum(size) - size
+        if len(flat):
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), start), size)
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, start)), size) + 0.0
+        unit = pa.ListArray.from_arrays(pa.array(np.append(start, len(flat)), pa.int32()), pa.array(flat, pa.float64()))
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": unit, "label": batch.column("label")})
+
+
 def _runs(key: np.ndarray) -> np.ndarray:
     """Begins of the runs of equal keys, and the end."""
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -229,8 +246,8 @@ def _completed(full: DataFrame, nodes: DataFrame, roots: DataFrame, s: Settings,
     named = roots.withColumnRenamed("node", "id")
     crowded = named.join(full, "id", "left_semi").select("root").distinct()
     members = nodes.join(named.join(crowded, "root", "left_semi"), "id")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = saved(members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    dealt = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROOTS else sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = dealt.select("root", "id", "v", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # A row asks in the tile (own, other) and answers in the tile (other, own).
     asks = tiles.select("root", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "id", "v", "copies")
@@ -260,12 +277,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vectors are equal. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
     able = is_finite("v") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y))))
-    good = rows.where(able).withColumn("v", scaled).withColumn("norm", norm)
-    good = good.select("id", "label", F.transform("v", lambda x: x / F.col("norm") + F.lit(0.0)).alias("v"))
+    good = saved(rows.where(able).mapInArrow(_unit, f"id long, v array<double>, label {rows.schema['label'].dataType.simpleString()}"))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     nodes = saved(classes.withColumn("copies", F.col("copies").cast("long")))
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
