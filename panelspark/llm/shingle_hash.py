@@ -95,16 +95,19 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np
     return raw[keep], first[head], last[head + size[head] - 1] - first[head], text[head]
 
 
-def fingerprints(texts: list[bytes], words: int, bits: int) -> np.ndarray:
+def fingerprints(texts: list[bytes], words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Majority fingerprint of every text, big-endian bytes: bit 0 of the first hash is the last bit of word 0.
 
     A bit is 1 where over half of the shingle hashes, repeats included, have it.
     Beyond 64 bits, further hashes are mixed from the XXH64 of the shingle.
+    The second array holds each bit's margin, from the first byte's high bit on:
+    how far its count is from half (times two); the smallest flip first when a text is edited.
     """
     out = np.zeros((len(texts), bits // 64, 8), dtype=np.uint8)
+    margin = np.zeros((len(texts), bits // 64, 8, 8), dtype=np.int32)
     data, start, length, text = shingles(texts, words)
     if not len(start):
-        return out.reshape(len(texts), -1)
+        return out.reshape(len(texts), -1), margin.reshape(len(texts), -1)
     base = xxh64(data, start, length)
     count = np.bincount(text, minlength=len(texts))
     some = np.flatnonzero(count)
@@ -122,10 +125,11 @@ def fingerprints(texts: list[bytes], words: int, bits: int) -> np.ndarray:
                 h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 h = h ^ (h >> np.uint64(31))
-            ones = np.empty((len(some), 8, 8), dtype=bool)
+            over = np.empty((len(some), 8, 8), dtype=np.int32)
             for k in range(8):
                 lanes = np.add.reduceat((h >> np.uint64(k)) & LANES, block_start)
                 byte = lanes.view(np.uint8).reshape(-1, 8).astype(np.uint32)
-                ones[:, :, k] = np.add.reduceat(byte, text_start, axis=0) * 2 > count[some, None]
-            out[some, w] = np.packbits(ones, axis=2, bitorder="little")[:, ::-1, 0]
-    return out.reshape(len(texts), -1)
+                over[:, ::-1, 7 - k] = np.add.reduceat(byte, text_start, axis=0) * 2 - count[some, None]
+            out[some, w] = np.packbits(over > 0, axis=2)[:, :, 0]
+            margin[some, w] = np.abs(over)
+    return out.reshape(len(texts), -1), margin.reshape(len(texts), -1)

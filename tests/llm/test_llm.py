@@ -103,6 +103,33 @@ def test_wide_plan_finds_similar_texts_and_leaves_others(spark):
     assert all(got[i] == i for i in range(30)) and sum(got[30 + i] == i for i in range(30)) >= 29
 
 
+def test_wide_plan_keeps_its_recall_near_the_threshold(spark):
+    """Pairs at Jaccard 0.81 of 100 words; brute force over the same fingerprints says which are within the distance."""
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(300)]
+    edited = [t[:30] + ["one"] + t[31:60] + ["two"] + t[61:] for t in base]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + edited)], "doc_id long, text string")
+    rows = {r["node"]: r for r in simhash.near_duplicates(frame, plan=simhash.Plan.near()).collect()}
+    bits = {i: int.from_bytes(r["fp"], "big") for i, r in rows.items()}
+    close = [i for i in range(300) if (bits[i] ^ bits[300 + i]).bit_count() <= 90]
+    found = [i for i in close if rows[300 + i]["component"] == i]
+    assert len(close) >= 0.9 * 300 and len(found) >= 0.94 * len(close)
+    assert all(rows[i]["component"] == i for i in range(300))
+
+
+def test_probed_keys_flip_the_weakest_bits(spark):
+    plan = simhash.Plan.near()
+    text = " ".join(f"w{i % 37}" for i in range(90))
+    prints = simhash.with_fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", plan)
+    fp, margin = shingle_hash.fingerprints([text.encode()], plan.words, plan.bits)
+    keys = [r["key"] for r in simhash._probed(prints, plan).orderBy("which").collect()]
+    assert len(keys) == 16 * 3
+    for word in range(16):
+        lead = int.from_bytes(fp[0].tobytes()[4 * word : 4 * word + 4], "big") >> 12
+        weak = sorted(range(20), key=lambda p: (margin[0, 32 * word + p], p))[:2]
+        assert keys[3 * word : 3 * word + 3] == [(word << 20) | lead ^ flip for flip in (0, 1 << 19 - weak[0], 1 << 19 - weak[1])]
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
