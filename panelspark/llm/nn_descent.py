@@ -4,8 +4,10 @@
    times over; each leaf gives its rows their first neighbours.
 2. Descent: around every node, its neighbours and the nodes that have it as a
    neighbour meet; pairs that improve a list are kept, until few change.
-3. Lists that are full of links are enlarged and refined again; nodes that are
-   still full at the largest size are counted exactly against their component.
+3. Lists that are full of links are enlarged and refined again. A list holds
+   every link that was met until it has `largest` of them. Components that hold
+   a node whose list is then full are compared exactly, in blocks, with all
+   rows of their label that a bound on angles does not rule out.
 4. Audit: a fixed number of nodes is compared with all rows; if too few of
    their links were found, another start is added and the descent repeated.
 Links are the pairs at or above the threshold.
@@ -91,16 +93,23 @@ def _edges(a: list, b: list, cosine: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": join(a, pa.int64()), "b": join(b, pa.int64()), "cosine": join(cosine, pa.float64())})
 
 
-def _best(ids: np.ndarray, cosine: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of a cosine matrix, the k best others above the row's floor."""
+def _best(ids: np.ndarray, cosine: np.ndarray, floor: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of a cosine matrix, the k best others above the row's floor; the `largest` best where so many are links."""
     n = len(ids)
     cosine = cosine.copy()
     cosine[ids[:, None] == ids[None]] = -2
-    k = min(k, n - 1)
+    k, most = min(k, n - 1), min(max(k, s.largest), n - 1)
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-cosine, axis=1)[:, :k]
     value = np.take_along_axis(cosine, near, 1)
     row, at = np.nonzero(value > floor[:, None])
-    return ids[row], ids[near[row, at]], value[row, at]
+    a, b, found = ids[row], ids[near[row, at]], value[row, at]
+    many = np.flatnonzero((cosine >= s.threshold).sum(1) > k)
+    if len(many):
+        near = np.argpartition(-cosine[many], most - 1, axis=1)[:, :most]
+        value = np.take_along_axis(cosine[many], near, 1)
+        row, at = np.nonzero((value >= s.threshold) & (value > floor[many][:, None]))
+        a, b, found = np.append(a, ids[many[row]]), np.append(b, ids[near[row, at]]), np.append(found, value[row, at])
+    return a, b, found
 
 
 def _start(nodes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
@@ -155,7 +164,7 @@ def _start(nodes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
                     end = min(at + 2 * s.leaf, high)  # parts overlap by half
                     if end - at > 1:
                         x = _matrix(lists.slice(at, end - at))
-                        found = _best(ids[at:end], x @ x.T, np.full(end - at, -1.5), s.neighbours)
+                        found = _best(ids[at:end], x @ x.T, np.full(end - at, -1.5), s.neighbours, s)
                         for out, part in zip((a, b, cosine), found, strict=True):
                             out.append(part)
                     if end == high:
@@ -165,19 +174,24 @@ def _start(nodes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
     return ordered.mapInArrow(meet, "a long, b long, cosine double")
 
 
-def _lists(edges: DataFrame, size: int | Column) -> DataFrame:
-    """The best distinct neighbours of each node, as a table (a, b, cosine)."""
+def _lists(edges: DataFrame, k: int, s: Settings) -> DataFrame:
+    """The k best distinct neighbours of each node and its links, `largest` at most, as a table (a, b, cosine, rank)."""
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     distinct = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    return distinct.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).drop("rank")
+    ranked = distinct.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(k, s.largest))
+    return ranked.where((F.col("rank") <= k) | (F.col("cosine") >= s.threshold))
 
 
 def _descend(lists: DataFrame, nodes: DataFrame, k: int, s: Settings) -> DataFrame:
     """One round: neighbours of neighbours meet around their common node; better pairs join the lists."""
     back = Window.partitionBy("b").orderBy(F.desc("cosine"), "a")
-    reverse = lists.withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= k)
-    around = lists.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionByName(reverse.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
-    floor = lists.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-1.5)).alias("floor"))
+    top = lists.where(F.col("rank") <= k)
+    reverse = top.withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= k)
+    around = top.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionByName(reverse.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
+    # A list of fewer than `largest` links still takes every link.
+    full = F.count_if(F.col("cosine") >= s.threshold) >= s.largest
+    floor = F.when(full, F.min("cosine")).when(F.count("*") >= k, F.least(F.min("cosine"), F.lit(s.threshold - 1e-12))).otherwise(F.lit(-1.5))
+    floor = lists.groupBy(F.col("a").alias("id")).agg(floor.alias("floor"))
     filled = nodes.select("id", "v").join(floor, "id", "left").select("id", "v", F.coalesce("floor", F.lit(-1.5)).alias("floor"))
     met = around.join(filled, "id").repartition("hub").sortWithinPartitions("hub", "id")
 
@@ -190,13 +204,13 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int, s: Settings) -> DataFra
             for low, high in zip(bounds, bounds[1:], strict=False):
                 if high - low > 1:
                     own = x[low:high] if x is not None else _matrix(batch.column("v").slice(low, high - low))
-                    found = _best(ids[low:high], own @ own.T, floor[low:high], k)
+                    found = _best(ids[low:high], own @ own.T, floor[low:high], k, s)
                     for out, part in zip((a, b, cosine), found, strict=True):
                         out.append(part)
             yield _edges(a, b, cosine)
 
     better = met.select("hub", "id", "v", "floor").mapInArrow(meet, "a long, b long, cosine double")
-    return saved(_lists(lists.unionByName(better), k))
+    return saved(_lists(lists.drop("rank").unionByName(better), k, s))
 
 
 def _links(lists: DataFrame, threshold: float) -> DataFrame:
@@ -237,31 +251,89 @@ def _audit(nodes: DataFrame, links: DataFrame, s: Settings) -> float:
     return found / there if there else 1.0
 
 
-def _completed(full: DataFrame, nodes: DataFrame, roots: DataFrame, s: Settings, block: int = 512) -> DataFrame:
-    """(id, copies): exact sums over linked nodes for all nodes of components that hold a node of `full`.
+def _few(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= BROADCAST_ROOTS else small
 
-    A component is dealt into blocks by hash; every pair of blocks meets in one
-    task, which returns sums, not pairs.
+
+def _candidates(members: DataFrame, nodes: DataFrame, s: Settings, block: int = 2048) -> DataFrame:
+    """(root, id, v, copies): all nodes of a component's label, but for those that can't link with any of its members.
+
+    By the triangle inequality of angles a node that links with a member is at
+    most the radius of the component and the angle of a link away from its root.
     """
-    named = roots.withColumnRenamed("node", "id")
-    crowded = named.join(full, "id", "left_semi").select("root").distinct()
-    members = nodes.join(named.join(crowded, "root", "left_semi"), "id")
-    sizes = saved(members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    dealt = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROOTS else sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = dealt.select("root", "id", "v", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # A row asks in the tile (own, other) and answers in the tile (other, own).
-    asks = tiles.select("root", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "id", "v", "copies")
-    answers = tiles.select("root", F.col("other").alias("x"), F.col("own").alias("y"), F.lit(False).alias("asks"), "id", "v", "copies")
+    pivots = members.where(F.col("id") == F.col("root")).select("root", "label", F.col("v").alias("pivot"))
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v, pivot = (batch.column(c) for c in ("v", "pivot"))
+                product = np.asarray(v.flatten().to_numpy(zero_copy_only=False)) * np.asarray(pivot.flatten().to_numpy(zero_copy_only=False))
+                size = np.diff(v.offsets.to_numpy())
+                cosine = np.add.reduceat(product, np.cumsum(size) - size)
+                yield pa.RecordBatch.from_pydict({"root": batch.column("root"), "cosine": pa.array(cosine, pa.float64())})
+
+    met = members.select("root", "v").join(_few(pivots.select("root", "pivot")), "root").mapInArrow(cosines, "root long, cosine double")
+    radius = met.groupBy("root").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("cosine")))).alias("radius"))
+    reach = F.cos(F.least(F.lit(math.pi), F.col("radius") + math.acos(s.threshold))) - 1e-6  # far above rounding
+    pivots = saved(pivots.join(radius, "root").select("label", F.size("pivot").alias("dim"), "root", "pivot", reach.alias("reach")))
+    # Every block of rows of a label meets every block of its pivots in one task.
+    sized = nodes.select("label", F.size("v").alias("dim"), "id", "v", "copies")
+    count = lambda t, name: t.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = _few(saved(count(sized, "row_blocks").join(count(pivots, "pivot_blocks"), ["label", "dim"])))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    rows = sized.join(blocks, ["label", "dim"]).select(
+        "label", "dim", place("id", "row_blocks").alias("x"), upto("pivot_blocks").alias("y"), F.lit(False).alias("asks"), "id", "v", "copies", F.lit(0.0).alias("reach")
+    )
+    asks = pivots.join(blocks, ["label", "dim"]).select(
+        "label", "dim", upto("row_blocks").alias("x"), place("root", "pivot_blocks").alias("y"), F.lit(True).alias("asks"),
+        F.col("root").alias("id"), F.col("pivot").alias("v"), F.lit(0).cast("long").alias("copies"), "reach",
+    )
+
+    def tile(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
+        x = _matrix(table.column("v").combine_chunks())
+        reach, ids = (table.column(c).combine_chunks().to_numpy() for c in ("reach", "id"))
+        pivot, row = np.nonzero(x[asks] @ x[~asks].T >= reach[asks][:, None])
+        found = table.select(["id", "v", "copies"]).take(pa.array(np.flatnonzero(~asks)[row]))
+        return found.add_column(0, "root", pa.array(ids[asks][pivot], pa.int64()))
+
+    return rows.unionByName(asks).groupBy("label", "dim", "x", "y").applyInArrow(tile, "root long, id long, v array<double>, copies long")
+
+
+def _compared(asks: DataFrame, answers: DataFrame, s: Settings, block: int = 512) -> DataFrame:
+    """(id, asks boolean, copies, mate) of the nodes that link, in parts: sums over all linked nodes of the other side, and a node of the same component.
+
+    Both sides (root, id, v, copies) are dealt into blocks by hash; every pair
+    of blocks of a root meets in one task, which returns sums, not pairs.
+    """
+    count = lambda t, name: t.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = _few(saved(count(asks, "ask_blocks").join(count(answers, "answer_blocks"), "root")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = asks.join(blocks, "root").select("root", place("ask_blocks").alias("x"), upto("answer_blocks").alias("y"), F.lit(True).alias("asks"), "id", "v", "copies")
+    right = answers.join(blocks, "root").select("root", upto("ask_blocks").alias("x"), place("answer_blocks").alias("y"), F.lit(False).alias("asks"), "id", "v", "copies")
 
     def tile(table: pa.Table) -> pa.Table:
         asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
         x = _matrix(table.column("v").combine_chunks())
         ids, copies = (table.column(c).combine_chunks().to_numpy() for c in ("id", "copies"))
-        linked = (x[asks] @ x[~asks].T >= s.threshold) & (ids[asks][:, None] != ids[~asks][None])
-        return pa.table({"id": ids[asks], "copies": (linked * copies[~asks]).sum(1).astype(np.int64)})
+        one, two = ids[asks], ids[~asks]
+        linked = (x[asks] @ x[~asks].T >= s.threshold) & (one[:, None] != two[None])
+        none, low, high = np.iinfo(np.int64).max, one, two
+        while linked.any():
+            before = low, high
+            low = np.minimum(low, np.where(linked, high[None], none).min(1, initial=none))
+            high = np.minimum(high, np.where(linked, low[:, None], none).min(0, initial=none))
+            if (low == before[0]).all() and (high == before[1]).all():
+                break
+        total = np.append((linked * copies[~asks]).sum(1), (linked * copies[asks][:, None]).sum(0)).astype(np.int64)
+        kept = np.flatnonzero(total)
+        side = np.repeat([True, False], [len(one), len(two)])
+        out = {"id": np.append(one, two), "asks": side, "copies": total, "mate": np.append(low, high)}
+        return pa.table({name: pa.array(value[kept]) for name, value in out.items()})
 
-    part = asks.unionByName(answers).groupBy("root", "x", "y").applyInArrow(tile, "id long, copies long")
-    return part.groupBy("id").agg(F.sum("copies").alias("copies"))
+    return left.unionByName(right).groupBy("root", "x", "y").applyInArrow(tile, "id long, asks boolean, copies long, mate long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", s: Settings = Settings()) -> DataFrame:
@@ -287,7 +359,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     lists, k = None, s.neighbours
     for start in range(s.starts):
         fresh = _start(nodes, bits, s.seed + start, s)
-        lists = saved(_lists(fresh if lists is None else lists.unionByName(fresh), k))
+        lists = saved(_lists(fresh if lists is None else lists.drop("rank").unionByName(fresh), k, s))
         for _ in range(s.rounds):
             before = lists
             lists = _descend(lists, nodes, k, s)
@@ -299,19 +371,30 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             crowded = _saturated(lists, k // 2, s)
             near = lists.join(crowded.withColumnRenamed("id", "a"), "a", "left_semi")
             more = _descend(near, nodes.join(near.select(F.col("b").alias("id")).unionByName(crowded).distinct(), "id", "left_semi"), k, s)
-            lists = saved(_lists(lists.unionByName(more), k))
+            lists = saved(_lists(lists.unionByName(more).drop("rank"), k, s))
         links = saved(_links(lists, s.threshold))
         if _audit(nodes, links, s) >= s.recall or not _saturated(lists, k, s).isEmpty():
             break
-    roots = saved(connected_components(links))
-    counted = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(
-        nodes.select(F.col("id").alias("b"), "copies"), "b"
-    ).groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
-    exact = _completed(_saturated(lists, k, s), nodes, roots, s).withColumnRenamed("copies", "exact")
-    named = nodes.join(counted, "id", "left").join(exact, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    roots = saved(connected_components(links)).withColumnRenamed("node", "id")
+    asked = nodes.select("id").limit(0)
+    part = None
+    full = saved(_saturated(lists, s.largest, s))
+    if not full.isEmpty():
+        crowds = _few(saved(roots.join(full, "id", "left_semi").select("root").distinct()))
+        members = saved(nodes.join(roots.join(crowds, "root", "left_semi"), "id"))
+        asked = members.select("id")
+        part = saved(_compared(members.select("root", "id", "v", "copies"), _candidates(members, nodes, s), s))
+        roots = _joined(roots, part)
+    counted = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(asked.withColumnRenamed("id", "b"), "b", "left_anti")
+    counted = counted.join(nodes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
+    # Nodes that were asked are counted whole; of the others, the links with asked nodes.
+    sums = F.sum(F.when(F.col("asks"), F.col("copies"))).alias("exact"), F.sum(F.when(~F.col("asks"), F.col("copies"))).alias("answered")
+    exact = (nodes.select("id", F.lit(True).alias("asks"), "copies", F.col("id").alias("mate")).limit(0) if part is None else part).groupBy("id").agg(*sums)
+    named = nodes.join(counted, "id", "left").join(exact, "id", "left").join(roots, "id", "left")
+    linked = F.coalesce("exact", F.coalesce("linked", F.lit(0)) + F.coalesce("answered", F.lit(0)))
     known = saved(
         named.select(
-            "label", "v", (F.col("copies") - 1 + F.coalesce("exact", "linked", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")
+            "label", "v", (F.col("copies") - 1 + linked).alias("n_links"), F.coalesce("root", "id").alias("component_id")
         )
     )
     found = good.join(known, ["label", "v"]).select("id", "n_links", "component_id")
@@ -322,3 +405,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 def _saturated(lists: DataFrame, k: int, s: Settings) -> DataFrame:
     """Nodes whose list is full of links: they may have more."""
     return lists.where(F.col("cosine") >= s.threshold).groupBy(F.col("a").alias("id")).count().where(F.col("count") >= k).select("id")
+
+
+def _joined(roots: DataFrame, part: DataFrame) -> DataFrame:
+    """Roots (id, root) after the components that hold a node and its mate became one."""
+    pairs = part.where(F.col("id") != F.col("mate")).select("id", "mate").distinct()
+    pairs = pairs.join(roots, "id", "left").select("mate", F.coalesce("root", "id").alias("a"))
+    pairs = pairs.join(roots.withColumnRenamed("id", "mate"), "mate", "left").select("a", F.coalesce("root", "mate").alias("b"))
+    merged = saved(pairs.where(F.col("a") != F.col("b")).distinct())
+    if merged.isEmpty():
+        return roots
+    last = saved(connected_components(merged)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    old = roots.join(last, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    # A node that had no link until now is its own root.
+    new = last.select(F.col("root").alias("id"), F.col("last").alias("root")).join(roots.select("id"), "id", "left_anti")
+    return saved(old.unionByName(new))

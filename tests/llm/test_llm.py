@@ -342,3 +342,19 @@ def test_nn_descent_equals_brute_force(spark):
     assert 0.98 * sum(map(len, near.values())) <= found <= sum(map(len, near.values()))
     assert got[n]["component_id"] == got[n + 6]["component_id"] == got[0]["component_id"]
     assert nn_descent.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_nn_descent_links_across_full_lists(spark):
+    """Two tight groups, each of more rows than a list holds; all links across them are weaker than those within."""
+    rng = np.random.default_rng(5)
+    a, b = np.eye(24)[0], 0.945 * np.eye(24)[0] + np.sqrt(1 - 0.945**2) * np.eye(24)[1]
+    near = [c + 0.006 * rng.standard_normal(24) for c in (a, b) for _ in range(60)]
+    loose = 0.945 * np.eye(24)[0] - np.sqrt(1 - 0.945**2) * np.eye(24)[1]  # a row with links to the first group only
+    u = np.array([*near, loose, *rng.standard_normal((40, 24))])
+    u = u / np.linalg.norm(u, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(u)], "vec_id long, embedding array<double>, label int")
+    linked = u @ u.T >= 0.93
+    assert linked[:60, 60:120].any() and np.sort((u @ u.T)[0])[-41] > (u @ u.T)[0, 60:120].max()
+    got = {r["id"]: r for r in nn_descent.near_vectors(frame).collect()}
+    assert [got[i]["n_links"] for i in range(len(u))] == list(linked.sum(1) - 1)
+    assert [got[i]["component_id"] for i in range(len(u))] == components(len(u), lambda x, y: linked[x, y])
