@@ -8,8 +8,9 @@
    every link that was met until it has `largest` of them. Components that hold
    a node whose list is then full are compared exactly, in blocks, with all
    rows of their label that a bound on angles does not rule out.
-4. Audit: a fixed number of nodes is compared with all rows; if too few of
-   their links were found, another start is added and the descent repeated.
+4. Audit: a fixed number of nodes whose lists are not full is compared with all
+   rows; if too few of their links were found, another start is added and the
+   descent repeated. If the last start fails too, all pairs are compared.
 Links are the pairs at or above the threshold.
 """
 
@@ -34,8 +35,8 @@ BROADCAST_ROOTS = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold: least cosine of a link. neighbours, largest: list sizes, first and at most. trees, leaf: of a start.
-    rounds: descents of a start. audit: nodes of the audit; recall: what it asks for; starts: at most so many."""
+    """threshold: least cosine of a link. neighbours, largest: list sizes, first and at most. trees, leaf: of a start; labels
+    of many rows get more trees. rounds: descents of a start. audit: nodes of the audit; recall: what it asks for; starts: at most so many."""
 
     threshold: float = 0.93
     neighbours: int = 10
@@ -112,8 +113,19 @@ def _best(ids: np.ndarray, cosine: np.ndarray, floor: np.ndarray, k: int, s: Set
     return a, b, found
 
 
-def _start(nodes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
-    """First neighbours: leaves of at most 2 * leaf rows, of `trees` independent cuts by random hyperplanes."""
+def _trees(bits: int, s: Settings) -> int:
+    """Trees after which a pair at the threshold has shared a leaf with probability `recall`, `trees` at least."""
+    apart = 1 - (1 - math.acos(s.threshold) / math.pi) ** bits
+    return max(s.trees, math.ceil(math.log(max(1 - s.recall, 1e-9)) / math.log(apart))) if 0 < apart < 1 else s.trees
+
+
+def _start(nodes: DataFrame, sizes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
+    """First neighbours: leaves of at most 2 * leaf rows, of independent cuts by random hyperplanes.
+
+    A label (and length of vectors) takes as many bits and trees as its own
+    count asks for; `bits` are those of the largest. sizes: (label, dim, bits, trees).
+    """
+    most = _trees(bits, s)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -122,15 +134,15 @@ def _start(nodes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
                 continue
             flat, size = batch.column("v").flatten(), np.diff(batch.column("v").offsets.to_numpy())
             values = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64)
-            code = np.zeros((len(size), s.trees), dtype=np.int64)
-            spread = np.zeros((len(size), s.trees))
+            code = np.zeros((len(size), most), dtype=np.int64)
+            spread = np.zeros((len(size), most))
             start = np.cumsum(size) - size
             for dim in np.unique(size):
                 own = np.flatnonzero(size == dim)
                 x = values[start[own][:, None] + np.arange(dim)]
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), s.trees * (bits + 1)))
-                side = (x @ planes[dim]).reshape(len(own), s.trees, bits + 1)
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), most * (bits + 1)))
+                side = (x @ planes[dim]).reshape(len(own), most, bits + 1)
                 code[own] = (side[:, :, :bits] > 0) @ (1 << np.arange(bits)) if bits else 0
                 spread[own] = side[:, :, bits]
             yield pa.RecordBatch.from_pydict(
@@ -145,8 +157,10 @@ def _start(nodes: DataFrame, bits: int, seed: int, s: Settings) -> DataFrame:
 
     kind = nodes.schema["label"].dataType.simpleString()
     coded = nodes.mapInArrow(codes, f"id long, label {kind}, v array<double>, codes array<long>, spread array<double>")
-    trees = coded.select("id", "label", "v", "spread", F.posexplode("codes").alias("tree", "code"))
-    leaf_key = F.xxhash64("label", "tree", "code", F.size("v"))
+    coded = coded.withColumn("dim", F.size("v")).join(_few(sizes), ["label", "dim"])
+    trees = coded.select("id", "label", "dim", "v", "spread", "bits", F.posexplode(F.slice("codes", F.lit(1), F.col("trees"))).alias("tree", "code"))
+    own_bits = F.col("code").bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))
+    leaf_key = F.xxhash64("label", "tree", own_bits, "dim")
     placed = trees.select(leaf_key.alias("leaf"), F.element_at("spread", F.col("tree") + 1).alias("place"), "id", "v")
     # Ordered by place within a leaf and dealt by range, a crowded leaf is cut between tasks and into parts.
     ordered = placed.repartitionByRange("leaf", "place", "id").sortWithinPartitions("leaf", "place", "id")
@@ -219,8 +233,12 @@ def _links(lists: DataFrame, threshold: float) -> DataFrame:
     return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _audit(nodes: DataFrame, links: DataFrame, s: Settings) -> float:
-    """Share of the links of `audit` nodes, chosen by hash, that were found. The nodes are compared with all rows."""
+def _audit(nodes: DataFrame, links: DataFrame, full: DataFrame, s: Settings) -> float:
+    """Share of the links of `audit` nodes, chosen by hash, that were found. The nodes are compared with all rows.
+
+    Nodes with a full list are left out on both sides: their links are compared exactly later.
+    """
+    nodes = nodes.join(full, "id", "left_anti")
     probe = saved(nodes.orderBy(F.xxhash64("id", F.lit(s.seed))).limit(s.audit))
     rows = probe.select("id", "label", "v").collect()  # bounded by `audit`
     shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["label"], np.array(r["v"])) for r in rows])
@@ -353,12 +371,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = saved(rows.where(able).mapInArrow(_unit, f"id long, v array<double>, label {rows.schema['label'].dataType.simpleString()}"))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     nodes = saved(classes.withColumn("copies", F.col("copies").cast("long")))
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    sizes = saved(nodes.groupBy("label", F.size("v").alias("dim")).count())
+    largest = sizes.agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest) / s.leaf)))
+    trees = F.array(*[F.lit(_trees(b, s)) for b in range(bits + 1)])
+    own_bits = F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / s.leaf)))).cast("int")
+    sizes = sizes.select("label", "dim", own_bits.alias("bits")).withColumn("trees", F.element_at(trees, F.col("bits") + 1))
 
-    lists, k = None, s.neighbours
+    lists, k, passed = None, s.neighbours, False
     for start in range(s.starts):
-        fresh = _start(nodes, bits, s.seed + start, s)
+        fresh = _start(nodes, sizes, bits, s.seed + start, s)
         lists = saved(_lists(fresh if lists is None else lists.drop("rank").unionByName(fresh), k, s))
         for _ in range(s.rounds):
             before = lists
@@ -373,13 +395,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             more = _descend(near, nodes.join(near.select(F.col("b").alias("id")).unionByName(crowded).distinct(), "id", "left_semi"), k, s)
             lists = saved(_lists(lists.unionByName(more).drop("rank"), k, s))
         links = saved(_links(lists, s.threshold))
-        if _audit(nodes, links, s) >= s.recall or not _saturated(lists, k, s).isEmpty():
+        full = saved(_saturated(lists, s.largest, s))
+        passed = _audit(nodes, links, full, s) >= s.recall
+        if passed:
             break
     roots = saved(connected_components(links)).withColumnRenamed("node", "id")
     asked = nodes.select("id").limit(0)
     part = None
-    full = saved(_saturated(lists, s.largest, s))
-    if not full.isEmpty():
+    if not passed:
+        whole = nodes.withColumn("root", F.xxhash64("label", F.size("v"))).select("root", "id", "v", "copies")
+        asked, part = nodes.select("id"), saved(_compared(whole, whole, s))
+        roots = _joined(roots, part)
+    elif not full.isEmpty():
         crowds = _few(saved(roots.join(full, "id", "left_semi").select("root").distinct()))
         members = saved(nodes.join(roots.join(crowds, "root", "left_semi"), "id"))
         asked = members.select("id")

@@ -358,3 +358,33 @@ def test_nn_descent_links_across_full_lists(spark):
     got = {r["id"]: r for r in nn_descent.near_vectors(frame).collect()}
     assert [got[i]["n_links"] for i in range(len(u))] == list(linked.sum(1) - 1)
     assert [got[i]["component_id"] for i in range(len(u))] == components(len(u), lambda x, y: linked[x, y])
+
+
+def _pairs_beside_a_crowd(rng):
+    """A label with 60 near-copies and 700 pairs at a cosine little over the threshold, and a small label of lone pairs."""
+    first = rng.standard_normal((740, 24))
+    first /= np.linalg.norm(first, axis=1)[:, None]
+    side = rng.standard_normal(first.shape)
+    side -= (side * first).sum(1)[:, None] * first
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    crowd = first[0] + 0.006 * rng.standard_normal((60, 24))
+    u = np.concatenate([first, 0.935 * first + np.sqrt(1 - 0.935**2) * side, crowd / np.linalg.norm(crowd, axis=1)[:, None]])
+    label = np.concatenate([np.repeat([0, 1, 0, 1], [700, 40, 700, 40]), np.zeros(60, dtype=int)])
+    linked = (u @ u.T >= 0.93) & (label[:, None] == label[None])
+    return u, label, linked & ~np.eye(len(u), dtype=bool)
+
+
+def test_nn_descent_audit_counts_beside_a_crowd(spark, monkeypatch):
+    """One tree finds few pairs at the threshold; a crowd with full lists does not end the search, all pairs are compared."""
+    assert [nn_descent._trees(b, nn_descent.Settings()) for b in (0, 10, 19)] == [12, 12, 43]
+    monkeypatch.setattr(nn_descent, "_trees", lambda bits, s: s.trees)
+    u, label, linked = _pairs_beside_a_crowd(np.random.default_rng(6))
+    frame = spark.createDataFrame([(i, [float(x) for x in v], int(c)) for i, (v, c) in enumerate(zip(u, label))], "vec_id long, embedding array<double>, label int")
+    few = nn_descent.Settings(trees=1, leaf=4, neighbours=2, rounds=1, starts=1)
+    got = {r["id"]: r for r in nn_descent.near_vectors(frame, s=few).collect()}
+    assert [got[i]["n_links"] for i in range(len(u))] == list(linked.sum(1))
+    root = list(range(len(u)))
+    for a, b in np.argwhere(np.triu(linked)):
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    assert [got[i]["component_id"] for i in range(len(u))] == root
