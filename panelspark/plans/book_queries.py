@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,14 +272,14 @@ HAVING date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) -
 @REGISTRY.query("stream_weekly_bars", STREAM_SQL.replace("GROUP BY 1, 2\nHAVING date_trunc('week', ts)", "GROUP BY user_id, date_trunc('week', ts)\nHAVING date_trunc('week', ts)"))
 def stream_weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only windows that the watermark has passed are final."""
-    return jobs.run_to_memory(jobs.weekly_bars(jobs.event_stream(spark, f"{sf_dir}/events.parquet*")), f"bars_{uuid.uuid4().hex}")
+    return jobs.run_to_parquet(jobs.weekly_bars(jobs.event_stream(spark, f"{sf_dir}/events.parquet*")), "bars")
 
 
 @REGISTRY.query("stream_first_of_key", "SELECT DISTINCT user_id, date_trunc('day', ts)::DATE AS day FROM events")
 def stream_first_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.event_stream(spark, f"{sf_dir}/events.parquet*").select("user_id", F.col("ts").cast("date").alias("day"), "ts")
     first = jobs.first_of_key(rows, ("user_id", "day"), "ts", "40 days").select("user_id", "day")
-    return jobs.run_to_memory(first, f"first_{uuid.uuid4().hex}")
+    return jobs.run_to_parquet(first, "first")
 
 
 EXPERT_SQL = """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -65,3 +68,18 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there into Parquet files of a fresh folder under the shared checkpoint folder."""
+    spark = stream.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    folder = f"{context.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode(mode).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -44,3 +44,11 @@ def test_landing_merges_batches(spark, tmp_path):
     jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), str(tmp_path / "c")).awaitTermination()
     last = sorted(p.name for p in target.glob("version=*"))[-1]
     assert {r["k"]: r["v"] for r in spark.read.parquet(str(target / last)).collect()} == {1: 5.0, 2: 2.0}
+
+
+def test_stream_queries_write_files_rather_than_to_the_driver(spark):
+    from __spark_entry__ import queries
+
+    for name in ("stream_weekly_bars", "stream_first_of_key"):
+        found = queries()[name](spark, "/root/testdata/sf0.001")
+        assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles()) and found.count()
