@@ -43,11 +43,10 @@ def tile_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows:
     for start in range(0, len(query_ids), step):
         scores = queries[start : start + step] @ rows.T
         for own, line in zip(query_ids[start : start + step], scores, strict=True):
-            at = np.arange(len(ids))
-            if len(ids) > k + 1:  # one more than k: the query itself may be among them
-                floor = np.partition(line, len(ids) - k - 1)[len(ids) - k - 1]
-                at = np.flatnonzero(line >= floor)
-            at = at[ids[at] != own]
+            at = np.flatnonzero(ids != own)
+            if len(at) > k:
+                floor = np.partition(line[at], len(at) - k)[len(at) - k]
+                at = at[line[at] >= floor]
             best = at[np.argsort(-line[at], kind="stable")[:k]]
             found_query.append(np.full(len(best), own))
             found_id.append(ids[best])
@@ -67,18 +66,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     Vectors that are null or hold a null or non-finite component take no part,
     nor do rows without an id. A shorter vector counts as filled up with zeros.
     Rows that repeat an id are all candidates, but none for a query of that id.
+    Queries that repeat an id all ask, and share one list: a candidate stands in
+    it once for each of them, as in the SQL of op3_topk.
     With fewer than k candidates all are returned; empty tables give no rows.
     """
     rows = vectors.where(is_finite(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.where(is_finite(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    asked = asked.dropDuplicates(["id"])
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
     # Small inputs are still cut into a tile for each core or so.
     shards = max(shards, min(vectors.sparkSession.sparkContext.defaultParallelism, shards * 16))
     spread = F.pmod(F.xxhash64("id", F.hash("v")), F.lit(shards)).cast("int")
     side = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread.alias("shard"), F.lit(False).alias("asks"), "id", "v")
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("id", F.hash("v")), F.lit(blocks)).cast("int")
     other = asked.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
 
     def tile(table: pa.Table) -> pa.Table:

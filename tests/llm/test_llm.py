@@ -201,6 +201,17 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_topk_of_a_repeated_query_id(spark):
+    rng = np.random.default_rng(9)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(1, 30)] + [(0, [9.0, 9.0, 9.0, 9.0])] * 4 + [(0, [-3.0, 0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(-r["score"], r["vec_id"]) for r in topk.top_k(frame, frame.where("vec_id = 0")).orderBy("rank").collect()]
+    q = [(i, np.floor(1024 * np.array(v))) for i, v in vectors]
+    assert got == sorted((-int(a @ b), i) for own, a in q if own == 0 for i, b in q if i)[:10]
+    ids, rows = np.array([0] * 4 + list(range(1, 30))), np.array([v for _, v in [vectors[-2]] * 4 + vectors[:29]])
+    assert len(topk.tile_top(np.array([0]), rows[:1], ids, rows, 10)["vec_id"]) == 10
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     net = langid.fit(docs.where(~langid.held_out("doc_id", 4, 2)))
