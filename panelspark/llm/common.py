@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: A key with more rows is dealt apart from the rest; the keys are broadcast only up to this count.
+HOT_ROWS = 2_000
+BROADCAST_KEYS = 100_000
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that the session names and read it from there.
 
     The folder is shared by driver and executors, so a lost executor loses
     nothing. Only where the session names none (tests) is an own one set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; where it names none (tests), an own one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a written table, in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that nothing reads any more, on whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_finite(vector: str) -> Column:
@@ -30,17 +52,44 @@ def is_finite(vector: str) -> Column:
     return F.coalesce(x.isNotNull() & ~bad, F.lit(False))
 
 
-def hash_sample(rows: DataFrame, by: Column, n: int) -> list:
-    """At most n rows, those with the smallest hash of `by`; the columns of rows reach the driver for about 2n rows at most.
+def joined_by(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right (one row a key). Keys that very many left rows have meet a broadcast part of right,
+
+    so that no task holds all rows of such a key. There are at most
+    rows / HOT_ROWS of them; over BROADCAST_KEYS, they are left to the join.
+    """
+    hot = saved(left.groupBy(key).count().where((F.col("count") > HOT_ROWS) & F.col(key).isNotNull()).select(key))
+    count = hot.count()
+    if not count or count > BROADCAST_KEYS:
+        return left.join(right, key, how)
+    held = F.broadcast(hot)
+    few = F.broadcast(right.join(held, key, "left_semi"))
+    return left.join(held, key, "left_anti").join(right, key, how).unionByName(left.join(held, key, "left_semi").join(few, key, how))
+
+
+def hash_sample(rows: DataFrame, by: list[Column], n: int, group: str) -> DataFrame:
+    """Distinct rows by the hash of `by`: of each value of `group` the n with the smallest hashes.
 
-    Rows far above the n-th smallest hash are filtered out before they are
-    ordered; with many rows the hashes are spread evenly enough for that.
+    Only rows below about twice the n-th smallest hash of their group are
+    ordered. Where copies of few rows leave too few below it, all distinct ones
+    of that group are.
     """
-    total = rows.count()
-    marked = rows.withColumn("order_", F.shiftrightunsigned(F.xxhash64(by), 1))
-    if total > 4 * n:
-        marked = marked.where(F.col("order_") < int(2 * n / total * 2**63))
-    return marked.orderBy("order_").limit(n).collect()
+    marked = rows.withColumn("order_", F.shiftrightunsigned(F.xxhash64(*by), 1))
+    sizes = saved(marked.groupBy(group).count())
+
+    def least(some: DataFrame) -> DataFrame:
+        once = some.dropDuplicates([group, "order_"])
+        return once.withColumn("place_", F.row_number().over(Window.partitionBy(group).orderBy("order_"))).where(F.col("place_") <= n).drop("place_")
+
+    bound = F.least(F.lit(2.0) * n / F.col("count"), F.lit(1.0)) * float(1 << 63)
+    below = least(marked.join(F.broadcast(sizes), group).where(F.col("order_") <= bound).drop("count"))
+    found = saved(below)
+    short = found.groupBy(group).agg(F.count("*").alias("found_")).join(sizes, group, "right").where(F.coalesce("found_", F.lit(0)) < F.least(F.col("count"), F.lit(n)))
+    short = saved(short.where(F.col("count") > 2 * n).select(group))
+    if not short.isEmpty():
+        again = saved(least(marked.join(F.broadcast(short), group, "left_semi")))
+        found = found.join(F.broadcast(short), group, "left_anti").unionByName(again)
+    return found.drop("order_")
 
 
 def mapped(df: DataFrame, schema: str, block: Callable[[pa.RecordBatch], dict], rows: int = 2048) -> DataFrame:

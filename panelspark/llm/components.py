@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import saved
+from panelspark.llm.common import joined_by, saved
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round moves larger neighbours to the smallest neighbour (large star),
     then ties smaller neighbours together (small star); rounds grow with the
     logarithm of a component's diameter. All minima are combined before the
-    shuffle, so a hub costs no more than its edges. Nodes without edges are not
+    shuffle, and a hub's edges meet its minimum where they lie (`joined_by`), so
+    no task holds all edges of a hub. Nodes without edges are not
     returned; null ends and loops are left out. An empty table gives no rows.
     """
     ends = edges.where(F.col("a") != F.col("b"))
@@ -29,12 +30,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("low"))
         larger = pairs.select(F.col("m").alias("u"), F.col("v").alias("w"))
         large = (
-            larger.join(low.withColumnRenamed("v", "u"), "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
+            joined_by(larger, low.withColumnRenamed("v", "u"), "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
         )
         large = saved(large)
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         small = (
-            large.join(least, "v")
+            joined_by(large, least, "v")
             .where(F.col("m") != F.col("low"))
             .select(F.col("m").alias("v"), F.col("low").alias("m"))
             .unionByName(least.select("v", F.col("low").alias("m")))

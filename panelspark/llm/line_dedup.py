@@ -1,113 +1,164 @@
 """Boilerplate lines by distinct-site spread, as DataFrame functions only.
 
 A HyperLogLog sketch of the sites of every line (by hash) estimates on how many
-sites the line stands. Lines whose estimate is near the threshold get an exact
-distinct count; the rest are decided by the estimate.
+sites the line stands, a second one in how many distinct texts: a text that is
+copied to many sites spreads none of its lines. Sketches merge by aggregation.
+Lines near a threshold get exact distinct counts; the rest are decided by the
+estimates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import saved
+from panelspark.llm.common import joined_by, saved
 
 #: Relative standard error of a sketch with 2^12 buckets is about 0.8 per cent at most; the band is six of them.
 SKETCH_LG = 12
 BAND = 0.05
-
-
-#: Boilerplate hashes are broadcast only up to this count.
-BROADCAST_LINES = 200_000
+#: Boilerplate hashes travel to the tasks as one value only up to this count (8 bytes each); beyond it lines are joined.
+HELD_LINES = 200_000
 
 
 def lines_of(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """(key, at, site, h, size) of every non-blank line: the text's hash, the place, the site, the line's hash and length.
+    """(text, site, h) of every non-blank line: the text's hash, the site and the line's hash.
 
-    Lines are compared trimmed of spaces, by 64 bits of XXH64.
+    Lines are compared trimmed of spaces, by 64 bits of XXH64; texts by their MD5.
     """
-    given = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
-    split = given.select("key", "site", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("line", F.trim("line"))
-    return split.where(F.col("line") != "").select("key", "at", "site", F.xxhash64("line").alias("h"), F.char_length("line").alias("size"))
+    given = docs.where(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("text"), F.col(site_col).alias("site"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
+    trimmed = given.withColumn("line", F.trim("line")).where(F.col("line") != "")
+    return trimmed.select("text", "site", F.xxhash64("line").alias("h"))
+
+
+def _about(column: str) -> Column:
+    return F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(SKETCH_LG)))
 
 
-def boilerplate(lines: DataFrame, least_sites: int) -> DataFrame:
-    """Hashes h of the lines that stand on at least `least_sites` distinct sites; a null site counts as none.
+def _held(hashes: DataFrame) -> DataFrame:
+    return F.broadcast(hashes) if hashes.count() <= HELD_LINES else hashes
 
-    (line, site) pairs are reduced before the shuffle, sketches merge by
-    aggregation, and only lines in the band around the threshold are counted
-    exactly.
+
+def boilerplate(lines: DataFrame, least: int) -> DataFrame:
+    """Hashes h of the lines that stand on at least `least` distinct sites and in at least `least` distinct texts.
+
+    A null site counts as none. (line, site) pairs are reduced before the
+    shuffle, texts are counted only for lines that spread over sites, and only
+    lines in the band around the threshold are counted exactly.
     """
-    pairs = lines.where(F.col("site").isNotNull()).select("h", "site").distinct()
-    sketched = pairs.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_LG))).alias("about"))
-    low, high = least_sites * (1 - BAND) - 1, least_sites * (1 + BAND) + 1
-    spread = saved(sketched.where(F.col("about") >= low))
-    near = spread.where(F.col("about") <= high).select("h")
-    exact = pairs.join(near, "h", "left_semi").groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= least_sites)
-    return saved(spread.where(F.col("about") > high).select("h").unionByName(exact.select("h")))
+    low, high = least * (1 - BAND) - 1, least * (1 + BAND) + 1
+    sited = lines.where(F.col("site").isNotNull())
+    by_site = sited.select("h", "site").distinct().groupBy("h").agg(_about("site").alias("sites"))
+    spread = saved(by_site.where(F.col("sites") >= low))
+    of_spread = lines.join(_held(spread.select("h")), "h", "left_semi")
+    by_text = of_spread.select("h", "text").distinct().groupBy("h").agg(_about("text").alias("texts")).where(F.col("texts") >= low)
+    both = saved(spread.join(by_text, "h"))
+
+    def exact(column: str, about: str) -> DataFrame:
+        near = _held(both.where(F.col(about) <= high).select("h"))
+        counted = lines.where(F.col(column).isNotNull()).join(near, "h", "left_semi").select("h", column).distinct().groupBy("h").count()
+        return counted.where(F.col("count") >= least).select("h", F.lit(True).alias(f"{about}_hold"))
+
+    told = both.join(exact("site", "sites"), "h", "left").join(exact("text", "texts"), "h", "left")
+    enough = [(F.col(about) > high) | F.coalesce(f"{about}_hold", F.lit(False)) for about in ("sites", "texts")]
+    return saved(told.where(enough[0] & enough[1]).select("h"))
 
 
 def drop_boilerplate(
-    docs: DataFrame, least_sites: int = 8, largest_share: float = 0.5, text_col: str = "text", site_col: str = "source", size_col: str | None = "n_chars"
+    docs: DataFrame, least_sites: int = 8, whole_from: float = 1.0, text_col: str = "text", site_col: str = "source", size_col: str | None = "n_chars"
 ) -> DataFrame:
     """docs with the boilerplate lines taken out of their texts; all columns and rows stay.
 
     A line is boilerplate if, trimmed of spaces, it stands on at least
-    `least_sites` distinct sites. A text of which boilerplate makes up more than
-    `largest_share` of the characters in its lines is a copy rather than a text
-    with boilerplate; it stays whole, so that no document vanishes and
-    near-duplicate search still finds its group.
+    `least_sites` distinct sites and in as many distinct texts. A text of which
+    boilerplate makes up a share of `whole_from` or more of the characters in its
+    lines stays whole: by default only one that has no line of its own, so that
+    no document vanishes.
 
     The remaining lines keep their order; size_col, where it exists, is set to
     the new length of a changed text. Null texts and blank lines stay. What is
     dropped depends on the text alone, so repeated rows and ids are no special
-    case. An empty table gives no rows.
+    case. An empty table gives no rows. Columns of any name are carried along.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}_" for i in range(len(names))])
     text, site = f"c{names.index(text_col)}_", f"c{names.index(site_col)}_"
-    lines = lines_of(own, text, site)
-    bad = boilerplate(lines, least_sites)
-    held = bad.withColumn("bad", F.lit(True))
-    held = F.broadcast(held) if bad.count() <= BROADCAST_LINES else held
-    marked = lines.select("key", "at", "h", "size").join(held, "h", "left").select("key", "at", "size", F.coalesce("bad", F.lit(False)).alias("bad"))
-    once = marked.groupBy("key", "at").agg(F.max("size").alias("size"), F.max("bad").alias("bad"))
-    changes = once.groupBy("key").agg(
-        F.collect_list(F.when(F.col("bad"), F.col("at"))).alias("drop_"),
-        F.sum(F.when(F.col("bad"), F.col("size")).otherwise(0)).alias("bad_size"),
-        F.sum("size").alias("size"),
-    )
-    changes = changes.where((F.col("bad_size") > 0) & (F.col("bad_size") <= F.col("size") * largest_share)).select("key", "drop_")
-    joined = own.withColumn("key", F.xxhash64(text)).join(changes, "key", "left")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains("drop_", at)), "\n")
-    changed = F.col("drop_").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("left_", F.when(changed, left).otherwise(F.col(text)))
+    bad = boilerplate(lines_of(own, text, site), least_sites)
+    count = bad.count()
+    marked = _left_in_place(own, text, bad, count) if count <= HELD_LINES else _left_by_join(own, text, bad)
+    size = lambda lines: F.aggregate(lines, F.lit(0), lambda total, line: total + F.char_length(F.trim(line)))
+    every, left = F.split(text, "\n", -1), F.col("left_")
+    gone = size(every) - size(left)
+    changed = F.coalesce((gone > 0) & (gone < F.lit(whole_from) * size(every)), F.lit(False))
+    out = marked.select(*own.columns, changed.alias("changed_"), F.array_join("left_", "\n").alias("left_"))
     columns = []
     for i, name in enumerate(names):
         column = F.col(f"c{i}_")
         if name == text_col:
-            column = F.col("left_")
+            column = F.when(F.col("changed_"), F.col("left_")).otherwise(column)
         elif name == size_col:
-            column = F.when(changed, F.char_length("left_").cast(docs.schema[name].dataType)).otherwise(column)
+            column = F.when(F.col("changed_"), F.char_length("left_").cast(docs.schema[name].dataType)).otherwise(column)
         columns.append(column.alias(name))
     return out.select(*columns)
 
 
-def sql(least_sites: int = 8, largest_share: float = 0.5, docs: str = "documents") -> str:
-    """The same in DuckDB SQL, over a table with doc_id, text, source and n_chars and unique doc_id; other columns stay."""
+def _left_in_place(own: DataFrame, text: str, bad: DataFrame, count: int) -> DataFrame:
+    """Add left_, the lines that are no boilerplate, within a projection: nothing is shuffled.
+
+    The hashes, HELD_LINES at most, are one value of the plan: slots of about
+    one hash each, found by the line's own hash.
+    """
+    lines = F.split(text, "\n", -1)
+    if not count:
+        return own.withColumn("left_", lines)
+    slots: list[list[int]] = [[] for _ in range(count)]
+    for row in bad.collect():  # HELD_LINES at most
+        slots[row["h"] % count].append(row["h"])
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<bigint>>")  # folded into one constant
+
+    def kept(line: Column) -> Column:
+        h = F.xxhash64(F.trim(line))
+        return (F.trim(line) == "") | ~F.array_contains(F.element_at(table, F.pmod(h, F.lit(count)).cast("int") + 1), h)
+
+    return own.withColumn("left_", F.filter(lines, kept))
+
+
+def _left_by_join(own: DataFrame, text: str, bad: DataFrame) -> DataFrame:
+    """As _left_in_place, for any number of hashes: line numbers are found by a join and sent back to their texts.
+
+    Texts are told apart by their MD5; a text with very many copies does not
+    meet its line numbers in one task.
+    """
+    keyed = own.withColumn("key_", F.md5(text))
+    numbered = keyed.where(F.col(text).isNotNull()).select("key_", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    hashed = numbered.where(F.trim("line") != "").select("key_", "at", F.xxhash64(F.trim("line")).alias("h"))
+    changes = hashed.join(bad, "h", "left_semi").groupBy("key_").agg(F.collect_set("at").alias("drop_"))
+    joined = joined_by(keyed.where(F.col(text).isNotNull()), changes, "key_", "left")
+    joined = joined.unionByName(keyed.where(F.col(text).isNull()).withColumn("drop_", F.lit(None).cast("array<int>")))
+    lines = F.split(text, "\n", -1)
+    left = F.filter(lines, lambda line, at: ~F.array_contains("drop_", at))
+    return joined.withColumn("left_", F.when(F.col("drop_").isNull(), lines).otherwise(left)).drop("key_", "drop_")
+
+
+def sql(least_sites: int = 8, whole_from: float = 1.0, docs: str = "documents") -> str:
+    """The same in DuckDB SQL, over a table with doc_id, text, source and n_chars; other columns stay."""
     return f"""
     WITH given AS (SELECT *, row_number() OVER () AS row_ FROM {docs}),
     lines AS (
-      SELECT row_, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM given WHERE text IS NOT NULL
+      SELECT row_, source, md5(text) AS text_, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM given WHERE text IS NOT NULL
+    ),
+    bad AS (
+      SELECT trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {least_sites} AND count(DISTINCT text_) >= {least_sites}
     ),
-    bad AS (SELECT trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {least_sites}),
     marked AS (SELECT l.row_, l.at, l.line, trim(l.line) IN (SELECT line FROM bad) AS bad FROM lines l),
     shares AS (
       SELECT row_, coalesce(sum(length(trim(line))) FILTER (WHERE bad), 0) AS bad_size, sum(length(trim(line))) AS size FROM marked GROUP BY 1
     ),
     changed AS (
       SELECT m.row_, coalesce(string_agg(m.line, chr(10) ORDER BY m.at) FILTER (WHERE NOT m.bad), '') AS text
-      FROM marked m JOIN shares s USING (row_) WHERE s.bad_size > 0 AND s.bad_size <= s.size * {largest_share} GROUP BY 1
+      FROM marked m JOIN shares s USING (row_) WHERE s.bad_size > 0 AND s.bad_size < s.size * {whole_from} GROUP BY 1
     )
     SELECT g.* EXCLUDE (row_) REPLACE (CASE WHEN c.row_ IS NOT NULL THEN c.text ELSE g.text END AS text,
       CASE WHEN c.row_ IS NOT NULL THEN length(c.text) ELSE g.n_chars END AS n_chars)

@@ -37,10 +37,14 @@ def exponent(shares: DataFrame, target_entropy: float | None, max_repeats: float
     target_entropy (nats): the exponent whose weights have this entropy; the end
     of [0, 1] that comes nearest if none has. max_repeats: the least exponent
     under which no source is read more than so many times, with a budget of
-    budget_ratio times all tokens. Only aggregates reach the driver.
+    budget_ratio times all tokens; a ValueError if that is below budget_ratio,
+    as no weights can read every source less often than the whole is read. Only
+    aggregates reach the driver.
     """
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give either target_entropy or max_repeats")
+    if max_repeats is not None and max_repeats < budget_ratio:
+        raise ValueError(f"no weights keep every source to {max_repeats} readings of a budget of {budget_ratio} times all tokens")
     low, high = 0.0, 1.0
     for _ in range(PASSES):
         grid = F.explode(F.array(*[F.lit(low + (high - low) * i / PARTS) for i in range(PARTS + 1)])).alias("a")

@@ -9,8 +9,10 @@ within t. For 64 bits and t = 3 the remaining three segments, cut into four
 parts, must agree on one part too, which makes the join keys 28 bits wide and
 loses no pair. For wide fingerprints and t beyond that, a chain's first segment
 may differ in a few bits itself; those most likely to, the ones whose counts
-were closest to half, are flipped in turn for further keys (probes), which makes
-a common key likely rather than certain (see `Plan`).
+were closest to half, are flipped in turn for further keys (probes). A common key
+is then likely rather than certain, so such a plan is audited: a fixed number of
+fingerprints is compared with all; while links are missing, a further round
+takes its keys from other bits, and after the last one all pairs are compared.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mapped, saved, text_bytes
+from panelspark.llm.common import joined_by, mapped, saved, text_bytes
 from panelspark.llm.components import connected_components
 from panelspark.llm.shingle_hash import fingerprints
 
@@ -34,8 +36,11 @@ SHORT_RUN = 48
 BLOCK_ROWS = 4096
 #: Hot keys are broadcast only up to this count.
 BROADCAST_KEYS = 100_000
-#: Of a 32-bit word, so many leading bits make a probed key.
+#: Bits of a probed key, and how far apart the keys of a round begin.
 PROBED_BITS = 20
+PROBED_STEP = 32
+#: Rounds of probed keys: where in each step the keys begin.
+ROUND_STARTS = (0, 12, 22, 6)
 
 
 @dataclass(frozen=True)
@@ -45,13 +50,17 @@ class Plan:
     words: words of a shingle. bits: fingerprint width. distance: largest
     number of differing bits that links. slack: bits added to the budget of
     every chain; any budget at or above l * t / m keeps the filter safe. probes:
-    keys of each 32-bit word, its first PROBED_BITS bits as they are and with
-    each of the probes - 1 weakest flipped (0: the keys of `keys()` instead).
+    keys of PROBED_BITS bits from every 32, as they are and with each of the
+    probes - 1 weakest flipped (0: the keys of `keys()` instead). audit, recall:
+    with probes, so many fingerprints are compared with all, and that share of
+    those with links must have every link of theirs within its component.
 
     The default finds all pairs. `near()` is for similarity 0.8: shingle sets
     with Jaccard j have an expected share of acos(2j / (1 + j)) / pi differing
     bits, 0.151 at 0.8; distance 90 of 512 adds 1.5 standard deviations. Of the
-    pairs within it, 95 to 97 % share a key at 0.8, 99 % at 0.85 and all at 0.9.
+    pairs within it, 95 to 97 % share a key of the first round at 0.8, 99 % at
+    0.85 and all at 0.9. Slack 16 of a chain is four standard deviations of how
+    unevenly 90 differing bits lie.
     """
 
     words: int = 3
@@ -59,10 +68,12 @@ class Plan:
     distance: int = 3
     slack: int = 0
     probes: int = 0
+    audit: int = 2_048
+    recall: float = 0.98
 
     @staticmethod
     def near() -> Plan:
-        return Plan(words=5, bits=512, distance=90, slack=24, probes=3)
+        return Plan(words=5, bits=512, distance=90, slack=16, probes=3)
 
     @property
     def segments(self) -> int:
@@ -89,38 +100,48 @@ class Plan:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
-    """(node, fp binary) of whole texts; null, empty and blank texts have all bits zero.
+    """(node, text binary, fp binary) of whole texts; null, empty and blank texts have all bits zero.
 
-    With probes, also (weak binary): of each 32-bit word the places of its weakest bits, a byte each.
+    text is the MD5 of the text, null for a null one. With probes, also (weak
+    binary): of each key of each round the places of its weakest bits, a byte
+    each; weak is a bit whose count was close to half.
     """
-    schema = "node long, fp binary" + ", weak binary" * bool(plan.probes)
+    schema = "node long, text binary, fp binary" + ", weak binary" * bool(plan.probes)
+    places = _key_places(plan) if plan.probes else None
 
     def block(batch: pa.RecordBatch) -> dict:
-        fp, margin = fingerprints(text_bytes(batch.column(1)), plan.words, plan.bits)
-        out = {"node": batch.column(0), "fp": pa.array([x.tobytes() for x in fp], pa.binary())}
-        if plan.probes:
-            lead = margin.reshape(len(fp), plan.bits // 32, 32)[:, :, :PROBED_BITS]
-            weak = np.argsort(lead, axis=2, kind="stable")[:, :, : plan.probes - 1].astype(np.uint8)
+        fp, margin = fingerprints(text_bytes(batch.column(2)), plan.words, plan.bits)
+        out = {"node": batch.column(0), "text": batch.column(1), "fp": pa.array([x.tobytes() for x in fp], pa.binary())}
+        if places is not None:
+            weak = np.argsort(margin.reshape(len(fp), plan.bits)[:, places], axis=3, kind="stable")[..., : plan.probes - 1].astype(np.uint8)
             out["weak"] = pa.array([x.tobytes() for x in weak], pa.binary())
         return out
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), schema, block, 512)
+    given = docs.select(F.col(id_col).cast("long").alias("node"), F.unhex(F.md5(text_col)).alias("text"), F.col(text_col).alias("whole"))
+    return mapped(given, schema, block, 512)
 
 
-def _probed(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(node, fp, which, key) of every key: word by word, the word as it is and with each weak bit flipped."""
-    words = plan.bits // 32
+def _key_places(plan: Plan) -> np.ndarray:
+    """Of each round and key the places of its bits; the last key of a round may run over the end to the first bits."""
+    steps = np.arange(0, plan.bits, PROBED_STEP)
+    return (np.array(ROUND_STARTS)[:, None, None] + steps[:, None] + np.arange(PROBED_BITS)) % plan.bits
+
+
+def _probed(nodes: DataFrame, plan: Plan, turn: int) -> DataFrame:
+    """(node, fp, which, key) of every key of a round: its bits as they are and with each weak bit flipped."""
+    places = _key_places(plan)[turn]
+    value = 1 << np.arange(PROBED_BITS - 1, -1, -1, dtype=np.int64)
 
     def block(batch: pa.RecordBatch) -> dict:
-        n = batch.num_rows
-        fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=">u4").reshape(n, words).astype(np.int64)
-        weak = np.frombuffer(b"".join(batch.column("weak").to_pylist()), dtype=np.uint8).reshape(n, words, plan.probes - 1)
-        flip = np.zeros((n, words, plan.probes), dtype=np.int64)
-        flip[:, :, 1:] = 1 << (PROBED_BITS - 1 - weak.astype(np.int64))
-        key = (fp >> (32 - PROBED_BITS))[:, :, None] ^ flip | (np.arange(words) << PROBED_BITS)[None, :, None]
-        ends = np.arange(n + 1, dtype=np.int32) * (words * plan.probes)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.reshape(-1)))
-        return {"node": batch.column("node"), "fp": batch.column("fp"), "keys": keys}
+        n, keys = batch.num_rows, len(places)
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(n, -1), axis=1)
+        weak = np.frombuffer(b"".join(batch.column("weak").to_pylist()), dtype=np.uint8).reshape(n, len(ROUND_STARTS), keys, -1)[:, turn]
+        own = bits[:, places] @ value
+        flip = np.zeros((n, keys, plan.probes), dtype=np.int64)
+        flip[:, :, 1:] = value[weak]
+        key = own[:, :, None] ^ flip | (np.arange(keys) << PROBED_BITS)[None, :, None]
+        ends = np.arange(n + 1, dtype=np.int32) * (keys * plan.probes)
+        return {"node": batch.column("node"), "fp": batch.column("fp"), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(key.reshape(-1)))}
 
     found = mapped(nodes.select("node", "fp", "weak"), "node long, fp binary, keys array<long>", block)
     return found.select("node", "fp", F.posexplode("keys").alias("which", "key"))
@@ -190,17 +211,18 @@ def _reduced(found: list[np.ndarray], n: int) -> np.ndarray:
     return np.stack([child, label[child]], axis=1)
 
 
-def linked(nodes: DataFrame, plan: Plan) -> DataFrame:
+def linked(nodes: DataFrame, plan: Plan, turn: int = 0) -> DataFrame:
     """Edges (a, b) that span the components of distinct fingerprints (node long, fp binary, with probes also weak binary).
 
+    turn: with probes, the round of keys.
+
     Every row meets, in sorted runs, the rows that share a key. Runs longer than
     BLOCK_ROWS are dealt out: each row goes to the tiles of its own block with
     every block, so that all pairs still meet and no task holds a whole key.
     """
-    nodes = nodes.where(F.col("node").isNotNull())
     if plan.probes:
-        starts = np.repeat(np.arange(0, plan.segments, 32 // SEGMENT_BITS), plan.probes)
-        dealt = _probed(nodes, plan)
+        starts = np.repeat(_key_places(plan)[turn, :, 0] // SEGMENT_BITS, plan.probes)
+        dealt = _probed(nodes, plan, turn)
     else:
         keys = plan.keys()
         starts = np.array([start for start, _ in keys], dtype=np.int64)
@@ -258,29 +280,98 @@ def _spell(digits, places: list[int]):
     return F.concat(*parts)
 
 
+def _missing(nodes: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
+    """(node, whole boolean) of the audited fingerprints that have links: whether all their links lie in one component.
+
+    The fingerprints, chosen by hash and bounded by plan.audit, are compared with all.
+    """
+    rooted = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    order = F.shiftrightunsigned(F.xxhash64("fp"), 1)
+    bound = min(1.0, 2 * plan.audit / max(1, nodes.count())) * 2.0**63  # about twice as many are ordered
+    asked = rooted.where(order <= F.lit(bound)).orderBy(order).limit(plan.audit).collect()
+    ids, own = np.array([r["node"] for r in asked], dtype=np.int64), np.array([r["root"] for r in asked], dtype=np.int64)
+    words = np.frombuffer(b"".join(bytes(r["fp"]) for r in asked), dtype=np.uint64).reshape(len(asked), plan.bits // 64)
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, own, words))
+
+    def block(batch: pa.RecordBatch) -> dict:
+        ids, own, words = shared.value
+        node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+        other = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        distance = np.zeros((len(ids), len(node)), dtype=np.uint16)
+        for w in range(words.shape[1]):
+            distance += np.bitwise_count(words[:, w, None] ^ other[None, :, w])
+        near = (distance <= plan.distance) & (ids[:, None] != node[None])
+        some = np.flatnonzero(near.any(1))
+        apart = (near & (own[:, None] != root[None])).any(1)
+        return {"node": pa.array(ids[some], pa.int64()), "whole": pa.array(~apart[some])}
+
+    return mapped(rooted, "node long, whole boolean", block, 1024).groupBy("node").agg(F.min("whole").alias("whole"))
+
+
+def _every_pair(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Edges (a, b) that span the components, all pairs of fingerprints compared in tiles of two blocks; the work is quadratic."""
+    blocks = max(1, -(-nodes.count() // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    dealt = nodes.select("node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    tile = F.least("own", "other") * F.lit(blocks).cast("long") + F.greatest("own", "other")
+
+    def meet(table: pa.Table) -> pa.Table:
+        node = table.column("node").combine_chunks().to_numpy()
+        segs = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+        pairs = _run_pairs(np.zeros(len(node), dtype=np.int64), segs, np.zeros(len(node), dtype=np.int64), Plan(plan.words, plan.bits, plan.distance, plan.distance))
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    return dealt.select("node", "fp", tile.alias("tile")).groupBy("tile").applyInArrow(meet, "a long, b long")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
+    """(node, text, fp, group long, component) of every row: group tells components apart, component is its smallest id."""
+    prints = saved(with_fingerprints(docs, id_col, text_col, plan))
+    by = [name for name in prints.columns if name not in ("node", "text")]
+    classes = prints.groupBy("fp").agg(F.min("node").alias("least"), *[F.min(name).alias(name) for name in by if name != "fp"])
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    roots = saved(connected_components(linked(classes, plan)))
+    for turn in range(1, len(ROUND_STARTS) + 1) if plan.probes else ():
+        asked, whole = _missing(classes, roots, plan).agg(F.count("*"), F.count_if("whole")).first()
+        if whole >= plan.recall * asked:
+            break
+        further = linked(classes, plan, turn) if turn < len(ROUND_STARTS) else _every_pair(classes, plan)
+        roots = saved(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further)))
+    named = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("group"))
+    ids = named.groupBy("group").agg(F.min("least").alias("component"))
+    return joined_by(prints.drop("weak"), saved(named.drop("least").join(ids, "group")), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
     """One row per document: (node, fp binary, component long: smallest id reachable by links).
 
     Exact copies of a fingerprint meet by grouping; only one of each takes part
     in the search, so no pairs within a group of copies arise. Null, empty and
     blank texts have the zero fingerprint, linked like any other. Rows with the
-    same id stay separate rows. A row without an id joins only its own
-    fingerprint's group. An empty table gives no rows.
+    same id stay separate rows. A row without an id is linked like any other;
+    a component without any id is null. An empty table gives no rows.
     """
-    prints = saved(with_fingerprints(docs, id_col, text_col, plan))
-    by = [name for name in prints.columns if name != "node"]
-    classes = saved(prints.groupBy(*by).agg(F.min("node").alias("node")))
-    roots = connected_components(linked(classes, plan))
-    named = classes.join(roots, "node", "left").select(*by, F.coalesce("root", "node").alias("component"))
-    return prints.join(saved(named), by).select("node", "fp", "component")
+    return _grouped(docs, id_col, text_col, plan).select("node", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the smallest id.
+    """The documents without near-duplicates: of each group one row, with its columns as in docs.
 
-    Rows that share the kept id count as repeats; one of them stays. Columns are
-    as in docs. Rows without an id stay.
+    It is the row with the smallest id (null last), among those the one whose
+    text has the smallest MD5 (null last), among those the one with the
+    smallest hash of all its columns. A row is judged by its own text, whatever
+    other rows have its id. Clashing column names are no matter. An empty table
+    gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col, plan)
-    kept = found.where(F.col("node") == F.col("component")).select(F.col("node").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}_" for i in range(len(names))])
+    ident, text = f"c{names.index(id_col)}_", f"c{names.index(text_col)}_"
+    found = _grouped(own, ident, text, plan)
+    order = F.struct(F.col("node").isNull().alias("a"), "node", F.col("text").isNull().alias("b"), "text")
+    best = found.groupBy("group").agg(F.min(order).alias("o")).select(F.col("o.node").alias("node_"), F.col("o.text").alias("text_"))
+    keyed = own.withColumns({"node_": F.col(ident).cast("long"), "text_": F.unhex(F.md5(text)), "hash_": F.xxhash64(*own.columns)})
+    same = keyed["node_"].eqNullSafe(best["node_"]) & keyed["text_"].eqNullSafe(best["text_"])
+    # Rows that share id and text are copies of each other; one of them stays.
+    first = Window.partitionBy("node_", "text_").orderBy("hash_")
+    kept = keyed.join(best, same, "left_semi").withColumn("place_", F.row_number().over(first)).where(F.col("place_") == 1)
+    return kept.select(*[F.col(f"c{i}_").alias(name) for i, name in enumerate(names)])

@@ -77,6 +77,7 @@ def test_simhash_edge_rows(docs):
     assert len(rows) == len(TEXTS)
     by = {r["node"]: r["component"] for r in rows}
     assert by[1] == by[2] == 1 and by[3] == by[4] == by[5] == 3 and by[None] is None
+    assert simhash.keep_one(docs.limit(0), plan=simhash.Plan.near()).count() == 0
     kept = simhash.keep_one(docs, plan=simhash.Plan.near())
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8] and kept.columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
@@ -122,12 +123,52 @@ def test_probed_keys_flip_the_weakest_bits(spark):
     text = " ".join(f"w{i % 37}" for i in range(90))
     prints = simhash.with_fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", plan)
     fp, margin = shingle_hash.fingerprints([text.encode()], plan.words, plan.bits)
-    keys = [r["key"] for r in simhash._probed(prints, plan).orderBy("which").collect()]
-    assert len(keys) == 16 * 3
-    for word in range(16):
-        lead = int.from_bytes(fp[0].tobytes()[4 * word : 4 * word + 4], "big") >> 12
-        weak = sorted(range(20), key=lambda p: (margin[0, 32 * word + p], p))[:2]
-        assert keys[3 * word : 3 * word + 3] == [(word << 20) | lead ^ flip for flip in (0, 1 << 19 - weak[0], 1 << 19 - weak[1])]
+    whole = int.from_bytes(fp[0].tobytes(), "big")
+    for turn, start in enumerate(simhash.ROUND_STARTS):
+        keys = [r["key"] for r in simhash._probed(prints, plan, turn).orderBy("which").collect()]
+        assert len(keys) == 16 * 3
+        for word in range(16):
+            own = [(32 * word + start + i) % 512 for i in range(20)]
+            lead = sum((whole >> 511 - p & 1) << 19 - i for i, p in enumerate(own))
+            weak = sorted(range(20), key=lambda i: (margin[0, own[i]], i))[:2]
+            assert keys[3 * word : 3 * word + 3] == [(word << 20) | lead ^ flip for flip in (0, 1 << 19 - weak[0], 1 << 19 - weak[1])]
+
+
+def test_further_rounds_and_the_whole_comparison_find_what_the_first_round_lacks(spark, monkeypatch):
+    """Keys that no pair shares: the audit asks for further rounds, and the last of them compares all pairs."""
+    rng = random.Random(31)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(80)]
+    edited = [t[:30] + ["one"] + t[31:60] + ["two"] + t[61:] for t in base]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + edited)], "doc_id long, text string")
+    turns, first = [], simhash.linked
+
+    def few(nodes, plan, turn=0):
+        turns.append(turn)
+        return first(nodes, plan, turn).where("a < 0") if turn < 2 else first(nodes, plan, turn)
+
+    monkeypatch.setattr(simhash, "linked", few)
+    plan = simhash.Plan.near()
+    for last in (False, True):
+        if last:
+            monkeypatch.setattr(simhash, "ROUND_STARTS", simhash.ROUND_STARTS[:2])
+        got = {r["node"]: r for r in simhash.near_duplicates(frame, plan=plan).collect()}
+        bits = [int.from_bytes(got[i]["fp"], "big") for i in range(160)]
+        close = [i for i in range(80) if (bits[i] ^ bits[80 + i]).bit_count() <= plan.distance]
+        found = sum(got[80 + i]["component"] == i for i in close)
+        assert found == len(close) if last else found >= 0.9 * len(close)
+    assert turns[:3] == [0, 1, 2] and turns[-2:] == [0, 1]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a = " ".join(f"a{i % 50}" for i in range(200))
+    b = " ".join(f"b{i % 70}" for i in range(200))
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (7, b, "z"), (9, a + " end", "u"), (None, b, "v"), (None, "c c c", "w"), (2, None, "n"), (3, "", "e"), (1, b, "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node_ string")
+    for plan in (simhash.Plan(), simhash.Plan.near()):
+        kept = sorted((r["doc_id"] or 0, r["text"] or "", r["node_"]) for r in simhash.keep_one(frame, plan=plan).collect())
+        assert kept == sorted([(1, a, "x"), (1, b, "t"), (0, "c c c", "w"), (2, "", "n")])
+    got = sorted((r["node"] or 0, r["component"]) for r in simhash.near_duplicates(frame).collect() if r["component"] is not None)
+    assert got == sorted([(1, 1), (7, 1), (7, 1), (7, 1), (9, 1), (0, 1), (2, 2), (3, 2), (1, 1)])
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -305,6 +346,8 @@ def test_exponent_meets_its_target(spark):
     assert (weights(a) / p).max() == pytest.approx(3.0, abs=1e-6)
     a = mixing.exponent(shares, 1.2, None)
     assert -(weights(a) * np.log(weights(a))).sum() == pytest.approx(1.2, abs=1e-6)
+    with pytest.raises(ValueError):
+        mixing.exponent(shares, None, 0.5)
     assert mixing.exponent(shares, None, 100.0) == 0.0 and mixing.exponent(shares, 0.1, None) == pytest.approx(1.0)
 
 
@@ -323,15 +366,21 @@ def test_mixing_stays_within_its_budget(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_line_dedup_drops_cross_site_lines_only(spark, docs):
+def test_line_dedup_drops_cross_site_lines_only(spark, docs, monkeypatch):
     foot = "All rights reserved everywhere"
     rows = [(i, f"own line {i} with many more words than the foot has\n{foot}\n\nlast own line {i}", f"s{i % 6}", 0) for i in range(30)]
     rows += [(100 + i, "a whole copy\nof two lines", f"s{i}", 0) for i in range(6)] + [(200, None, "s1", 0), (201, "", None, 0)]
+    rows += [(310, f"{foot}\nshort", "s1", 0), (320, f"{foot}\n{foot}", None, 0)]  # mostly and wholly such lines
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(frame, least_sites=6).collect()}
     assert all(got[i] == f"own line {i} with many more words than the foot has\n\nlast own line {i}" for i in range(30))
     assert got[100] == "a whole copy\nof two lines" and got[200] is None and got[201] == ""
-    assert line_dedup.drop_boilerplate(frame, least_sites=7).where(f"text like '%{foot}%'").count() == 30
+    assert got[310] == "short" and got[320] == f"{foot}\n{foot}"
+    monkeypatch.setattr(line_dedup, "HELD_LINES", 0)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(frame, least_sites=6).collect()} == got
+    most = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(frame, least_sites=6, whole_from=0.8).collect()}
+    assert most == got | {310: f"{foot}\nshort"}
+    assert line_dedup.drop_boilerplate(frame, least_sites=7).where(f"text like '%{foot}%'").count() == 32
     assert line_dedup.drop_boilerplate(docs, 2).columns == docs.columns and line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
