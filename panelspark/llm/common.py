@@ -58,11 +58,10 @@ def joined_by(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     so that no task holds all rows of such a key. There are at most
     rows / HOT_ROWS of them; over BROADCAST_KEYS, they are left to the join.
     """
-    hot = saved(left.groupBy(key).count().where((F.col("count") > HOT_ROWS) & F.col(key).isNotNull()).select(key))
-    count = hot.count()
-    if not count or count > BROADCAST_KEYS:
+    hot = left.groupBy(key).count().where((F.col("count") > HOT_ROWS) & F.col(key).isNotNull()).select(key)
+    if not 0 < hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         return left.join(right, key, how)
-    held = F.broadcast(hot)
+    held = F.broadcast(saved(hot))
     few = F.broadcast(right.join(held, key, "left_semi"))
     return left.join(held, key, "left_anti").join(right, key, how).unionByName(left.join(held, key, "left_semi").join(few, key, how))
 

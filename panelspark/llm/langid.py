@@ -143,15 +143,25 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> ByteConvNet | None:
-    """A network trained on at most `sample_rows` labelled rows, chosen by a hash of their ids; None without any.
+    """A network trained on at most `sample_rows` labelled rows, as many of each label where there are enough; None without any.
 
-    Only the first bytes of up to SAMPLE_WINDOWS windows of a sampled text are
-    fetched: this bounds what reaches the driver. Prediction reads whole texts.
+    Rows are chosen by a hash of id and text; of each, SAMPLE_WINDOWS windows
+    from anywhere in the whole text, also chosen by hash, reach the driver. Left
+    out are rows with a null text or label and windows without a letter. With
+    more than `sample_rows` labels the most frequent ones are learned.
     """
+    text = F.col("text_")
     given = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    starts = given.select(F.left(text_col, F.lit(SAMPLE_WINDOWS * WINDOW)).alias("start_"), F.col(label_col).alias("label_"), F.col(id_col).alias("id_"))
-    rows = hash_sample(starts, F.col("id_"), sample_rows)
-    rows = [(r["start_"].encode()[: SAMPLE_WINDOWS * WINDOW], r["label_"]) for r in rows if LETTER.search(r["start_"])]
+    given = given.select(F.col(text_col).alias("text_"), F.col(label_col).alias("label_"), F.col(id_col).cast("string").alias("id_"))
+    labels = [r["label_"] for r in given.groupBy("label_").count().orderBy(F.desc("count"), "label_").limit(sample_rows).collect()]
+    if not labels:
+        return None
+    room = F.greatest(F.char_length(text) - WINDOW, F.lit(0)) + 1
+    place = lambda turn: (F.pmod(F.xxhash64("id_", text, F.lit(turn)), room) + 1).cast("int")
+    drawn = given.where(F.col("label_").isin(labels)).withColumn("windows_", F.array(*[F.substring(text, place(t), F.lit(WINDOW)) for t in range(SAMPLE_WINDOWS)]))
+    sample = hash_sample(drawn, [F.col("id_"), text], max(1, sample_rows // len(labels)), "label_")
+    found = sample.select("label_", F.explode("windows_").alias("window_")).orderBy("label_", "window_").collect()
+    rows = [(r["window_"].encode()[:WINDOW], r["label_"]) for r in found if LETTER.search(r["window_"])]
     if not rows:
         return None
     labels = sorted({label for _, label in rows})
@@ -206,7 +216,10 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str], text_col:
 def rejected(docs: DataFrame, net: ByteConvNet | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs without the texts whose language can't be told: `und`, or a score under `least`. All columns stay.
 
-    A clashing column named lang_pred or score is kept as it was.
+    Null, empty and letterless texts are `und` and go. Without a network (there
+    was nothing to learn from) no text can be judged, and all rows stay. Repeated
+    rows are judged each; an empty table gives no rows. A clashing column named
+    lang_pred or score is kept as it was.
     """
     names = docs.columns
     renamed = docs.toDF(*[f"c{i}_" for i in range(len(names))])
