@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.bpe import read_ranks
+from panelspark.llm.common import mapped
 
 
 class CapacityTree:
@@ -118,24 +120,56 @@ def _packed(ids: list, tokens: list[list[int]], capacity: int, block: int) -> pa
     )
 
 
+def free_id(vocabulary: str) -> int:
+    """An id that no token of a rank file has, for padding."""
+    return max(read_ranks(vocabulary).values()) + 1
+
+
 def write_matrices(packed: DataFrame, path: str, capacity: int = 2048, pad: int = 50_256) -> None:
-    """Write the packed rows as Parquet: fixed-length id rows, positions that restart with each segment, cumulative lengths."""
+    """Write packed rows as Parquet: fixed-length rows of ids and of positions, and what pack_tokens says of their segments.
+
+    positions restart at 0 with each segment. What a row has free is filled with
+    `pad` (see free_id: an id outside the vocabulary) at position 0; n_tokens
+    tells where that begins. Null and empty texts are in no row; an empty table
+    gives an empty file with the same columns.
+    """
+    if not 0 <= pad < 1 << 31:
+        raise ValueError(f"not an id: {pad}")
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, positions = [], []
-            for raw, cuts in zip(batch.column("ids").to_pylist(), batch.column("cu_seqlens").to_pylist(), strict=True):
-                row = np.full(capacity, pad, dtype=np.int32)
-                place = np.zeros(capacity, dtype=np.int32)
-                row[: len(raw) // 4] = np.frombuffer(raw, dtype="<u4")
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    place[a:b] = np.arange(b - a)
-                ids.append(row)
-                positions.append(place)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_pydict(
-                {"block": batch.column("block"), "row": batch.column("row"), "ids": pa.array(ids, kind), "positions": pa.array(positions, kind), "cu_seqlens": batch.column("cu_seqlens")}
-            )
-
-    rows = packed.select("block", "row", "ids", "cu_seqlens")
-    rows.mapInArrow(matrix, "block long, row long, ids array<int>, positions array<int>, cu_seqlens array<int>").write.parquet(path)
+            n = batch.num_rows
+            used = batch.column("n_tokens").to_numpy().astype(np.int64)
+            filled = np.arange(capacity)[None] < used[:, None]
+            ids = np.full((n, capacity), pad, dtype=np.int32)
+            ids[filled] = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4")
+            cuts = batch.column("cu_seqlens")
+            size = np.diff(cuts.offsets.to_numpy())
+            bounds = cuts.flatten().to_numpy()
+            first = np.delete(np.arange(len(bounds)), np.cumsum(size) - 1)  # a row's last bound begins no segment
+            length = bounds[first + 1] - bounds[first]
+            positions = np.zeros((n, capacity), dtype=np.int32)
+            positions[filled] = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * capacity)
+            out = {name: pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for name, x in (("ids", ids), ("positions", positions))}
+            yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "row": batch.column("row")} | out | {c: batch.column(c) for c in kept})
+
+    kept = ("n_tokens", "cu_seqlens", "ids_of", "offsets")
+    schema = "block long, row long, ids array<int>, positions array<int>, n_tokens int, cu_seqlens array<int>, ids_of array<long>, offsets array<long>"
+    packed.select("block", "row", "ids", *kept).mapInArrow(matrix, schema).write.parquet(path)
+
+
+def digests(matrices: DataFrame) -> DataFrame:
+    """Written matrices with SHA-256 digests in place of ids (a row's own, without padding) and positions (the whole row), as little-endian 32-bit integers."""
+
+    def told(batch: pa.RecordBatch) -> dict:
+        n, used = batch.num_rows, batch.column("n_tokens").to_pylist()
+        ids, positions = (np.asarray(batch.column(c).flatten().to_numpy()).reshape(n, -1).astype("<u4") for c in ("ids", "positions"))
+        own = {
+            "ids_sha256": [hashlib.sha256(row[:k].tobytes()).hexdigest() for row, k in zip(ids, used, strict=True)],
+            "positions_sha256": [hashlib.sha256(row.tobytes()).hexdigest() for row in positions],
+        }
+        return {c: batch.column(c) for c in ("block", "row")} | own | {c: batch.column(c) for c in ("n_tokens", "cu_seqlens", "ids_of", "offsets")}
+
+    schema = "block long, row long, ids_sha256 string, positions_sha256 string, n_tokens int, cu_seqlens array<int>, ids_of array<long>, offsets array<long>"
+    return mapped(matrices, schema, told, 512)

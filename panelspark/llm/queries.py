@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, langid, line_dedup, mixing, nn_descent, packing, quality, simhash, token_counts, topk
+from panelspark.llm.common import fresh_folder
 from panelspark.registry import Registry
 
 REGISTRY = Registry()
@@ -32,9 +33,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    packed = packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packed.withColumn("ids", F.sha2("ids", 256)).withColumnRenamed("ids", "ids_sha256")
+    """The matrices are written to the shared folder; digests are of what is read back."""
+    vocabulary, folder = public_tokenizers.path("byte_bpe_50k.tiktoken"), fresh_folder(spark, "packed")
+    packed = packing.pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, public_tokenizers.PATTERN)
+    packing.write_matrices(packed, folder, pad=packing.free_id(vocabulary))
+    return packing.digests(spark.read.parquet(folder))
 
 
 @REGISTRY.query("op8_mixing", f"SELECT doc_id, source, mix_epoch_ AS epoch FROM ({mixing.sql()})")
