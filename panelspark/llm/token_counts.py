@@ -77,6 +77,16 @@ def _counter(content: str) -> Counter:
     return _COUNTERS[key]
 
 
+def _check(parts: dict) -> None:
+    """Cuts at spaces hold for byte-level BPE with its own pre-token pattern, no normaliser, and added tokens without white space at which they could be cut."""
+    before = parts.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    added = parts.get("added_tokens") or []
+    whole = not any(x.get("lstrip") or x.get("rstrip") or x["content"].split() != [x["content"]] for x in added)
+    if (parts.get("model") or {}).get("type") != "BPE" or not plain or parts.get("normalizer") or not whole:
+        raise ValueError("not a plain byte-level BPE tokenizer")
+
+
 def count_tokens(
     docs: DataFrame,
     tokenizer: str,
@@ -92,10 +102,13 @@ def count_tokens(
     driver. Special strings inside texts count as the library's default has it;
     none are added. Texts over `window` characters go through overlapping
     windows. A null text counts as empty, with 0 bytes and tokens; repeated rows
-    stay; an empty table gives no rows.
+    stay; an empty table gives no rows. A ValueError for other kinds of
+    tokenizer files, whose texts may not be cut at spaces.
     """
     with open(tokenizer, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        content = file.read()
+    _check(json.loads(content))
+    shared = docs.sparkSession.sparkContext.broadcast(content)
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
 
