@@ -11,14 +11,16 @@
 4. Audit: a fixed number of nodes whose lists are not full is compared with all
    rows; if too few of their links were found, another start is added and the
    descent repeated. If the last start fails too, all pairs are compared.
-Links are the pairs at or above the threshold.
+The search carries vectors of unit length as 16-bit integers; pairs whose cosine
+lies closer to the threshold than that rounding are compared again in double
+precision. Links are the pairs at or above the threshold.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from panelspark.llm.components import connected_components
 
 #: Sizes of components are broadcast only up to this count.
 BROADCAST_ROOTS = 100_000
+#: A component x of a unit vector is carried as round(SHORT * x).
+SHORT = 32_767
 
 
 @dataclass(frozen=True)
@@ -67,6 +71,26 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": unit, "label": batch.column("label")})
 
 
+def _rounded(v: pa.ListArray) -> pa.Array:
+    """The vectors as 16-bit integers, a binary value each."""
+    flat = np.rint(np.asarray(v.flatten().to_numpy(zero_copy_only=False)) * SHORT).astype("<i2")
+    ends = np.append(0, np.cumsum(np.diff(v.offsets.to_numpy()))).astype(np.int32) * 2
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
+def _short(q: pa.Array) -> np.ndarray:
+    """Rounded vectors of one length as a matrix."""
+    return np.frombuffer(b"".join(q.to_pylist()), dtype="<i2").reshape(len(q), -1).astype(np.float32) / SHORT
+
+
+def _margin(dim: int) -> float:
+    """The most by which a product of rounded unit vectors differs from their cosine.
+
+    Rounding moves a vector by at most sqrt(dim) / 2 / SHORT; sums in single precision are off by far less than the second term.
+    """
+    return math.sqrt(dim) / SHORT + 1e-5 + dim * 1e-7
+
+
 def _runs(key: np.ndarray) -> np.ndarray:
     """Begins of the runs of equal keys, and the end."""
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -149,19 +173,19 @@ def _start(nodes: DataFrame, sizes: DataFrame, bits: int, seed: int, s: Settings
                 {
                     "id": batch.column("id"),
                     "label": batch.column("label"),
-                    "v": batch.column("v"),
+                    "q": batch.column("q"),
                     "codes": pa.array(list(code), pa.list_(pa.int64())),
                     "spread": pa.array(list(spread), pa.list_(pa.float64())),
                 }
             )
 
     kind = nodes.schema["label"].dataType.simpleString()
-    coded = nodes.mapInArrow(codes, f"id long, label {kind}, v array<double>, codes array<long>, spread array<double>")
-    coded = coded.withColumn("dim", F.size("v")).join(_few(sizes), ["label", "dim"])
-    trees = coded.select("id", "label", "dim", "v", "spread", "bits", F.posexplode(F.slice("codes", F.lit(1), F.col("trees"))).alias("tree", "code"))
+    coded = nodes.mapInArrow(codes, f"id long, label {kind}, q binary, codes array<long>, spread array<double>")
+    coded = coded.withColumn("dim", (F.octet_length("q") / 2).cast("int")).join(_few(sizes), ["label", "dim"])
+    trees = coded.select("id", "label", "dim", "q", "spread", "bits", F.posexplode(F.slice("codes", F.lit(1), F.col("trees"))).alias("tree", "code"))
     own_bits = F.col("code").bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))
     leaf_key = F.xxhash64("label", "tree", own_bits, "dim")
-    placed = trees.select(leaf_key.alias("leaf"), F.element_at("spread", F.col("tree") + 1).alias("place"), "id", "v")
+    placed = trees.select(leaf_key.alias("leaf"), F.element_at("spread", F.col("tree") + 1).cast("float").alias("place"), "id", "q")
     # Ordered by place within a leaf and dealt by range, a crowded leaf is cut between tasks and into parts.
     ordered = placed.repartitionByRange("leaf", "place", "id").sortWithinPartitions("leaf", "place", "id")
 
@@ -170,14 +194,14 @@ def _start(nodes: DataFrame, sizes: DataFrame, bits: int, seed: int, s: Settings
             if not batch.num_rows:
                 continue
             leaf, ids = batch.column("leaf").to_numpy(), batch.column("id").to_numpy()
-            lists = batch.column("v")
+            lists = batch.column("q")
             a, b, cosine = [], [], []
             bounds = _runs(leaf)
             for low, high in zip(bounds, bounds[1:], strict=False):
                 for at in range(low, high, s.leaf):
                     end = min(at + 2 * s.leaf, high)  # parts overlap by half
                     if end - at > 1:
-                        x = _matrix(lists.slice(at, end - at))
+                        x = _short(lists.slice(at, end - at))
                         found = _best(ids[at:end], x @ x.T, np.full(end - at, -1.5), s.neighbours, s)
                         for out, part in zip((a, b, cosine), found, strict=True):
                             out.append(part)
@@ -206,31 +230,36 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int, s: Settings) -> DataFra
     full = F.count_if(F.col("cosine") >= s.threshold) >= s.largest
     floor = F.when(full, F.min("cosine")).when(F.count("*") >= k, F.least(F.min("cosine"), F.lit(s.threshold - 1e-12))).otherwise(F.lit(-1.5))
     floor = lists.groupBy(F.col("a").alias("id")).agg(floor.alias("floor"))
-    filled = nodes.select("id", "v").join(floor, "id", "left").select("id", "v", F.coalesce("floor", F.lit(-1.5)).alias("floor"))
+    filled = nodes.select("id", "q").join(floor, "id", "left").select("id", "q", F.coalesce("floor", F.lit(-1.5)).cast("float").alias("floor"))
     met = around.join(filled, "id").repartition("hub").sortWithinPartitions("hub", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, "hub"):
             hub, ids, floor = (batch.column(c).to_numpy() for c in ("hub", "id", "floor"))
-            x = _matrix(batch.column("v")) if len({*np.diff(batch.column("v").offsets.to_numpy())}) == 1 else None
             a, b, cosine = [], [], []
             bounds = _runs(hub)
             for low, high in zip(bounds, bounds[1:], strict=False):
                 if high - low > 1:
-                    own = x[low:high] if x is not None else _matrix(batch.column("v").slice(low, high - low))
+                    own = _short(batch.column("q").slice(low, high - low))
                     found = _best(ids[low:high], own @ own.T, floor[low:high], k, s)
                     for out, part in zip((a, b, cosine), found, strict=True):
                         out.append(part)
             yield _edges(a, b, cosine)
 
-    better = met.select("hub", "id", "v", "floor").mapInArrow(meet, "a long, b long, cosine double")
+    better = met.select("hub", "id", "q", "floor").mapInArrow(meet, "a long, b long, cosine double")
     return saved(_lists(lists.drop("rank").unionByName(better), k, s))
 
 
-def _links(lists: DataFrame, threshold: float) -> DataFrame:
-    """Each linked pair once, the smaller id first."""
-    linked = lists.where(F.col("cosine") >= threshold)
-    return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _links(lists: DataFrame, nodes: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """Each linked pair once, the smaller id first. Pairs within the margin of the threshold are compared in double precision."""
+    near = lists.where(F.col("cosine") >= threshold - margin)
+    pairs = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
+    sure = pairs.where(F.col("cosine") >= threshold + margin).select("a", "b")
+    close = pairs.where(F.col("cosine") < threshold + margin)
+    whole = lambda end: nodes.select(F.col("id").alias(end), F.col("v").alias(f"v{end}"))
+    product = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    exact = close.join(whole("a"), "a").join(whole("b"), "b").where(product >= threshold).select("a", "b")
+    return sure.unionByName(exact)
 
 
 def _audit(nodes: DataFrame, links: DataFrame, full: DataFrame, s: Settings) -> float:
@@ -370,9 +399,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     able = is_finite("v") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)
     good = saved(rows.where(able).mapInArrow(_unit, f"id long, v array<double>, label {rows.schema['label'].dataType.simpleString()}"))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    nodes = saved(classes.withColumn("copies", F.col("copies").cast("long")))
+    shorter = lambda batches: (batch.append_column("q", _rounded(batch.column("v"))) for batch in batches)
+    nodes = saved(classes.mapInArrow(shorter, f"label {rows.schema['label'].dataType.simpleString()}, v array<double>, id long, copies long, q binary"))
     sizes = saved(nodes.groupBy("label", F.size("v").alias("dim")).count())
-    largest = sizes.agg(F.max("count")).first()[0] or 0
+    largest, longest = sizes.agg(F.max("count"), F.max("dim")).first()
+    largest, margin = largest or 0, _margin(longest or 0)
+    loose = replace(s, threshold=s.threshold - margin)
     bits = max(0, math.ceil(math.log2(max(1, largest) / s.leaf)))
     trees = F.array(*[F.lit(_trees(b, s)) for b in range(bits + 1)])
     own_bits = F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / s.leaf)))).cast("int")
@@ -380,22 +412,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     lists, k, passed = None, s.neighbours, False
     for start in range(s.starts):
-        fresh = _start(nodes, sizes, bits, s.seed + start, s)
-        lists = saved(_lists(fresh if lists is None else lists.drop("rank").unionByName(fresh), k, s))
+        fresh = _start(nodes, sizes, bits, s.seed + start, loose)
+        lists = saved(_lists(fresh if lists is None else lists.drop("rank").unionByName(fresh), k, loose))
         for _ in range(s.rounds):
             before = lists
-            lists = _descend(lists, nodes, k, s)
+            lists = _descend(lists, nodes, k, loose)
             gained = lists.join(before.select("a", "b"), ["a", "b"], "left_anti").count()
             if gained <= 0.01 * max(1, lists.count()):
                 break
-        while k < s.largest and not _saturated(lists, k, s).isEmpty():
+        while k < s.largest and not _saturated(lists, k, loose).isEmpty():
             k = min(2 * k, s.largest)
-            crowded = _saturated(lists, k // 2, s)
+            crowded = _saturated(lists, k // 2, loose)
             near = lists.join(crowded.withColumnRenamed("id", "a"), "a", "left_semi")
-            more = _descend(near, nodes.join(near.select(F.col("b").alias("id")).unionByName(crowded).distinct(), "id", "left_semi"), k, s)
-            lists = saved(_lists(lists.unionByName(more).drop("rank"), k, s))
-        links = saved(_links(lists, s.threshold))
-        full = saved(_saturated(lists, s.largest, s))
+            more = _descend(near, nodes.join(near.select(F.col("b").alias("id")).unionByName(crowded).distinct(), "id", "left_semi"), k, loose)
+            lists = saved(_lists(lists.unionByName(more).drop("rank"), k, loose))
+        links = saved(_links(lists, nodes, s.threshold, margin))
+        full = saved(_saturated(lists, s.largest, loose))
         passed = _audit(nodes, links, full, s) >= s.recall
         if passed:
             break
