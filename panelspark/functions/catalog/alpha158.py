@@ -37,7 +37,8 @@ def flow(s: Stages, n: int) -> dict[str, Series]:
     dc, dv = c - c.shift(1), v - v.shift(1)
     up, down = dc.max(0.0), (-dc).max(0.0)
     more, less = dv.max(0.0), (-dv).max(0.0)
-    rising, falling = (c > c.shift(1)).rolling_mean(n), (c < c.shift(1)).rolling_mean(n)
+    # A bar without a bar before neither rises nor falls: it is not known.
+    rising, falling = (c > c.shift(1)).given(dc).rolling_mean(n), (c < c.shift(1)).given(dc).rolling_mean(n)
     moved, turned = dc.abs().rolling_sum(n) + TINY, dv.abs().rolling_sum(n) + TINY
     weighted = (c / c.shift(1) - 1).abs() * v
     return {

@@ -15,7 +15,6 @@ def price_alphas(s: Stages) -> dict[str, Series]:
     place = ((c - lo) - (h - c)) / (h - lo)
     typical = (c + h + lo) / 3
     means = c.rolling_mean(3) + c.rolling_mean(6) + c.rolling_mean(12) + c.rolling_mean(24)
-    gap = lambda n: c.rolling_mean(n)
     busy = v / v.rolling_mean(20)
     drift = o.rolling_sum(5) * ret.rolling_sum(5)
     reach = (h - lo) / (c.rolling_sum(5) / 5)
@@ -30,17 +29,17 @@ def price_alphas(s: Stages) -> dict[str, Series]:
         18: c / c.shift(5),
         20: (c - c.shift(6)) / c.shift(6) * 100,
         29: (c - c.shift(6)) / c.shift(6) * v,
-        31: (c - gap(12)) / gap(12) * 100,
+        31: (c - c.rolling_mean(12)) / c.rolling_mean(12) * 100,
         33: (-lo.rolling_min(5) + lo.rolling_min(5).shift(5)) * ((ret.rolling_sum(240) - ret.rolling_sum(20)) / 220).cs_rank() * v.ts_rank(5),
-        34: gap(12) / c,
+        34: c.rolling_mean(12) / c,
         37: -(drift - drift.shift(10)).cs_rank(),
         41: -vwap.diff(3).rolling_max(5).cs_rank(),
         46: means / (4 * c),
         60: (place * v).rolling_sum(20),
-        65: gap(6) / c,
-        66: (c - gap(6)) / gap(6) * 100,
+        65: c.rolling_mean(6) / c,
+        66: (c - c.rolling_mean(6)) / c.rolling_mean(6) * 100,
         70: a.rolling_std(6),
-        71: (c - gap(24)) / gap(24) * 100,
+        71: (c - c.rolling_mean(24)) / c.rolling_mean(24) * 100,
         80: (v - v.shift(5)) / v.shift(5) * 100,
         85: busy.ts_rank(20) * (-c.diff(7)).ts_rank(8),
         88: (c - c.shift(20)) / c.shift(20) * 100,

@@ -49,10 +49,15 @@ WINDOWS: dict[str, tuple[Callable, Callable]] = {
 
 
 class Stages:
-    """The projections that a set of formulas needs; equal parts are computed once."""
+    """The projections that a set of formulas needs; equal parts are computed once.
 
-    def __init__(self, sql: bool = False) -> None:
-        self.sql = sql
+    corr_digits: rolling correlations are rounded to so many digits. A query
+    sets it where its formulas rank correlations and two engines must see the
+    same ties; by default nothing is rounded.
+    """
+
+    def __init__(self, sql: bool = False, corr_digits: int | None = None) -> None:
+        self.sql, self.corr_digits = sql, corr_digits
         self.levels: list[dict[str, object]] = []
         self.names: dict[str, str] = {}
 
@@ -140,6 +145,10 @@ class Series:
     def min(self, o):
         return self._with(o, "min", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)), "(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN least({a}, {b}) END)")
 
+    def given(self, o):
+        """The value where the other is known, else NULL."""
+        return self._with(o, "given", lambda a, b: F.when(b.isNotNull(), a), "(CASE WHEN {b} IS NOT NULL THEN {a} END)")
+
     def where(self, o):
         """The value where the other is above zero, else NULL."""
         return self._with(o, "where", lambda a, b: F.when(b > 0, a), "(CASE WHEN {b} > 0 THEN {a} END)")
@@ -151,6 +160,41 @@ class Series:
     def abs(self):
         return self._one("abs", F.abs, "abs({a})")
 
+    def both(self, o):
+        """1 where both are above zero, else 0; NULL counts as not. With `not_` and `either` the logic of comparisons."""
+        return self._with(o, "&", lambda a, b: F.when((a > 0) & (b > 0), 1.0).otherwise(0.0), "(CASE WHEN {a} > 0 AND {b} > 0 THEN 1.0 ELSE 0.0 END)")
+
+    def either(self, o):
+        return self._with(o, "|", lambda a, b: F.when((a > 0) | (b > 0), 1.0).otherwise(0.0), "(CASE WHEN {a} > 0 OR {b} > 0 THEN 1.0 ELSE 0.0 END)")
+
+    def not_(self):
+        return self._one("not", lambda a: F.when(a > 0, 0.0).otherwise(1.0), "(CASE WHEN {a} > 0 THEN 0.0 ELSE 1.0 END)")
+
+    def __le__(self, o):
+        return self._with(o, "<=", lambda a, b: F.coalesce((a <= b).cast("double"), F.lit(0.0)), "coalesce(({a} <= {b})::DOUBLE, 0.0)")
+
+    def __ge__(self, o):
+        return self._with(o, ">=", lambda a, b: F.coalesce((a >= b).cast("double"), F.lit(0.0)), "coalesce(({a} >= {b})::DOUBLE, 0.0)")
+
+    def equals(self, o):
+        return self._with(o, "==", lambda a, b: F.coalesce((a == b).cast("double"), F.lit(0.0)), "coalesce(({a} = {b})::DOUBLE, 0.0)")
+
+    def between(self, low, high):
+        """A chained comparison, both ends taken in."""
+        return (self >= low).both(self <= high)
+
+    def pow(self, exponent: float):
+        return self._one(f"pow{exponent!r}", lambda a: F.pow(F.when((a > 0) | F.lit(float(exponent).is_integer()), a), F.lit(float(exponent))), f"pow(CASE WHEN {{a}} > 0 OR {float(exponent).is_integer()} THEN {{a}} END, {float(exponent)!r})")
+
+    def sqrt(self):
+        return self._one("sqrt", lambda a: F.sqrt(F.when(a >= 0, a)), "sqrt(CASE WHEN {a} >= 0 THEN {a} END)")
+
+    def log2(self):
+        return self._one("log2", lambda a: F.log2(F.when(a > 0, a)), "log2(CASE WHEN {a} > 0 THEN {a} END)")
+
+    def clip(self, low: float, high: float):
+        return self.max(low).min(high)
+
     def log(self):
         return self._one("log", lambda a: F.ln(F.when(a > 0, a)), "(CASE WHEN {a} > 0 THEN ln({a}) END)")
 
@@ -163,6 +207,9 @@ class Series:
             others = [self.stages.settled(a) if isinstance(a, Series) else a for a in args]
             function = WINDOWS[name][self.stages.sql]
             form = function(base.form, *[a.form if isinstance(a, Series) else a for a in others])
+            digits = self.stages.corr_digits
+            if digits is not None and name in ("rolling_corr", "rolling_corr_zero"):
+                form = f"round({form}, {digits})" if self.stages.sql else F.round(form, digits)
             key = f"{base.key}.{name}({', '.join(a.key if isinstance(a, Series) else repr(a) for a in others)})"
             level = max([base.level, *(a.level for a in others if isinstance(a, Series))])
             return self.stages.settled(Series(self.stages, form, key, level, True))

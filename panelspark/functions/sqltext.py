@@ -75,7 +75,7 @@ def spread(x: str, n: int) -> str:
 
 
 def corr(x: str, y: str, n: int) -> str:
-    return f"round({div(cov(x, y, n), f'({spread(x, n)} * {spread(y, n)})')}, 6)"
+    return div(cov(x, y, n), f"({spread(x, n)} * {spread(y, n)})")
 
 
 def corr_zero(x: str, y: str, n: int) -> str:

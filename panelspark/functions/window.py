@@ -90,20 +90,20 @@ def rolling_cov(x: Column, y: Column, n: int) -> Column:
     return F.when(F.count(both).over(last_n(n)) == n, F.covar_samp(x, y).over(last_n(n)))
 
 
-def _spread(x: Column, n: int) -> Column:
-    """rolling_std, NULL where it is but the rounding error of equal values."""
+def _spread(x: Column, n: int, noise: float) -> Column:
+    """rolling_std, NULL where it is but the rounding error of equal values: up to `noise` of the mean."""
     std = rolling_std(x, n)
-    return F.when(std > 1e-9 * F.abs(F.avg(x).over(last_n(n))), std)
+    return F.when(std > noise * F.abs(F.avg(x).over(last_n(n))), std)
 
 
-def rolling_corr(x: Column, y: Column, n: int) -> Column:
-    """NULL for a window that is constant up to rounding. Six digits, so that windows that correlate alike rank alike."""
-    return F.round(div(rolling_cov(x, y, n), _spread(x, n) * _spread(y, n)), 6)
+def rolling_corr(x: Column, y: Column, n: int, noise: float = 1e-9) -> Column:
+    """NULL for a window whose deviation is no more than `noise` of its mean: it is constant up to rounding."""
+    return div(rolling_cov(x, y, n), _spread(x, n, noise) * _spread(y, n, noise))
 
 
-def rolling_corr_zero(x: Column, y: Column, n: int) -> Column:
+def rolling_corr_zero(x: Column, y: Column, n: int, noise: float = 1e-9) -> Column:
     """As rolling_corr, but 0 for a constant full window."""
-    return F.when(full(x, n) & full(y, n), F.coalesce(rolling_corr(x, y, n), F.lit(0.0)))
+    return F.when(full(x, n) & full(y, n), F.coalesce(rolling_corr(x, y, n, noise), F.lit(0.0)))
 
 
 def rolling_quantile(x: Column, n: int, q: float) -> Column:

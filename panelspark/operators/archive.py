@@ -65,6 +65,32 @@ def screen_picks(found: DataFrame, formula: str) -> DataFrame:
     return ranked.where(F.col("place_") == 1).select("family", "run_id", "sharpe", "family_size")
 
 
+def window_usage(runs: DataFrame) -> DataFrame:
+    """(date_from, date_to, used): how often completed runs used each test window."""
+    test = F.from_json("config_json", CONFIG)["test"]
+    return runs.groupBy(test["date_from"].alias("date_from"), test["date_to"].alias("date_to")).agg(F.count_if(F.col("status") == "completed").alias("used"))
+
+
+def with_names(runs: DataFrame, names: DataFrame) -> DataFrame:
+    """(run_id, names): the sorted, distinct names of a run's factors, joined from a table (factor, name); "" for none."""
+    factors = runs.select("run_id", F.explode_outer(F.from_json("config_json", CONFIG)["factor_versions"]).alias("factor"))
+    joined = factors.join(names, "factor", "left").groupBy("run_id")
+    return joined.agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+
+
+def overlapping(runs: DataFrame, date_from: str, date_to: str, status: str, number: int = 1, size: int = 20) -> DataFrame:
+    """(run_id, sharpe, total): a page of the runs whose test window overlaps a span, best first, with the number of all of them."""
+    test = F.from_json("config_json", CONFIG)["test"]
+    inside = runs.where((F.col("status") == status) & (test["date_from"] <= date_to) & (test["date_to"] >= date_from))
+    found = inside.select("run_id", F.from_json("metrics_json", METRICS)["sharpe"].alias("sharpe"))
+    page = found.orderBy(F.col("sharpe").desc_nulls_last(), "run_id").offset((number - 1) * size).limit(size)
+    return page.join(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row
+
+
+def latest_runs(runs: DataFrame, n: int) -> DataFrame:
+    return runs.orderBy(F.desc("finished"), F.desc("run_id")).limit(n)
+
+
 def status_counts(runs: DataFrame, kinds: DataFrame) -> DataFrame:
     """(kind, status, n) over several tables of runs (kind, status), stacked."""
     return runs.select("kind", "status").unionByName(kinds.select("kind", "status")).groupBy("kind", "status").agg(F.count("*").alias("n"))

@@ -138,6 +138,60 @@ def ledger_curve(trades: DataFrame, calendar: DataFrame, prices: DataFrame, capi
     return daily.select("date", cash.alias("cash"), "invested", (cash + F.col("invested")).alias("equity"))
 
 
+def benchmark_curve(prices: DataFrame, calendar: DataFrame, start: float) -> DataFrame:
+    """(date, equity): a benchmark's closes (date, close) carried forward over the dates of a curve, scaled to begin at `start`.
+
+    Closes that are NULL or zero are not prices. Dates before the first price have none; without a positive first price there is no curve.
+    """
+    first = prices.agg(F.min_by("close", "date").alias("first_")).where(F.col("first_") > 0)
+    known = prices.where(F.col("close") != 0)
+    line = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a session
+    every = calendar.select("date").withColumn("asked_", F.lit(True)).join(known.select("date", "close"), "date", "left")
+    carried = every.withColumn("close", F.last("close", ignorenulls=True).over(line)).where(F.col("close").isNotNull())
+    return carried.join(F.broadcast(first)).select("date", (F.lit(start) * F.col("close") / F.col("first_")).alias("equity"))  # first: one row
+
+
+def one_price_a_date(index_daily: DataFrame, code: str) -> DataFrame:
+    """(date, close) of one index: positive closes, one row a date."""
+    own = index_daily.where((F.col("ts_code") == code) & (F.col("close") > 0))
+    return own.groupBy("date").agg(F.max("close").alias("close"))
+
+
+def curve_metrics(curve: DataFrame, per_year: int = 252) -> DataFrame:
+    """One row: days, total and yearly return (by 365.25 days), Sharpe, worst drawdown, win rate and mean share of capital in use.
+
+    curve: (date, equity, invested).
+    """
+    daily = curve_returns(curve).join(curve, "date")
+    peak = F.max("equity").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))  # one row a session
+    drawn = daily.withColumns({"drawdown_": div(F.col("equity"), peak) - 1, "use_": div(F.col("invested"), F.col("equity"))})
+    total = div(F.max_by("equity", "date"), F.min_by("equity", "date"))
+    years = F.datediff(F.max("date"), F.min("date")) / 365.25
+    return drawn.agg(
+        F.count("*").alias("days"), (total - 1).alias("total_return"), (F.pow(total, div(F.lit(1.0), years)) - 1).alias("annual_return"),
+        (div(F.avg("ret"), F.stddev_samp("ret")) * per_year**0.5).alias("sharpe"), F.min("drawdown_").alias("max_drawdown"),
+        F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("use_").alias("capital_usage"),
+    )
+
+
+def by_year(curve: DataFrame) -> DataFrame:
+    """(year, ret, max_drawdown) of an equity curve within each calendar year, from its first to its last session."""
+    inside = Window.partitionBy(F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = curve.withColumn("drawdown_", div(F.col("equity"), F.max("equity").over(inside)) - 1)
+    ret = div(F.max_by("equity", "date"), F.min_by("equity", "date")) - 1
+    return drawn.groupBy(F.year("date").alias("year")).agg(ret.alias("ret"), F.min("drawdown_").alias("max_drawdown"))
+
+
+def holding_profit(weights: DataFrame, outcomes: DataFrame, outcome: str, curve: DataFrame) -> DataFrame:
+    """(instrument, start, end, sessions, profit) of each episode: the sum of weight, outcome and the book's wealth before the day."""
+    before = curve.select("date", F.lag("wealth", 1, 1.0).over(Window.orderBy("date")).alias("wealth_"))  # one row a session
+    gains = weights.join(outcomes.select("date", "instrument", outcome), ["date", "instrument"]).join(F.broadcast(before), "date")
+    gains = gains.select("instrument", "date", (F.col("weight") * F.coalesce(F.col(outcome), F.lit(0.0)) * F.col("wealth_")).alias("gain_"))
+    runs = episodes(weights)
+    inside = (gains["instrument"] == runs["instrument"]) & gains["date"].between(runs["start"], runs["end"])
+    return runs.join(gains, inside).groupBy(runs["instrument"], "start", "end", "sessions").agg(F.sum("gain_").alias("profit"))
+
+
 def curve_returns(curve: DataFrame) -> DataFrame:
     """(date, ret) of an equity curve, 0 where the equity before is 0 or missing."""
     before = F.lag("equity").over(Window.orderBy("date"))

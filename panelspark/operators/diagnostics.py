@@ -46,15 +46,45 @@ def signs(panel: DataFrame, value: str) -> DataFrame:
     )
 
 
-def histogram(panel: DataFrame, value: str, bins: int = 60, low: float = 0.01, high: float = 0.99) -> DataFrame:
+def approximate_quantiles(panel: DataFrame, value: str, marks: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """(mark, value): quantiles off by at most 1 / accuracy of the rows, in bounded memory; an element of the column each."""
+    wide = panel.agg(F.percentile_approx(value, F.array(*map(F.lit, marks)), accuracy).alias("q"))
+    return wide.select(F.explode(F.arrays_zip(F.array(*map(F.lit, marks)).alias("mark"), F.col("q").alias("value"))).alias("z")).select("z.mark", "z.value")
+
+
+def equal_bins(panel: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """(bin, lower, upper, count) of equal bins over the whole range, closed to the right, from 0; empty ones as 0.
+
+    The first bin takes the minimum in: its lower edge lies a thousandth of the
+    range below it. A constant column is one bin.
+    """
+    x = F.col(value)
+    ends = panel.agg(F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("b")).where(F.col("a").isNotNull())
+    at = F.when(F.col("a") == F.col("b"), 0).otherwise(F.greatest(F.ceil((x - F.col("a")) / ((F.col("b") - F.col("a")) / bins)) - 1, F.lit(0)))
+    counted = panel.where(x.isNotNull()).join(F.broadcast(ends)).groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("count"))  # ends: one row
+    upto = F.when(F.col("a") == F.col("b"), 0).otherwise(bins - 1)
+    every = ends.select("a", "b", F.explode(F.sequence(F.lit(0), upto)).alias("bin"))
+    step = (F.col("b") - F.col("a")) / bins
+    lower = F.when(F.col("bin") == 0, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") - (F.col("b") - F.col("a")) / 1000)).otherwise(F.col("a") + step * F.col("bin"))
+    upper = F.when(F.col("a") == F.col("b"), F.col("b")).otherwise(F.col("a") + step * (F.col("bin") + 1))
+    return every.join(counted, "bin", "left").select("bin", lower.alias("lower"), upper.alias("upper"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def histogram(panel: DataFrame, value: str, bins: int = 60, low: float = 0.01, high: float = 0.99, positive: float = 0.9) -> DataFrame:
     """(bin, lower, upper, count) between two quantiles, and below and above as bins -1 and `bins`; the last bin is closed.
 
     The scale is logarithmic if the low quantile is positive and the high one at
-    least ten times as large. Two passes: the quantiles, then counts.
+    least ten times as large, or if at least `positive` of the values are above
+    zero and that holds for the quantiles of those: the bins then span them, and
+    what is not positive is below. Two passes: the quantiles, then counts.
     """
-    x = F.col(value)
-    ends = panel.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("e")).select(F.element_at("e", 1).alias("a"), F.element_at("e", 2).alias("b"))
-    ends = ends.withColumn("log_", F.coalesce((F.col("a") > 0) & (F.col("b") >= 10 * F.col("a")), F.lit(False)))
+    x, plus = F.col(value), F.when(F.col(value) > 0, F.col(value))
+    marks = F.array(F.lit(low), F.lit(high))
+    ends = panel.agg(F.percentile(x, marks).alias("e"), F.percentile(plus, marks).alias("p"), (F.count(plus) / F.count(x)).alias("share"))
+    wide = lambda e: F.coalesce((F.element_at(e, 1) > 0) & (F.element_at(e, 2) >= 10 * F.element_at(e, 1)), F.lit(False))
+    mostly = ~wide("e") & F.coalesce(F.col("share") >= positive, F.lit(False)) & wide("p")
+    ends = ends.select(F.when(mostly, F.col("p")).otherwise(F.col("e")).alias("e"), (wide("e") | mostly).alias("log_"))
+    ends = ends.select(F.element_at("e", 1).alias("a"), F.element_at("e", 2).alias("b"), "log_")
     a, b = (F.when(F.col("log_"), F.ln(c)).otherwise(c) for c in (F.col("a"), F.col("b")))
     scaled = F.when(F.col("log_"), F.ln(F.when(x > 0, x))).otherwise(x)
     at = F.least(F.floor(div(scaled - a, b - a) * bins), F.lit(bins - 1))
@@ -78,10 +108,12 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
-def normal_expected(bins: DataFrame, mean: float, std: float, values: int) -> DataFrame:
-    """Add the count that a normal distribution would put into each bin."""
-    z = lambda c: (F.col(c) - mean) / std
-    return bins.withColumn("expected", (normal_cdf(z("upper")) - normal_cdf(z("lower"))) * values)
+def normal_expected(bins: DataFrame, panel: DataFrame, value: str) -> DataFrame:
+    """Add the count that a normal distribution with the column's mean and deviation would put into each bin; NULL for the tails."""
+    told = panel.agg(F.avg(value).alias("m_"), F.stddev_pop(value).alias("s_"), F.count(value).alias("n_"))
+    z = lambda c: div(F.col(c) - F.col("m_"), F.col("s_"))
+    joined = bins.join(F.broadcast(told))  # one row
+    return joined.withColumn("expected", (normal_cdf(z("upper")) - normal_cdf(z("lower"))) * F.col("n_")).drop("m_", "s_", "n_")
 
 
 def fixed_bins(panel: DataFrame, value: str, start: float, end: float, bins: int) -> DataFrame:
@@ -151,12 +183,13 @@ def conditional_ic(panel: DataFrame, factor: str, outcome: str, dimensions: tupl
     return ic_summary(daily_ic(inside, factor, outcome, least, ("dimension", "bucket")), ("dimension", "bucket"))
 
 
-def decile_spread(panel: DataFrame, factor: str, outcome: str) -> DataFrame:
-    """(date, spread): mean outcome at or above the factor's p90 less that at or below its p10."""
+def decile_spread(panel: DataFrame, factor: str, outcome: str, by: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """(by, date, spread): mean outcome at or above the factor's p90 less that at or below its p10; dates with fewer than `least` pairs go."""
+    keys = [*by, "date"]
     pairs = panel.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
-    ends = pairs.groupBy("date").agg(F.percentile(factor, F.array(F.lit(0.1), F.lit(0.9))).alias("e"))
+    ends = pairs.groupBy(*keys).agg(F.percentile(factor, F.array(F.lit(0.1), F.lit(0.9))).alias("e"), F.count("*").alias("n_")).where(F.col("n_") >= least)
     x, low, high = F.col(factor), F.element_at("e", 1), F.element_at("e", 2)
-    return pairs.join(ends, "date").groupBy("date").agg((F.avg(F.when(x >= high, F.col(outcome))) - F.avg(F.when(x <= low, F.col(outcome)))).alias("spread"))
+    return pairs.join(ends, keys).groupBy(*keys).agg((F.avg(F.when(x >= high, F.col(outcome))) - F.avg(F.when(x <= low, F.col(outcome)))).alias("spread"))
 
 
 def pair_correlations(panel: DataFrame, factors: tuple[str, ...]) -> DataFrame:

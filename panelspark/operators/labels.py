@@ -35,6 +35,11 @@ def funnel(rows: DataFrame, stages: dict[str, Column]) -> DataFrame:
     return rows.agg(*counts)
 
 
+def friday_week(date: str = "date") -> Column:
+    """The Friday that ends a date's week."""
+    return F.next_day(F.date_sub(F.col(date), 1), "FRI")
+
+
 def by_section(rows: DataFrame, validation_from: str, train: Column, validation: Column) -> DataFrame:
     """Rows that pass the predicate of their section."""
     return rows.where(F.when(F.col("date") < F.lit(validation_from).cast("date"), two_valued(train)).otherwise(two_valued(validation)))

@@ -24,14 +24,36 @@ def duplicate_keys(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def ohlc_violations(panel: DataFrame) -> DataFrame:
-    """(checked, violations): rows with all four prices, and those whose prices contradict each other."""
-    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+def ohlc_violations(panel: DataFrame, prefix: str = "") -> DataFrame:
+    """(checked, violations): rows with all four prices, and those whose prices contradict each other. prefix: of another price group."""
+    o, h, lo, c = (F.col(prefix + x) for x in ("open", "high", "low", "close"))
     whole = o.isNotNull() & h.isNotNull() & lo.isNotNull() & c.isNotNull()
     wrong = (h < F.greatest(o, c)) | (lo > F.least(o, c)) | (h < lo)
     return panel.agg(F.count_if(whole).alias("checked"), F.count_if(whole & wrong).alias("violations"))
 
 
+def verdict(rows: DataFrame, required: tuple[str, ...], keys: tuple[str, ...], stated_rows: int | None = None, dates: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """One row: required_fields, row_count_matches, duplicate_keys, ohlc_violations, date_range_stated and the status they make."""
+    dup, bad = duplicate_keys(rows, keys), ohlc_violations(rows)
+    told = dup.join(F.broadcast(bad))  # one row each
+    matches = F.lit(True) if stated_rows is None else F.col("rows") == stated_rows
+    told = told.select(
+        "rows", F.lit(set(required) <= set(rows.columns)).alias("required_fields"), matches.alias("row_count_matches"), F.col("duplicates").alias("duplicate_keys"),
+        F.col("violations").alias("ohlc_violations"), F.lit(all(dates)).alias("date_range_stated"),
+    )
+    passed = F.col("required_fields") & F.col("row_count_matches") & (F.col("duplicate_keys") == 0) & (F.col("ohlc_violations") == 0) & F.col("date_range_stated")
+    return told.withColumn("status", F.when(passed, "passed").otherwise("needs_review"))
+
+
+def publish_gate(summary: DataFrame, floors: DataFrame, name: str = "name") -> DataFrame:
+    """(name, publish, reason): coverage and effective days of each factor against its floors (name, least_days, least_coverage)."""
+    joined = summary.join(floors, name, "left")
+    few = F.coalesce(F.col("effective_days") < F.col("least_days"), F.lit(True))
+    thin = F.coalesce(F.col("coverage") < F.col("least_coverage"), F.lit(True))
+    reason = F.when(few, "too few days").when(thin, "too little coverage").otherwise("passed")
+    return joined.select(name, (~few & ~thin).alias("publish"), reason.alias("reason"))
+
+
 def coverage(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(column, share): the share of values that are not NULL, one pass for all columns."""
     wide = rows.agg(F.count("*").alias("n_"), *[F.count(c).alias(c) for c in columns])

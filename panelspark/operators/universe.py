@@ -9,21 +9,60 @@ from panelspark.functions import window as w
 
 
 def apply_suspensions(panel: DataFrame, suspensions: DataFrame) -> DataFrame:
-    """Set is_suspended, and clear eligible, on the suspended days."""
+    """Set is_suspended, and clear eligible, on the suspended days; `suspension_counts` says how many that were."""
     off = suspensions.where(F.col("suspend_type") == "S").select("instrument", "date", F.lit(True).alias("off_")).distinct()
     joined = panel.join(off, ["instrument", "date"], "left")
     stopped = F.coalesce("off_", F.lit(False))
     return joined.withColumns({"is_suspended": stopped, "eligible": F.col("eligible") & ~stopped}).drop("off_")
 
 
+def suspension_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(marked, cleared): suspended rows, and rows that were eligible before and no longer are."""
+    keys = before.select("instrument", "date", F.col("eligible").alias("was_"))
+    joined = after.join(keys, ["instrument", "date"])
+    return joined.agg(F.count_if("is_suspended").alias("marked"), F.count_if(F.col("was_") & ~F.col("eligible")).alias("cleared"))
+
+
 def on_exchanges(code: str, suffixes: tuple[str, ...]) -> Column:
     """Whether a code ends in one of the exchange suffixes; all do if none are given."""
     return F.col(code).rlike("(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$") if suffixes else F.lit(True)
 
 
+#: First digits of codes of the main, small-company and growth boards.
+MAIN_BOARDS = ("600", "601", "603", "605", "000", "001", "002", "003", "300", "301")
+
+
 def on_main_boards(code: str) -> Column:
-    """Main, small-company and growth boards: neither the 688 board nor the .BJ exchange."""
-    return ~F.col(code).startswith("688") & ~F.col(code).endswith(".BJ") & F.substring(code, 1, 1).isin("0", "3", "6")
+    """Main, small-company and growth boards by the first three digits; never the .BJ exchange."""
+    return ~F.col(code).endswith(".BJ") & F.substring(code, 1, 3).isin(*MAIN_BOARDS)
+
+
+def off_boards(code: str, kind: str = "both") -> Column:
+    """Whether a code is dropped: of the 688 board ("star"), of the 300 and 301 board ("growth"), or of either ("both")."""
+    symbol = F.split_part(F.col(code), F.lit("."), F.lit(1))
+    star, growth = symbol.startswith("688"), symbol.startswith("300") | symbol.startswith("301")
+    return {"star": star, "growth": growth, "both": star | growth}[kind]
+
+
+def to_prefixed(code: str) -> Column:
+    """600000.SH as SH600000."""
+    return F.concat(F.upper(F.split_part(F.col(code), F.lit("."), F.lit(2))), F.split_part(F.col(code), F.lit("."), F.lit(1)))
+
+
+def to_suffixed(code: str) -> Column:
+    """SH600000 as 600000.SH."""
+    return F.concat_ws(".", F.substring(code, 3, 100), F.upper(F.substring(code, 1, 2)))
+
+
+def compact_date(text: str) -> Column:
+    """YYYYMMDD of dates written with or without separators; NULL where eight digits are no date."""
+    digits = F.regexp_replace(F.col(text).cast("string"), "[^0-9]", "")
+    return F.date_format(F.try_to_date(F.substring(digits, 1, 8), "yyyyMMdd"), "yyyyMMdd")
+
+
+def iso_date(text: str) -> Column:
+    """YYYY-MM-DD of dates written with or without separators."""
+    return F.date_format(F.try_to_date(compact_date(text), "yyyyMMdd"), "yyyy-MM-dd")
 
 
 def truthy(flag: str) -> Column:
@@ -62,13 +101,30 @@ def members_pooled(panel: DataFrame, days: DataFrame, membership: DataFrame) ->
     return panel.join(current.select("date", "instrument"), ["date", "instrument"], "left_semi")
 
 
-def members_by_index(days: DataFrame, membership: DataFrame, back: int = 0) -> DataFrame:
-    """(index_code, date, instrument, weight): members of each index by its own last snapshot, or by the one `back` before."""
-    dates = membership.select("index_code", "snapshot").distinct()
-    shifted = dates.withColumn("use_", F.lag("snapshot", back).over(Window.partitionBy("index_code").orderBy("snapshot"))) if back else dates.withColumn("use_", F.col("snapshot"))
-    asof = last_snapshots(days, membership, ("index_code",)).join(shifted, ["index_code", "snapshot"])
-    held = membership.select("index_code", F.col("snapshot").alias("use_"), F.col("con_code").alias("instrument"), "weight")
-    return asof.join(held, ["index_code", "use_"]).select("index_code", "date", "instrument", "weight")
+def members_by_index(days: DataFrame, membership: DataFrame) -> DataFrame:
+    """(index_code, date, instrument, weight): members of each index by its own last snapshot on or before the day."""
+    asof = last_snapshots(days, membership, ("index_code",))
+    held = membership.select("index_code", "snapshot", F.col("con_code").alias("instrument"), "weight")
+    return asof.join(held, ["index_code", "snapshot"]).select("index_code", "date", "instrument", "weight")
+
+
+def members_before(days: DataFrame, membership: DataFrame, back: int = 1) -> DataFrame:
+    """(index_code, date, instrument, weight): members by the snapshot `back` before the last one on or before the day.
+
+    Snapshot dates of all indexes are pooled: an index without rows on that
+    date has no members then.
+    """
+    order = Window.orderBy("snapshot")  # one row a snapshot date
+    shifted = membership.select("snapshot").distinct().withColumn("use_", F.lag("snapshot", back).over(order))
+    asof = last_snapshots(days, membership).join(shifted, "snapshot").select("date", F.col("use_").alias("snapshot"))
+    held = membership.select("index_code", "snapshot", F.col("con_code").alias("instrument"), "weight")
+    return asof.join(held, "snapshot").select("index_code", "date", "instrument", "weight")
+
+
+def missing_indexes(asked: DataFrame, day: str, membership: DataFrame) -> DataFrame:
+    """(index_code): asked-for indexes (index_code) that have no members as of a day."""
+    seen = membership.where(F.col("snapshot") <= F.lit(day).cast("date")).select("index_code").distinct()
+    return asked.select("index_code").distinct().join(seen, "index_code", "left_anti")
 
 
 def priority_gate(panel: DataFrame, members: DataFrame, gates: DataFrame, priority: tuple[str, ...]) -> DataFrame:

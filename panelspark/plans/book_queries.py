@@ -230,16 +230,6 @@ def volume_week_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.select("date", "instrument", r(F.col("period_ret")).alias("period_ret"), "place")
 
 
-@REGISTRY.query("trend_signal")
-def trend_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.trend_signal(bars(spark, sf_dir))
-
-
-@REGISTRY.query("ewm_indicators")
-def ewm_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.exponential_indicators(bars(spark, sf_dir)).select("instrument", "date", "ema_20", "ema_60", "dif", "dea", "macd_hist", "rsi_14")
-
-
 FEATURES = ("momentum_5", "turn", "pe_ttm", "dividend_yield_ratio")
 
 

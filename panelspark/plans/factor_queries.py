@@ -26,13 +26,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).join(moneyflow(spark, sf_dir), ["instrument", "date"], "left")
 
 
-def _catalogue(name: str, formulas: Callable[[Stages], dict[str, Series]], panel: Callable[[SparkSession, str], DataFrame], source: str, *parts: str, digits: int = 5) -> None:
-    text = Stages(sql=True)
+def _catalogue(name: str, formulas: Callable[[Stages], dict[str, Series]], panel: Callable[[SparkSession, str], DataFrame], source: str, *parts: str, digits: int = 5, corr_digits: int | None = None) -> None:
+    text = Stages(sql=True, corr_digits=corr_digits)
     staged, select = text.text(source, formulas(text), digits)
 
     @REGISTRY.query(name, with_sql(BARS_SQL, *parts, *staged, select=select))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stages = Stages()
+        stages = Stages(corr_digits=corr_digits)
         return stages.frame(panel(spark, sf_dir), formulas(stages), digits=digits)
 
 
@@ -43,7 +43,7 @@ _catalogue("alpha158_candle", alpha158.candle, bars, "bars")
 _catalogue("alpha158_trend", lambda s: {k: x for n in alpha158.WINDOWS for k, x in alpha158.trend(s, n).items()}, timed, "timed", TIMED_SQL, digits=4)
 _catalogue("alpha158_flow", lambda s: {k: x for n in alpha158.WINDOWS for k, x in alpha158.flow(s, n).items()}, bars, "bars", digits=4)
 _catalogue("alpha191_price", alpha191.price_alphas, bars, "bars", digits=4)
-_catalogue("alpha191_corr", alpha191.correlation_alphas, bars, "bars", digits=4)
+_catalogue("alpha191_corr", alpha191.correlation_alphas, bars, "bars", digits=4, corr_digits=6)
 _catalogue("sleeves_base", sleeves.base_sleeves, bars, "bars")
 CORE = {"price60": 1, "mv": 1, "div": 1, "cheap": 1.5}
 _catalogue("sleeves_swept", lambda s: sleeves.weight_sweep(s, CORE, "cheap", (0.25, 0.5, 0.75, 1.25, 1.5, 2.0)) | sleeves.weight_sweep(s, CORE, "range", (0.25, 0.5)), bars, "bars")

@@ -10,7 +10,7 @@ from panelspark.operators import labels, universe
 from panelspark.functions import sqltext as q
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
-from panelspark.sources.panel import BARS_SQL, CALENDAR_SQL, INDEX_SQL, MEMBERSHIP_SQL, MONEYFLOW_SQL, bars, calendar, index_daily, membership, moneyflow, with_sql
+from panelspark.sources.panel import BARS_SQL, CALENDAR_SQL, INDEX_SQL, MEMBERSHIP_SQL, MONEYFLOW_SQL, bars, calendar, index_daily, membership, moneyflow, table, with_sql
 
 POOLED_SQL = """
 marks AS (SELECT DISTINCT snapshot FROM membership),
@@ -25,19 +25,22 @@ def asof_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASOF_SQL = """
-dates AS (SELECT index_code, snapshot, lag(snapshot, {back}) OVER (PARTITION BY index_code ORDER BY snapshot) AS use_ FROM (SELECT DISTINCT index_code, snapshot FROM membership)),
+dates AS (SELECT DISTINCT index_code, snapshot FROM membership),
 last_seen AS (SELECT index_code, date, max(snapshot) AS snapshot FROM calendar JOIN dates ON snapshot <= date GROUP BY 1, 2),
-members AS (SELECT a.index_code, a.date, con_code AS instrument, weight FROM last_seen a JOIN dates USING (index_code, snapshot) JOIN membership m ON m.index_code = a.index_code AND m.snapshot = use_)"""
+members AS (SELECT a.index_code, a.date, con_code AS instrument, weight FROM last_seen a JOIN membership m USING (index_code, snapshot))"""
+BEFORE_SQL = """
+marks AS (SELECT snapshot, lag(snapshot) OVER (ORDER BY snapshot) AS use_ FROM (SELECT DISTINCT snapshot FROM membership)),
+last_seen AS (SELECT date, max(snapshot) AS snapshot FROM calendar JOIN marks ON snapshot <= date GROUP BY 1)"""
 
 
-@REGISTRY.query("asof_index_weight", with_sql(BARS_SQL, CALENDAR_SQL, MEMBERSHIP_SQL, ASOF_SQL.format(back=0), select="SELECT index_code, date, instrument, weight FROM members"))
+@REGISTRY.query("asof_index_weight", with_sql(BARS_SQL, CALENDAR_SQL, MEMBERSHIP_SQL, ASOF_SQL, select="SELECT index_code, date, instrument, weight FROM members"))
 def asof_index_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.members_by_index(calendar(bars(spark, sf_dir)), membership(spark, sf_dir))
 
 
-@REGISTRY.query("prev_snapshot_membership", with_sql(BARS_SQL, CALENDAR_SQL, MEMBERSHIP_SQL, ASOF_SQL.format(back=1), select="SELECT index_code, date, instrument, weight FROM members"))
+@REGISTRY.query("prev_snapshot_membership", with_sql(BARS_SQL, CALENDAR_SQL, MEMBERSHIP_SQL, BEFORE_SQL, select="SELECT index_code, date, con_code AS instrument, weight FROM last_seen l JOIN marks k USING (snapshot) JOIN membership m ON m.snapshot = k.use_"))
 def prev_snapshot_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universe.members_by_index(calendar(bars(spark, sf_dir)), membership(spark, sf_dir), back=1)
+    return universe.members_before(calendar(bars(spark, sf_dir)), membership(spark, sf_dir))
 
 
 GATE_SQL = f"gates AS (SELECT ts_code, date, coalesce(close > {q.mean('close', 20)}, false) AS open FROM (SELECT ts_code AS instrument, * FROM index_daily))"
@@ -55,7 +58,7 @@ first_index AS (SELECT date, instrument, min(index_code) AS index_code FROM memb
 opened AS (SELECT date FROM gates WHERE open AND ts_code = 'ASIA')"""
 
 
-@REGISTRY.query("priority_gate", with_sql(BARS_SQL, CALENDAR_SQL, MEMBERSHIP_SQL, ASOF_SQL.format(back=0), INDEX_SQL, GATE_SQL, PRIORITY_SQL, select="SELECT b.instrument, b.date, b.close FROM bars b JOIN first_index USING (date, instrument) WHERE index_code = '2-HIGH' OR date IN (SELECT date FROM opened)"))
+@REGISTRY.query("priority_gate", with_sql(BARS_SQL, CALENDAR_SQL, MEMBERSHIP_SQL, ASOF_SQL, INDEX_SQL, GATE_SQL, PRIORITY_SQL, select="SELECT b.instrument, b.date, b.close FROM bars b JOIN first_index USING (date, instrument) WHERE index_code = '2-HIGH' OR date IN (SELECT date FROM opened)"))
 def priority_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every index but the second follows one regional gate; the second is always open."""
     panel = bars(spark, sf_dir)
@@ -145,12 +148,14 @@ def embargo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.embargoed(panel, calendar(panel), "1997-01-01", hold=2).select("instrument", "date")
 
 
-@REGISTRY.query("missing_codes", with_sql(MEMBERSHIP_SQL, select="SELECT 'NO-INDEX' AS index_code"))
+@REGISTRY.query("missing_codes", """
+WITH asked AS (SELECT DISTINCT o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '-' || o_orderstatus END AS index_code FROM orders)
+SELECT index_code FROM asked WHERE index_code NOT IN (SELECT o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < DATE '1993-02-01')""")
 def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested indexes without members as of a date."""
-    asked = spark.createDataFrame([("1-URGENT",), ("NO-INDEX",)], "index_code string")
-    day = membership(spark, sf_dir).agg(F.max("snapshot").alias("date"))
-    return asked.join(universe.members_by_index(day, membership(spark, sf_dir)), "index_code", "left_anti")
+    """Codes that orders ask for, of which some name no index, without members as of a day."""
+    ending = F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.col("o_orderstatus")))
+    asked = table(spark, sf_dir, "orders").select(F.concat("o_orderpriority", ending).alias("index_code"))
+    return universe.missing_indexes(asked, "1993-01-31", membership(spark, sf_dir))
 
 
 @REGISTRY.query("session_shift", with_sql(BARS_SQL, CALENDAR_SQL, select="SELECT a.date, b.date AS later FROM calendar a LEFT JOIN calendar b ON b.session = a.session + 5"))

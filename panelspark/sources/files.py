@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,25 @@ def read_run_archive(spark: SparkSession, pattern: str) -> tuple[DataFrame, Data
     return runs.drop("equity_curve"), curve
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a written table, in the checkpoint folder that the session names."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_by_year(rows: DataFrame, folder: str, date: str = "date") -> None:
+    """A snapshot in folders year=*; each year is written by few tasks."""
+    keyed = rows.withColumn("year", F.year(date))
+    keyed.repartition("year", F.pmod(F.xxhash64(date), F.lit(8))).write.partitionBy("year").parquet(folder)
+
+
+def read_years(spark: SparkSession, folder: str, years: tuple[int, ...]) -> DataFrame:
+    """Rows of the given years of a snapshot in folders year=*; other folders are not read."""
+    return spark.read.parquet(folder).where(F.col("year").isin(*years)).drop("year")
+
+
 def write_sidecar(factors: DataFrame, path: str, mode: str = "error") -> None:
     """A factor table as zstd Parquet."""
     factors.write.option("compression", "zstd").mode(mode).parquet(path)

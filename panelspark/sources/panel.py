@@ -143,6 +143,28 @@ suspend AS (
 )"""
 
 
+def adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with adj_factor (taxes added up), hfq_ prices, ten per cent limit prices in cents (none for a first bar) and a suspension flag."""
+    so_far = Window.partitionBy("instrument").orderBy("date")
+    factor = F.round(1 + F.sum("dividend_yield_ratio").over(so_far.rowsBetween(Window.unboundedPreceding, 0)), 8)
+    before = F.lag("close").over(so_far)
+    limit = lambda share: F.floor(before * share + 0.5).cast("double") / 100
+    panel = bars(spark, sf_dir).withColumns({"adj_factor": factor, "up_limit": limit(110), "down_limit": limit(90)})
+    panel = panel.withColumns({f"hfq_{p}": F.col(p) * F.col("adj_factor") for p in PRICES})
+    return panel.join(suspend(spark, sf_dir).select("instrument", "date", F.lit(1).alias("is_suspended")), ["instrument", "date"], "left")
+
+
+ADJUSTED_SQL = """
+factored AS (
+  SELECT *, round(1 + sum(dividend_yield_ratio) OVER (PARTITION BY instrument ORDER BY date ROWS UNBOUNDED PRECEDING), 8) AS adj_factor,
+    floor(lag(close) OVER (PARTITION BY instrument ORDER BY date) * 110 + 0.5) / 100 AS up_limit, floor(lag(close) OVER (PARTITION BY instrument ORDER BY date) * 90 + 0.5) / 100 AS down_limit FROM bars
+),
+adjusted AS (
+  SELECT f.*, open * adj_factor AS hfq_open, high * adj_factor AS hfq_high, low * adj_factor AS hfq_low, close * adj_factor AS hfq_close, s.suspend_type IS NOT NULL AS halted
+  FROM factored f LEFT JOIN suspend s USING (instrument, date)
+)"""
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instrument, buy_date, sell_date, quantity, buy_price, sell_price, pnl): one round trip an order, open if it is."""
     day = F.col("o_orderdate").cast("date")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panelspark.operators.quality import merge_rows
+from panelspark.operators.quality import keep_last, merge_rows
 
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -42,8 +42,11 @@ def first_of_key(rows: DataFrame, keys: tuple[str, ...], time: str, late: str =
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def land(rows: DataFrame, target: str, keys: tuple[str, ...], checkpoint: str) -> StreamingQuery:
-    """Merge each batch of new rows into a versioned Parquet table, the last row of a key winning; runs until the source is used up.
+def land(rows: DataFrame, target: str, keys: tuple[str, ...], order: tuple[str, ...], checkpoint: str) -> StreamingQuery:
+    """Merge each batch of new rows into a versioned Parquet table; runs until the source is used up.
+
+    Of a key's rows in a batch the last by the `order` columns wins, and over
+    rows of earlier batches.
 
     A version is written whole beside the last and named by its batch, so a
     batch that is done again after a failure gives the same table.
@@ -53,7 +56,7 @@ def land(rows: DataFrame, target: str, keys: tuple[str, ...], checkpoint: str) -
         spark = batch.sparkSession
         path = f"{target}/version={number:08d}"
         old = _last_version(spark, target, number)
-        new = batch.dropDuplicates(list(keys))
+        new = keep_last(batch, keys, order)
         (merge_rows(old, new, keys) if old is not None else new).write.mode("overwrite").parquet(path)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -38,10 +38,12 @@ def test_verdict(spark):
 
 def test_landing_merges_batches(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
-    spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, v double").write.parquet(str(source))
-    jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), str(tmp_path / "c")).awaitTermination()
+    spark.createDataFrame([(1, 1.0), (2, 2.0), (1, 0.5)], "k long, v double").write.parquet(str(source))
+    jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), ("v",), str(tmp_path / "c")).awaitTermination()
+    first = sorted(p.name for p in target.glob("version=*"))[-1]
+    assert {r["k"]: r["v"] for r in spark.read.parquet(str(target / first)).collect()} == {1: 1.0, 2: 2.0}  # the last by v, not the last met
     spark.createDataFrame([(1, 5.0)], "k long, v double").write.mode("append").parquet(str(source))
-    jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), str(tmp_path / "c")).awaitTermination()
+    jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), ("v",), str(tmp_path / "c")).awaitTermination()
     last = sorted(p.name for p in target.glob("version=*"))[-1]
     assert {r["k"]: r["v"] for r in spark.read.parquet(str(target / last)).collect()} == {1: 5.0, 2: 2.0}
 

@@ -134,8 +134,8 @@ def test_membership_by_index_spans_and_tenure(spark, members):
     days = spark.createDataFrame([(day(d),) for d in range(6)], "date date")
     now = {(r["index_code"], r["instrument"]) for r in universe.members_by_index(days, members).where(F.col("date") == F.lit(day(3))).collect()}
     assert now == {("A", 1), ("A", 2), ("B", 3)}
-    before = {(r["index_code"], r["instrument"]) for r in universe.members_by_index(days, members, back=1).where(F.col("date") == F.lit(day(5))).collect()}
-    assert before == {("A", 1), ("A", 2)}
+    before = {(r["index_code"], r["instrument"]) for r in universe.members_before(days, members).where(F.col("date") == F.lit(day(5))).collect()}
+    assert before == {("B", 3)}  # snapshot dates of all indexes are pooled
     assert {(r["con_code"], r["snapshots"]) for r in universe.spans(members).collect()} == {(1, 1), (2, 2), (3, 1)}
     assert {(r["con_code"], r["tenure"]) for r in universe.tenure(members).collect()} == {(1, 1), (2, 1), (2, 2), (3, 1)}
 
