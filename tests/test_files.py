@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+from pathlib import Path
 
 from panelspark.operators import experts
 from panelspark.sources import files
@@ -54,3 +56,23 @@ def test_stream_queries_write_files_rather_than_to_the_driver(spark):
     for name in ("stream_weekly_bars", "stream_first_of_key"):
         found = queries()[name](spark, "/root/testdata/sf0.001")
         assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles()) and found.count()
+
+
+def test_a_session_from_before_the_import_gets_the_package(tmp_path):
+    """Workers have no PYTHONPATH of ours: the session is made first, the import comes later, from another folder."""
+    import subprocess
+    import sys
+
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.range(10).rdd.map(lambda x: x[0]).count()  # workers are up
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+print("rows", e.queries()["ewm_mean"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-2000:]
