@@ -15,7 +15,7 @@ def legs(s: Stages) -> dict[str, Series]:
     rank = lambda name: s.column(name).cs_rank()
     return {
         "price": c.ts_rank(20), "price60": c.ts_rank(60), "price120": c.ts_rank(120), "mom": c.pct_change(10).cs_rank(), "mv": rank("total_market_cap"),
-        "float": rank("float_market_cap"), "small": 1 - rank("total_market_cap"), "div": rank("dividend_yield_ratio"), "cheap": 1 - rank("pe_ttm"), "quiet": 1 - rank("turn"),
+        "price252": c.ts_rank(252), "float": rank("float_market_cap"), "small": 1 - rank("total_market_cap"), "div": rank("dividend_yield_ratio"), "cheap": 1 - rank("pe_ttm"), "quiet": 1 - rank("turn"),
         "vol": s.column("vol").rolling_mean(20).cs_rank(), "range": ((h - lo) / c).cs_rank(), "amount": rank("amount"), "overnight": (o / c.shift(1) - 1).cs_rank(),
         "location": ((c - lo) / (h - lo)).cs_rank(), "zscore60": c.ts_zscore(60), "bias60": c.rolling_bias(60).cs_rank(), "amount_z": s.column("amount").ts_zscore(20),
     }
@@ -84,3 +84,110 @@ def index_sleeves(s: Stages, core: dict[str, float]) -> dict[str, Series]:
         "index_tenure_tilt": base + 0.25 * tenure.cs_rank(),
         "index_two_snapshots": base.where(tenure - 1),
     }
+
+
+#: Weights that a leg of the core takes in a sweep, in hundredths; and pairs of two legs' weights.
+SWEEPS = {"cheap": (25, 50, 75, 125, 150, 175, 200, 300), "div": (0, 25, 50, 75, 150, 200), "price60": (50, 150, 200), "mv": (50, 150, 200)}
+PAIRED = (("div", 50, "cheap", 200), ("div", 200, "cheap", 50), ("mv", 50, "cheap", 200), ("price60", 50, "cheap", 200), ("price60", 200, "cheap", 50), ("div", 0, "cheap", 200))
+EVEN = {"price60": 1.0, "mv": 1.0, "div": 1.0, "cheap": 1.0}
+#: Legs that are added to a core: as they are, and turned (1 - leg).
+ADDED = ("mom", "quiet", "amount", "overnight", "location", "amount_z", "vol", "bias60")
+TURNED = ("range", "mom", "overnight", "location")
+BLENDS = (0.1, 0.25, 0.5)
+
+
+def _mark(weight: float) -> str:
+    return f"{round(100 * weight):03d}"
+
+
+def swept_sleeves(s: Stages) -> dict[str, Series]:
+    """The core of price, size, dividend and cheapness with one leg, or two, at other weights."""
+    parts = legs(s)
+    out = {f"p60_{leg}_{w:03d}": sleeve(parts, EVEN | {leg: w / 100}) for leg, weights in SWEEPS.items() for w in weights}
+    return out | {f"p60_{a}_{x:03d}_{b}_{y:03d}": sleeve(parts, EVEN | {a: x / 100, b: y / 100}) for a, x, b, y in PAIRED}
+
+
+def blended_sleeves(s: Stages) -> dict[str, Series]:
+    """Two cores (cheapness at 0.75 and at 1.5) with a further leg, a turned one, another price shape or another size."""
+    parts = legs(s)
+    out = {}
+    for mark in ("075", "150"):
+        core = EVEN | {"cheap": int(mark) / 100}
+        base = sleeve(parts, core)
+        for leg in ADDED:
+            out |= {f"c{mark}_{leg}_{_mark(x)}": base + x * parts[leg] for x in BLENDS}
+        for leg in TURNED:
+            out |= {f"c{mark}_no_{leg}_{_mark(x)}": base + x * (1 - parts[leg]) for x in BLENDS}
+        rest = {k: v for k, v in core.items() if k != "price60"}
+        out |= {f"c{mark}_by_{shape}": sleeve(parts, rest | {shape: 1.0}) for shape in ("price", "price120", "price252", "zscore60", "bias60")}
+        out |= {f"c{mark}_no_price": sleeve(parts, rest), f"c{mark}_no_mv": sleeve(parts, {k: v for k, v in core.items() if k != "mv"})}
+        out[f"c{mark}_float"] = sleeve(parts, {k: v for k, v in core.items() if k != "mv"} | {"float": 1.0})
+        out[f"c{mark}_held"] = base + 0.25 * parts["vol"] + 0.25 * parts["quiet"]
+    return out
+
+
+def pool_sleeves(s: Stages) -> dict[str, Series]:
+    """Sleeves inside the members of two indexes.
+
+    Needs columns of the as-of indexes, 0 or NULL outside: in_a, in_b, weight
+    (of the first that holds a name), before (held at the snapshot before),
+    weight_before, tenure; and star and growth, 1 for names of those boards.
+    """
+    parts = legs(s)
+    column = s.column
+    base = sleeve(parts, EVEN | {"cheap": 1.5})
+    in_a, in_b, weight = column("in_a"), column("in_b"), column("weight")
+    either = in_a.either(in_b)
+    stable = either.both(column("before"))
+    ranked = lambda x, pool: x.where(pool).cs_rank()
+    pe, div, mv = column("pe_ttm"), column("dividend_yield_ratio"), column("total_market_cap")
+    out = {
+        "off_star": base.where(column("star").not_()), "off_growth": base.where(column("growth").not_()), "off_both": base.where(column("star").either(column("growth")).not_()),
+        "pool_a": base.where(in_a), "pool_b": base.where(in_b), "pool_either": base.where(either), "pool_stable": base.where(stable),
+        "pool_only_b": base.where(either) + 0.25 * in_b.both(in_a.not_()), "pool_light": base.where(either) + 0.25 * (1 - ranked(weight, either)),
+    }
+    out |= {f"pool_weight_{_mark(x)}": base.where(either) + x * ranked(weight, either) for x in BLENDS}
+    cheap, dear = 1 - ranked(pe, either), 1 - ranked(pe, stable)
+    out |= {
+        "pool_cheap_again": (parts["price60"] + parts["mv"] + parts["div"] + 1.5 * cheap).where(either),
+        "stable_cheap_again": (parts["price60"] + parts["mv"] + parts["div"] + 1.5 * dear).where(stable),
+        "stable_div_again": (parts["price60"] + parts["mv"] + ranked(div, stable) + 1.5 * dear).where(stable),
+        "stable_all_again": (parts["price60"] + ranked(mv, stable) + ranked(div, stable) + 1.5 * dear).where(stable),
+        "stable_no_size": sleeve(parts, {"price60": 1, "div": 1, "cheap": 1.5}).where(stable), "stable_no_size_again": (parts["price60"] + parts["div"] + 1.5 * dear).where(stable),
+    }
+    st = base.where(stable)
+    floors = (0.005, 0.01, 0.015, 0.02)  # weights here are shares of one
+    out |= {f"floor_{round(1000 * x):02d}": st.where(weight >= x) for x in floors}
+    out["floor_twice"] = st.where((weight >= floors[0]).both(column("weight_before") >= floors[0]))
+    out |= {f"floor_share_{_mark(x)}": st.where(weight >= weight.where(stable).cs_quantile(x)) for x in (0.2, 0.4, 0.6)}
+    uneven = lambda a, b: in_a.both(weight >= a).either(in_a.not_().both(weight >= b))
+    out |= {f"floor_{round(1000 * a):02d}_{round(1000 * b):02d}": st.where(uneven(a, b)) for a in floors for b in floors if a != b}
+    out |= {f"floor_{round(1000 * a):02d}_{round(1000 * b):02d}_twice": st.where(uneven(a, b).both(column("weight_before") >= floors[0])) for a, b in ((0.01, 0.005), (0.015, 0.005))}
+    out |= {f"floor_of_a_{_mark(x)}": st.where(in_a.both(weight >= weight.where(in_a).cs_quantile(x)).either(in_a.not_().both(weight >= floors[0]))) for x in (0.2, 0.4)}
+    core = st.where(uneven(0.01, 0.005).both(column("weight_before") >= floors[0]))
+    h, lo, c, o = (column(x) for x in ("high", "low", "close", "open"))
+    mom60, mom10, span, place = c.pct_change(60), c.pct_change(10), (h - lo) / c, (c - lo) / (h - lo)
+    turn, gap, amount_z = column("turn"), o / c.shift(1) - 1, column("amount").ts_zscore(20)
+    out["cut_rising"] = core.where(mom60)
+    for name, x in (("mom60", mom60), ("range", span), ("turn", turn)):
+        out |= {f"cut_{name}_{_mark(share)}": core.where(x >= x.where(stable).cs_quantile(share)) for share in (0.1, 0.2, 0.3)}
+    out |= {f"cut_place_{_mark(x)}": core.where(place <= x) for x in (0.8, 0.9)} | {"cut_place_half": core.where(place <= place.where(stable).cs_quantile(0.5))}
+    tilts = {
+        "turn": ranked(turn, stable), "range": ranked(span, stable), "low_place": 1 - ranked(place, stable), "reversal": 1 - ranked(mom10, stable), "fade_div": 1 - ranked(div, stable),
+        "amount_z": ranked(amount_z, stable), "mom60": ranked(mom60, stable), "quiet": 1 - ranked(turn, stable), "fade_gap": 1 - ranked(gap, stable), "weight": ranked(weight, stable),
+        "div": ranked(div, stable), "cheap": 1 - ranked(pe, stable), "price": ranked(c.ts_rank(60), stable), "size": ranked(mv, stable), "fade_size": 1 - ranked(mv, stable),
+    }
+    out |= {f"tilt_{name}_{round(1000 * x):03d}": core + x * tilt for name, tilt in tilts.items() for x in (0.005, 0.03)}
+    fade, rank_div = tilts["fade_div"], tilts["div"]
+    shaped = {
+        "high": fade * (rank_div >= 0.5), "low": fade * (rank_div <= 0.5), "capped": fade.min(0.5), "square": fade.max(0.0).pow(2.0), "root": fade.max(0.0).sqrt(),
+    }
+    out |= {f"fade_{name}": core + 0.03 * term for name, term in shaped.items()}
+    faded = core + 0.03 * fade
+    out |= {f"faded_{name}": faded + 0.005 * tilt for name, tilt in tilts.items() if name not in ("fade_div", "div")}
+    out |= {f"tenure_{_mark(x)}": st + x * ranked(column("tenure"), stable) for x in BLENDS}
+    quiet, calm = 1 - turn.cs_rank(), 1 - c.pct_change(1).rolling_std(20).cs_rank()
+    return out | {
+        "strength_60": mom60.where(stable), "strength_120": c.pct_change(120).where(stable), "breakout_60": c.ts_rank(60).where(stable), "breakout_120": c.ts_rank(120).where(stable),
+        "quality_turn": quiet.where(stable), "quality_calm": calm.where(stable), "quality_both": (quiet + calm).where(stable),
+    }

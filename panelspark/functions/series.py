@@ -45,6 +45,7 @@ WINDOWS: dict[str, tuple[Callable, Callable]] = {
     "ols_rsquare": (w.ols_rsquare, q.rsquare),
     "ols_residual": (w.ols_residual, q.residual),
     "cs_rank": (w.cs_rank, q.cs_rank),
+    "cs_quantile": (w.cs_quantile, lambda x, share: f"(quantile_cont({x}, {share}) OVER (PARTITION BY date))"),
 }
 
 

@@ -157,6 +157,11 @@ def cs_rank(x: Column, where: Column | None = None) -> Column:
     return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(by_date()))
 
 
+def cs_quantile(x: Column, q: float) -> Column:
+    """Linear quantile of the date's known values."""
+    return F.percentile(x, F.lit(q)).over(by_date())
+
+
 def cs_zscore(x: Column) -> Column:
     return div(x - F.avg(x).over(by_date()), F.stddev_samp(x).over(by_date()))
 

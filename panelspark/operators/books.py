@@ -129,11 +129,15 @@ def ledger_curve(trades: DataFrame, calendar: DataFrame, prices: DataFrame, capi
     flows = buys.unionByName(sells).groupBy("instrument", "day").agg(F.sum("q").alias("q"), F.sum("cash").alias("cash"))
     day_to_session = flows.select("day").distinct().join(F.broadcast(sessions), F.col("date") >= F.col("day")).groupBy("day").agg(F.min("date").alias("date"))
     placed = flows.join(day_to_session, "day").groupBy("instrument", "date").agg(F.sum("q").alias("q"), F.sum("cash").alias("cash"))
-    grid = placed.select("instrument").distinct().crossJoin(F.broadcast(sessions))  # names by sessions, as a panel is
+    # A name has a row for each session to its last flow, or to the end while something is held; earlier prices carry forward.
+    spans = placed.groupBy("instrument").agg(F.when(F.sum("q") == 0, F.max("date")).alias("until_"))
+    inside = F.col("until_").isNull() | (F.col("date") <= F.col("until_"))
+    grid = spans.join(F.broadcast(sessions), inside).select("instrument", "date")  # one row a session
     line = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     held = grid.join(placed, ["instrument", "date"], "left").join(prices.select("instrument", "date", "close"), ["instrument", "date"], "left")
     marked = held.select("date", F.coalesce("cash", F.lit(0.0)).alias("cash"), (F.coalesce(F.sum("q").over(line), F.lit(0)) * F.coalesce(F.last("close", ignorenulls=True).over(line), F.lit(0.0))).alias("value"))
-    daily = marked.groupBy("date").agg(F.sum("cash").alias("flow"), F.sum("value").alias("invested"))
+    summed = marked.groupBy("date").agg(F.sum("cash").alias("flow"), F.sum("value").alias("invested"))
+    daily = sessions.join(summed, "date", "left").fillna(0.0, ["flow", "invested"])
     cash = F.lit(capital) + F.sum("flow").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))  # one row a session
     return daily.select("date", cash.alias("cash"), "invested", (cash + F.col("invested")).alias("equity"))
 

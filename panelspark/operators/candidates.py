@@ -111,6 +111,7 @@ def batch_scores(long: DataFrame, outcome: str, k: int, books_of: str = "validat
     return joined.select("candidate", "split", "rank_ic", "days", "log_wealth", "bench_log_wealth", "information_ratio", "accepted")
 
 
-def families(rows: DataFrame, formula: str = "formula") -> Column:
+def family(formula: str = "formula") -> Column:
     """The window-family of a formula: windows as W, without white space."""
-    return reduce(lambda x, rule: F.regexp_replace(x, *rule), ((r"\s+", ""), (r"\((\d+)\)", "(W)"), (r",\d+\)", ",W)")), F.col(formula))
+    rules = ((r"\s+", ""), (r"\((\d+)\)", "(W)"), (r",\d+\)", ",W)"))
+    return reduce(lambda x, rule: F.regexp_replace(x, *rule), rules, F.col(formula))

@@ -72,3 +72,47 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _catalogue("sleeves_index", lambda s: sleeves.index_sleeves(s, CORE), indexed, "indexed", MEMBERSHIP_SQL, INDEX_PANEL_SQL)
+
+
+POOL_PANEL_SQL = """
+held AS (SELECT * FROM membership WHERE index_code IN ('1-URGENT', '2-HIGH')),
+marks AS (SELECT snapshot, lag(snapshot) OVER (ORDER BY snapshot) AS prev, row_number() OVER (ORDER BY snapshot) AS n FROM (SELECT DISTINCT snapshot FROM held)),
+last_seen AS (SELECT date, max(snapshot) AS snapshot FROM (SELECT DISTINCT date FROM bars) JOIN marks ON snapshot <= date GROUP BY 1),
+own_last AS (SELECT date, index_code, max(h.snapshot) AS snapshot FROM (SELECT DISTINCT date FROM bars) JOIN (SELECT DISTINCT index_code, snapshot FROM held) h ON h.snapshot <= date GROUP BY 1, 2),
+own AS (SELECT o.date, o.index_code, con_code, weight FROM own_last o JOIN held h USING (index_code, snapshot)),
+pooled AS (
+  SELECT date, con_code, max((index_code = '1-URGENT')::INTEGER)::DOUBLE AS in_a, max((index_code = '2-HIGH')::INTEGER)::DOUBLE AS in_b, arg_min(weight, index_code) AS weight FROM own GROUP BY 1, 2
+),
+earlier AS (SELECT l.date, con_code, arg_min(weight, index_code) AS weight_before FROM last_seen l JOIN marks k USING (snapshot) JOIN held h ON h.snapshot = k.prev GROUP BY 1, 2),
+once AS (SELECT DISTINCT snapshot, con_code FROM held),
+stays AS (SELECT o.*, n - row_number() OVER (PARTITION BY con_code ORDER BY snapshot) AS island FROM once o JOIN marks USING (snapshot)),
+tenured AS (SELECT con_code, snapshot, (row_number() OVER (PARTITION BY con_code, island ORDER BY snapshot))::DOUBLE AS tenure FROM stays),
+pool_panel AS (
+  SELECT b.*, coalesce(in_a, 0.0) AS in_a, coalesce(in_b, 0.0) AS in_b, p.weight, CASE WHEN e.con_code IS NOT NULL THEN 1.0 ELSE 0.0 END AS before, weight_before, tenure,
+    (b.instrument % 10 = 3)::INTEGER::DOUBLE AS star, (b.instrument % 10 IN (4, 5))::INTEGER::DOUBLE AS growth
+  FROM bars b LEFT JOIN last_seen l USING (date) LEFT JOIN pooled p ON p.date = b.date AND p.con_code = b.instrument
+    LEFT JOIN earlier e ON e.date = b.date AND e.con_code = b.instrument LEFT JOIN tenured t ON t.snapshot = l.snapshot AND t.con_code = b.instrument
+)"""
+
+
+def pool_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the as-of membership and weights of two indexes, what was held a snapshot before, tenure and board flags."""
+    panel = bars(spark, sf_dir)
+    days = panel.select("date").distinct()
+    held = membership(spark, sf_dir).where(F.col("index_code").isin("1-URGENT", "2-HIGH"))
+    first = lambda name: F.min_by("weight", "index_code").alias(name)
+    has = lambda code: F.max((F.col("index_code") == code).cast("double"))
+    now = universe.members_by_index(days, held).groupBy("date", "instrument").agg(has("1-URGENT").alias("in_a"), has("2-HIGH").alias("in_b"), first("weight"))
+    earlier = universe.members_before(days, held).groupBy("date", "instrument").agg(first("weight_before"), F.lit(1.0).alias("before"))
+    once = held.select(F.lit("pool").alias("index_code"), "snapshot", "con_code").distinct()
+    stayed = universe.last_snapshots(days, once).join(universe.tenure(once), "snapshot").select("date", F.col("con_code").alias("instrument"), F.col("tenure").cast("double").alias("tenure"))
+    joined = panel
+    for part in (now, earlier, stayed):
+        joined = joined.join(part, ["date", "instrument"], "left")
+    boards = {"star": (F.col("instrument") % 10 == 3).cast("double"), "growth": (F.col("instrument") % 10).isin(4, 5).cast("double")}
+    return joined.fillna(0.0, ["in_a", "in_b", "before"]).withColumns(boards)
+
+
+_catalogue("sleeves_weighted", sleeves.swept_sleeves, bars, "bars")
+_catalogue("sleeves_blended", sleeves.blended_sleeves, bars, "bars")
+_catalogue("sleeves_pool", sleeves.pool_sleeves, pool_panel, "pool_panel", MEMBERSHIP_SQL, POOL_PANEL_SQL)
