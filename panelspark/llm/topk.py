@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import is_finite
 
-#: Rows of a tile's two sides. A task holds one tile: at most some ten MB at 64 dimensions.
-QUERY_ROWS = 4_096
-SHARD_ROWS = 32_768
+#: Rows of a tile's two sides: each row is sent once for every tile of its side, so both are large. A task holds one tile,
+#: about 50 MB at 64 dimensions; scores are made a few queries at a time.
+QUERY_ROWS = 32_768
+SHARD_ROWS = 65_536
 #: Lists merged into one at each level of the tree.
 FAN_IN = 16
 #: Products of whole numbers below this are exact in double precision.

@@ -503,12 +503,33 @@ def test_nn_descent_equals_brute_force(spark):
     u = {k: np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in good}
     near = {a: {b for b in good if a != b and rows[a][2] == rows[b][2] and u[a] @ u[b] >= 0.93} for a in good}
     assert len(got) == len(rows) and all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(len(rows)) if k not in near)
-    found = sum(got[k]["n_links"] for k in good)
-    assert 0.98 * sum(map(len, near.values())) <= found <= sum(map(len, near.values()))
-    assert got[n]["component_id"] == got[n + 6]["component_id"] == got[0]["component_id"]
+    assert {k: got[k]["n_links"] for k in good} == {k: len(near[k]) for k in good}
+    root = {k: k for k in range(len(rows))}
+    for k in good:
+        for j in near[k]:
+            low, high = sorted((root[k], root[j]))
+            root = {i: low if x == high else x for i, x in root.items()}
+    assert {k: (got[k]["component_id"], got[k]["kept"]) for k in got} == {k: (root[k], root[k] == k) for k in root}
     assert nn_descent.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_pairs_near_the_threshold_are_compared_exactly(spark):
+    """Cosines that lie within the rounding of the carried vectors, on both sides of the threshold."""
+    rng = np.random.default_rng(8)
+    first = rng.standard_normal((120, 24))
+    first /= np.linalg.norm(first, axis=1)[:, None]
+    side = rng.standard_normal(first.shape)
+    side -= (side * first).sum(1)[:, None] * first
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = 0.93 + np.linspace(-1e-6, 1e-6, 120)[:, None]
+    u = np.concatenate([first, cosine * first + np.sqrt(1 - cosine**2) * side])
+    frame = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(u)], "vec_id long, embedding array<double>, label int")
+    linked = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+    assert linked.sum() == 120 and nn_descent._margin(24) > 1e-5
+    got = {r["id"]: r["n_links"] for r in nn_descent.near_vectors(frame).collect()}
+    assert [got[i] for i in range(len(u))] == list(linked.sum(1))
+
+
 def test_nn_descent_links_across_full_lists(spark):
     """Two tight groups, each of more rows than a list holds; all links across them are weaker than those within."""
     rng = np.random.default_rng(5)
