@@ -152,9 +152,14 @@ def ols_residual(x: Column, n: int, time: str = "t") -> Column:
 def cs_rank(x: Column, where: Column | None = None) -> Column:
     """Average rank within the date, over the non-null count; NULL where x is. where: rank within a pool only."""
     x = x if where is None else F.when(where, x)
-    order = Window.partitionBy("date").orderBy(x.asc_nulls_last())
-    ties = F.count(x).over(Window.partitionBy("date", x))
-    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(by_date()))
+    return F.when(x.isNotNull(), average_rank(x, "date") / F.count(x).over(by_date()))
+
+
+def average_rank(x: Column, *keys: str) -> Column:
+    """The rank of x within the keys, that of the middle for ties; ranks and ties are read off one order."""
+    order = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(order) + (ties - 1) / 2
 
 
 def cs_quantile(x: Column, q: float) -> Column:

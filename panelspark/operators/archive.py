@@ -57,9 +57,9 @@ def champion_replay(grid: DataFrame) -> DataFrame:
 
 
 def screen_picks(found: DataFrame, formula: str) -> DataFrame:
-    """Of the runs with positive excess, one of each formula family: the best Sharpe, earlier runs win ties; with the family's size."""
+    """Of the runs that earn more than their benchmark at a positive ratio, one of each formula family: the best, earlier runs win ties; with the family's size."""
     family = F.regexp_replace(F.regexp_replace(F.col(formula), "\\s+", ""), ",\\d+\\)", ",W)")
-    passed = found.where(F.col("excess_return") > 0).withColumn("family", family)
+    passed = found.where((F.col("excess_return") > 0) & (F.col("sharpe") > 0)).withColumn("family", family)
     order = Window.partitionBy("family").orderBy(F.desc("sharpe"), "run_id")
     ranked = passed.withColumns({"place_": F.row_number().over(order), "family_size": F.count("*").over(Window.partitionBy("family"))})
     return ranked.where(F.col("place_") == 1).select("family", "run_id", "sharpe", "family_size")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.window import div
+from panelspark.functions.window import average_rank, div
 from panelspark.operators.buckets import daily_quintile
 
 
@@ -129,11 +129,7 @@ def daily_ic(panel: DataFrame, factor: str, outcome: str, least: int = 3, by: tu
     keys = [*by, "date"]
     pairs = panel.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
 
-    def rank(x: str) -> Column:
-        ties = F.count("*").over(Window.partitionBy(*keys, x))
-        return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (ties - 1) / 2
-
-    ranked = pairs.select(*keys, rank(factor).alias("f_"), rank(outcome).alias("o_"))
+    ranked = pairs.select(*keys, average_rank(F.col(factor), *keys).alias("f_"), average_rank(F.col(outcome), *keys).alias("o_"))
     found = ranked.groupBy(*keys).agg(F.count("*").alias("names"), guarded_corr(F.col("f_"), F.col("o_")).alias("ic"))
     return found.where((F.col("names") >= least) & F.col("ic").isNotNull())
 
@@ -224,8 +220,7 @@ def monthly_ranking(scores: DataFrame, score: str, outcome: str, k: int = 10) ->
     ic = daily_ic(scores, score, outcome).select("date", "ic")
     held = scores.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
     by_date = Window.partitionBy("date")
-    relevance = F.rank().over(by_date.orderBy(outcome)) + (F.count("*").over(Window.partitionBy("date", outcome)) - 1) / 2
-    placed = held.withColumn("rel_", relevance).withColumns(
+    placed = held.withColumn("rel_", average_rank(F.col(outcome), "date")).withColumns(
         {"own_": F.row_number().over(by_date.orderBy(F.desc(score), "instrument")), "ideal_": F.row_number().over(by_date.orderBy(F.desc("rel_"), "instrument"))}
     )
     gain = lambda place: F.sum(F.when(F.col(place) <= k, F.col("rel_") / F.log2(F.col(place) + 1)))

@@ -195,7 +195,7 @@ def champion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("year", "expert", r(F.col("sharpe")).alias("sharpe"), r(F.col("excess_return")).alias("excess_return"))
 
 
-PICK_SQL = "f AS (SELECT *, 'Mean(close,W)' AS family FROM runs WHERE run_id % 2 = 0 AND excess_return > 0 UNION ALL SELECT *, 'Std(close,W)' FROM runs WHERE run_id % 2 = 1 AND excess_return > 0)"
+PICK_SQL = "f AS (SELECT *, 'Mean(close,W)' AS family FROM runs WHERE run_id % 2 = 0 AND excess_return > 0 AND sharpe > 0 UNION ALL SELECT *, 'Std(close,W)' FROM runs WHERE run_id % 2 = 1 AND excess_return > 0 AND sharpe > 0)"
 
 
 @REGISTRY.query("screen_picks", with_sql(RUNS_SQL, PICK_SQL, select="SELECT family, run_id, sharpe, n AS family_size FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sharpe DESC, run_id) AS place, count(*) OVER (PARTITION BY family) AS n FROM f) WHERE place = 1"))

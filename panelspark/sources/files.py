@@ -14,12 +14,12 @@ from panelspark.operators.quality import keep_last
 def read_dated_folder(spark: SparkSession, folder: str, keys: tuple[str, ...], columns: tuple[str, ...], since: str | None = None) -> DataFrame:
     """Rows of `<YYYYMMDD>.parquet` files whose columns may grow over time: the row of the newest file wins for each key.
 
-    Columns that no file has are NULL strings. since: file dates (YYYYMMDD) before it are not used.
+    Columns that no file has are NULL strings. since: files with a date (YYYYMMDD) before it are not opened.
     """
-    rows = spark.read.option("mergeSchema", True).parquet(folder)
-    rows = rows.withColumn("file_date_", F.regexp_extract(F.col("_metadata.file_name"), "(\\d{8})", 1))
+    rows, day = spark.read.option("mergeSchema", True).parquet(folder), F.regexp_extract(F.col("_metadata.file_name"), "(\\d{8})", 1)
     if since is not None:
-        rows = rows.where(F.col("file_date_") >= since)
+        rows = rows.where(day >= since)
+    rows = rows.withColumn("file_date_", day)
     have = set(rows.columns)
     chosen = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns]
     return keep_last(rows.select(*chosen, "file_date_"), keys, ("file_date_",)).drop("file_date_")
@@ -39,6 +39,14 @@ def read_run_archive(spark: SparkSession, pattern: str) -> tuple[DataFrame, Data
     return runs.drop("equity_curve"), curve
 
 
+def archived_trades(spark: SparkSession, pattern: str) -> DataFrame:
+    """The trades of archived runs as rows (run_id, and a trade's own fields); runs without any give none."""
+    runs = spark.read.option("multiLine", True).json(pattern)
+    if "trades" not in runs.columns:
+        return runs.select("run_id").limit(0)
+    return runs.select("run_id", F.explode("trades").alias("t")).select("run_id", "t.*")
+
+
 def shared(spark: SparkSession, name: str) -> str:
     """A folder of its own for a written table, in the checkpoint folder that the session names."""
     context = spark.sparkContext

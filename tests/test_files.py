@@ -17,13 +17,17 @@ def test_dated_folder_keeps_the_newest_row_and_grows_columns(spark, tmp_path):
         spark.createDataFrame(rows, schema).toPandas().to_parquet(tmp_path / f"{day}.parquet", index=False)
     found = {r["k"]: (r["v"], r["note"], r["none"]) for r in files.read_dated_folder(spark, str(tmp_path), ("k",), ("k", "v", "note", "none")).collect()}
     assert found == {1: (9.0, "x", None), 2: (2.0, None, None)}
+    later = files.read_dated_folder(spark, str(tmp_path), ("k",), ("k", "v"), since="20240102")
+    assert {r["k"]: r["v"] for r in later.collect()} == {1: 9.0}
     assert tuple(files.interface_profile(spark, str(tmp_path)).first()) == (2, 3, "20240101", "20240102")
 
 
 def test_run_archive_sidecar_and_export(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"run_id": "r", "equity_curve": [{"date": "2024-01-01", "equity": 1.0}, {"date": "2024-01-02", "equity": 2.0}]}))
+    (tmp_path / "a.json").write_text(json.dumps({"run_id": "r", "equity_curve": [{"date": "2024-01-01", "equity": 1.0}, {"date": "2024-01-02", "equity": 2.0}], "trades": [{"name": "a", "pnl": 1.5}, {"name": "b", "pnl": -1.0}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"run_id": "s", "equity_curve": [], "trades": []}))
+    assert sorted(map(tuple, files.archived_trades(spark, str(tmp_path / "*.json")).select("run_id", "name", "pnl").collect())) == [("r", "a", 1.5), ("r", "b", -1.0)]
     runs, curve = files.read_run_archive(spark, str(tmp_path / "*.json"))
-    assert runs.count() == 1 and [r["equity"] for r in curve.orderBy("date").collect()] == [1.0, 2.0]
+    assert runs.count() == 2 and [r["equity"] for r in curve.orderBy("date").collect()] == [1.0, 2.0]
     a = spark.createDataFrame([(1, DAY, 1.0)], "instrument long, date date, f double")
     b = spark.createDataFrame([(1, DAY, 7.0, 2.0)], "instrument long, date date, f double, g double")
     files.write_sidecar(files.append_factors(a, b), str(tmp_path / "side"))
