@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.bpe import read_ranks
-from panelspark.llm.common import mapped
+
+
+#: Packed rows of a batch on their way to the JVM, and bytes of a row group: they bound a task's memory.
+BATCH_ROWS = 256
+GROUP_BYTES = 1 << 25
 
 
 class CapacityTree:
@@ -67,11 +70,12 @@ def pack_tokens(
 ) -> DataFrame:
     """Encode whole texts and pack them into rows of at most `capacity` token ids.
 
-    Returns (block long, row long, ids binary, n_tokens int, cu_seqlens
-    array<int>, ids_of array<long>, offsets array<long>): ids are little-endian
-    unsigned 32-bit integers; segment j is ids[cu_seqlens[j]:cu_seqlens[j + 1]],
-    from the document ids_of[j], whose tokens it continues at offsets[j];
-    positions restart at 0 at each cumulative length. Texts with more than
+    Returns (block long, row long, ids binary, positions binary, n_tokens int,
+    cu_seqlens array<int>, ids_of array<long>, offsets array<long>): ids and
+    positions are little-endian unsigned 32-bit integers; segment j is
+    ids[cu_seqlens[j]:cu_seqlens[j + 1]], from the document ids_of[j], whose
+    tokens it continues at offsets[j]; positions restart at 0 at each cumulative
+    length. Texts with more than
     `capacity` tokens are split into segments without loss. Each block of
     `block_docs` documents of a task is packed by itself: no shuffle, bounded
     memory, and a lost task packs the same rows anew.
@@ -90,12 +94,13 @@ def pack_tokens(
         for batch in batches:
             for start in range(0, batch.num_rows, block_docs):
                 part = batch.slice(start, block_docs)
-                yield _packed(part.column(0).to_pylist(), [encode(x or "") for x in part.column(1).to_pylist()], capacity, block)
+                rows = _packed(part.column(0).to_pylist(), [encode(x or "") for x in part.column(1).to_pylist()], capacity, block)
+                yield from (rows.slice(at, BATCH_ROWS) for at in range(0, rows.num_rows, BATCH_ROWS))
                 block += 1
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packed = given.mapInArrow(
-        pack, "block long, row long, ids binary, n_tokens int, cu_seqlens array<int>, ids_of array<long>, offsets array<long>"
+        pack, "block long, row long, ids binary, positions binary, n_tokens int, cu_seqlens array<int>, ids_of array<long>, offsets array<long>"
     )
     return packed.withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("block"))
 
@@ -104,16 +109,18 @@ def _packed(ids: list, tokens: list[list[int]], capacity: int, block: int) -> pa
     encoded = [np.array(x, dtype="<u4") for x in tokens]
     segments = [(d, at, min(capacity, len(x) - at)) for d, x in enumerate(encoded) for at in range(0, len(x), capacity)]
     rows = best_fit_decreasing([size for _, _, size in segments], capacity)
-    out: dict[str, list] = {"ids": [], "n_tokens": [], "cu_seqlens": [], "ids_of": [], "offsets": []}
+    out: dict[str, list] = {"ids": [], "positions": [], "n_tokens": [], "cu_seqlens": [], "ids_of": [], "offsets": []}
+    places = np.arange(capacity, dtype="<u4")
     for row in rows:
         own = [segments[i] for i in row]
+        out["positions"].append(b"".join(places[:size].tobytes() for _, _, size in own))
         out["ids"].append(b"".join(encoded[d][at : at + size].tobytes() for d, at, size in own))
         lengths = np.cumsum([0, *(size for _, _, size in own)])
         out["n_tokens"].append(int(lengths[-1]))
         out["cu_seqlens"].append(lengths)
         out["ids_of"].append([ids[d] for d, _, _ in own])
         out["offsets"].append([at for _, at, _ in own])
-    kinds = {"ids": pa.binary(), "n_tokens": pa.int32(), "cu_seqlens": pa.list_(pa.int32()), "ids_of": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64())}
+    kinds = {"ids": pa.binary(), "positions": pa.binary(), "n_tokens": pa.int32(), "cu_seqlens": pa.list_(pa.int32()), "ids_of": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64())}
     n = len(rows)
     return pa.RecordBatch.from_pydict(
         {"block": pa.array([block] * n, pa.int64()), "row": pa.array(range(n), pa.int64())} | {k: pa.array(v, kinds[k]) for k, v in out.items()}
@@ -126,50 +133,25 @@ def free_id(vocabulary: str) -> int:
 
 
 def write_matrices(packed: DataFrame, path: str, capacity: int = 2048, pad: int = 50_256) -> None:
-    """Write packed rows as Parquet: fixed-length rows of ids and of positions, and what pack_tokens says of their segments.
-
-    positions restart at 0 with each segment. What a row has free is filled with
-    `pad` (see free_id: an id outside the vocabulary) at position 0; n_tokens
-    tells where that begins. Null and empty texts are in no row; an empty table
-    gives an empty file with the same columns.
+    """Write packed rows as Parquet: matrices of ids and positions, and what pack_tokens says of their segments.
+
+    A matrix row is a binary value of `capacity` little-endian 32-bit integers,
+    so a batch of them is one array to numpy. positions restart at 0 with each
+    segment. What a row has free is filled with `pad` (see free_id: an id outside
+    the vocabulary) at position 0; n_tokens tells where that begins. Null and
+    empty texts are in no row; an empty table gives an empty file with the same
+    columns.
     """
-    if not 0 <= pad < 1 << 31:
+    if not 0 <= pad < 1 << 32:
         raise ValueError(f"not an id: {pad}")
-
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            used = batch.column("n_tokens").to_numpy().astype(np.int64)
-            filled = np.arange(capacity)[None] < used[:, None]
-            ids = np.full((n, capacity), pad, dtype=np.int32)
-            ids[filled] = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4")
-            cuts = batch.column("cu_seqlens")
-            size = np.diff(cuts.offsets.to_numpy())
-            bounds = cuts.flatten().to_numpy()
-            first = np.delete(np.arange(len(bounds)), np.cumsum(size) - 1)  # a row's last bound begins no segment
-            length = bounds[first + 1] - bounds[first]
-            positions = np.zeros((n, capacity), dtype=np.int32)
-            positions[filled] = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            ends = pa.array(np.arange(n + 1, dtype=np.int32) * capacity)
-            out = {name: pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for name, x in (("ids", ids), ("positions", positions))}
-            yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "row": batch.column("row")} | out | {c: batch.column(c) for c in kept})
-
-    kept = ("n_tokens", "cu_seqlens", "ids_of", "offsets")
-    schema = "block long, row long, ids array<int>, positions array<int>, n_tokens int, cu_seqlens array<int>, ids_of array<long>, offsets array<long>"
-    packed.select("block", "row", "ids", *kept).mapInArrow(matrix, schema).write.parquet(path)
+    filled = lambda name, filler: F.rpad(name, capacity * 4, F.lit(bytearray(filler.to_bytes(4, "little")))).alias(name)
+    rows = packed.select("block", "row", filled("ids", pad), filled("positions", 0), "n_tokens", "cu_seqlens", "ids_of", "offsets")
+    rows.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def digests(matrices: DataFrame) -> DataFrame:
-    """Written matrices with SHA-256 digests in place of ids (a row's own, without padding) and positions (the whole row), as little-endian 32-bit integers."""
-
-    def told(batch: pa.RecordBatch) -> dict:
-        n, used = batch.num_rows, batch.column("n_tokens").to_pylist()
-        ids, positions = (np.asarray(batch.column(c).flatten().to_numpy()).reshape(n, -1).astype("<u4") for c in ("ids", "positions"))
-        own = {
-            "ids_sha256": [hashlib.sha256(row[:k].tobytes()).hexdigest() for row, k in zip(ids, used, strict=True)],
-            "positions_sha256": [hashlib.sha256(row.tobytes()).hexdigest() for row in positions],
-        }
-        return {c: batch.column(c) for c in ("block", "row")} | own | {c: batch.column(c) for c in ("n_tokens", "cu_seqlens", "ids_of", "offsets")}
-
-    schema = "block long, row long, ids_sha256 string, positions_sha256 string, n_tokens int, cu_seqlens array<int>, ids_of array<long>, offsets array<long>"
-    return mapped(matrices, schema, told, 512)
+    """Written matrices with SHA-256 digests in place of ids (a row's own, without padding) and positions (the whole row)."""
+    own = F.substring("ids", F.lit(1), F.col("n_tokens") * 4)
+    return matrices.select(
+        "block", "row", F.sha2(own, 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"), "n_tokens", "cu_seqlens", "ids_of", "offsets"
+    )

@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from panelspark.llm import bpe, langid, line_dedup, mixing, nn_descent, packing, quality, shingle_hash, simhash, token_counts, topk
+from panelspark.llm import bpe, common, langid, line_dedup, mixing, nn_descent, packing, quality, shingle_hash, simhash, token_counts, topk
 from panelspark.llm.components import connected_components
 
 TEXTS = [
@@ -161,7 +161,10 @@ def test_further_rounds_and_the_whole_comparison_find_what_the_first_round_lacks
     assert turns[:3] == [0, 1, 2] and turns[-2:] == [0, 1]
 
 
-def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, monkeypatch, hot):
+    """Also where every repeated key counts as hot and meets a broadcast part."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     a = " ".join(f"a{i % 50}" for i in range(200))
     b = " ".join(f"b{i % 70}" for i in range(200))
     rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (7, b, "z"), (9, a + " end", "u"), (None, b, "v"), (None, "c c c", "w"), (2, None, "n"), (3, "", "e"), (1, b, "t")]
@@ -378,7 +381,8 @@ def test_packing_is_lossless(spark, docs, tmp_path):
         m, n, d = written[r["block"], r["row"]], r["n_tokens"], told[r["block"], r["row"]]
         own = np.frombuffer(r["ids"], dtype="<u4").tolist()
         places = [x for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:]) for x in range(b - a)] + [0] * (8 - n)
-        assert m["ids"] == own + [50_256] * (8 - n) and m["positions"] == places and m["n_tokens"] == n and m["ids_of"] == r["ids_of"]
+        matrix = {c: np.frombuffer(m[c], dtype="<u4").tolist() for c in ("ids", "positions")}
+        assert matrix == {"ids": own + [50_256] * (8 - n), "positions": places} and m["n_tokens"] == n and m["ids_of"] == r["ids_of"]
         assert d["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest() and d["positions_sha256"] == hashlib.sha256(np.array(places, dtype="<u4").tobytes()).hexdigest()
     none = packing.pack_tokens(docs.where("doc_id in (3, 4)"), path, P.PATTERN, capacity=8)
     packing.write_matrices(none, str(tmp_path / "none"), 8)
