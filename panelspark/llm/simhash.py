@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import joined_by, mapped, saved, text_bytes
@@ -368,10 +368,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pl
     ident, text = f"c{names.index(id_col)}_", f"c{names.index(text_col)}_"
     found = _grouped(own, ident, text, plan)
     order = F.struct(F.col("node").isNull().alias("a"), "node", F.col("text").isNull().alias("b"), "text")
-    best = found.groupBy("group").agg(F.min(order).alias("o")).select(F.col("o.node").alias("node_"), F.col("o.text").alias("text_"))
-    keyed = own.withColumns({"node_": F.col(ident).cast("long"), "text_": F.unhex(F.md5(text)), "hash_": F.xxhash64(*own.columns)})
-    same = keyed["node_"].eqNullSafe(best["node_"]) & keyed["text_"].eqNullSafe(best["text_"])
-    # Rows that share id and text are copies of each other; one of them stays.
-    first = Window.partitionBy("node_", "text_").orderBy("hash_")
-    kept = keyed.join(best, same, "left_semi").withColumn("place_", F.row_number().over(first)).where(F.col("place_") == 1)
-    return kept.select(*[F.col(f"c{i}_").alias(name) for i, name in enumerate(names)])
+    key = lambda node, md5: F.concat_ws("|", F.coalesce(node.cast("string"), F.lit("-")), F.coalesce(md5, F.lit("-"))).alias("key_")
+    best = found.groupBy("group").agg(F.min(order).alias("o")).select(key(F.col("o.node"), F.lower(F.hex("o.text"))))
+    keyed = own.select("*", key(F.col(ident).cast("long"), F.md5(text)))
+    # Rows that share id and text are copies of each other; one of them stays. Copies are reduced before they travel.
+    rows = joined_by(keyed, best, "key_", "left_semi").groupBy("key_").agg(F.min_by(F.struct(*own.columns), F.xxhash64(*own.columns)).alias("row_"))
+    return rows.select(*[F.col(f"row_.c{i}_").alias(name) for i, name in enumerate(names)])
