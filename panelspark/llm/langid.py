@@ -158,8 +158,10 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
         return None
     room = F.greatest(F.char_length(text) - WINDOW, F.lit(0)) + 1
     place = lambda turn: (F.pmod(F.xxhash64("id_", text, F.lit(turn)), room) + 1).cast("int")
-    drawn = given.where(F.col("label_").isin(labels)).withColumn("windows_", F.array(*[F.substring(text, place(t), F.lit(WINDOW)) for t in range(SAMPLE_WINDOWS)]))
-    sample = hash_sample(drawn, [F.col("id_"), text], max(1, sample_rows // len(labels)), "label_")
+    drawn = F.array(*[F.substring(text, place(t), F.lit(WINDOW)) for t in range(SAMPLE_WINDOWS)])
+    # Windows are cut where the text lies; of a text only they and its hash travel on.
+    drawn = given.where(F.col("label_").isin(labels)).select("label_", drawn.alias("windows_"), F.xxhash64("id_", text).alias("hash_"))
+    sample = hash_sample(drawn, [F.col("hash_")], max(1, sample_rows // len(labels)), "label_")
     found = sample.select("label_", F.explode("windows_").alias("window_")).orderBy("label_", "window_").collect()
     rows = [(r["window_"].encode()[:WINDOW], r["label_"]) for r in found if LETTER.search(r["window_"])]
     if not rows:
