@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions import window as w
 from panelspark.functions import sqltext as q
 from panelspark.operators import archive, books, experts, labels, models, signals
 from panelspark.plans.catalogue import REGISTRY

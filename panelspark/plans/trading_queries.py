@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
-from panelspark.operators import archive, books, diagnostics, labels, models, quality, signals, trading, universe
+from panelspark.operators import archive, books, diagnostics, labels, models, quality, trading, universe
 from panelspark.plans.book_queries import BOOK_SQL, CURVE_SQL, LEDGER_SQL
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
