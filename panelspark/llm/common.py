@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +107,24 @@ def mapped(df: DataFrame, schema: str, block: Callable[[pa.RecordBatch], dict],
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, b"" for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def by_size(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts of a column have at most `limit` bytes together; a longer text is a slice of its own."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy() if batch.num_rows else []
+    start, before = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
+def mapped_by_size(df: DataFrame, schema: str, block: Callable[[pa.RecordBatch], dict], column: str, limit: int = 4 << 20) -> DataFrame:
+    """As `mapped`, in slices of at most `limit` bytes of a text column, so that memory is bounded by it or by the longest text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_size(batch, column, limit):
+                yield pa.RecordBatch.from_pydict(block(part))
+
+    return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, langid, line_dedup, mixing, nn_descent, packing, quality, simhash, token_counts, topk
+from panelspark.llm import bpe, fim, importance, langid, line_dedup, mixing, nn_descent, packing, quality, simhash, substrings, token_counts, topk
 from panelspark.llm.common import fresh_folder
 from panelspark.registry import Registry
 
@@ -94,3 +94,22 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op10_nn_descent")
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+@REGISTRY.query("op11_substrings", substrings.sql())
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = substrings.drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return told.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@REGISTRY.query("op12_fim", fim.sql())
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore()).alias("restored_sha256"))
+
+
+@REGISTRY.query("op13_importance", importance.sql())
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
