@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: A key with more rows is dealt apart from the rest; the keys are broadcast only up to this count.
+#: A key with more rows, and more than one of HOT_KEYS parts of all rows, is dealt apart from the rest.
 HOT_ROWS = 2_000
-BROADCAST_KEYS = 100_000
+HOT_KEYS = 100_000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -54,16 +54,24 @@ def is_finite(vector: str) -> Column:
     return F.coalesce(x.isNotNull() & ~bad, F.lit(False))
 
 
-def joined_by(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left joined with right (one row a key). Keys that very many left rows have meet a broadcast part of right,
+def hot_keys(counted: DataFrame, key: str, count: str = "count") -> DataFrame:
+    """The keys of a table (key, count) that one task should not hold alone: over HOT_ROWS rows, and over 1 / HOT_KEYS of all.
 
-    so that no task holds all rows of such a key. There are at most
-    rows / HOT_ROWS of them; over BROADCAST_KEYS, they are left to the join.
+    So there are fewer than HOT_KEYS of them, whatever the size of the table, and a key that is none has few rows or a very small share.
     """
-    hot = left.groupBy(key).count().where((F.col("count") > HOT_ROWS) & F.col(key).isNotNull()).select(key)
-    if not 0 < hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return counted.where((F.col(count) > max(HOT_ROWS, total // HOT_KEYS)) & F.col(key).isNotNull()).select(key)
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right (one row a key). Keys that very many left rows have (`hot_keys`, unless they are given) meet a broadcast part of right,
+
+    so that no task holds all rows of such a key.
+    """
+    hot = saved(hot_keys(saved(left.groupBy(key).count()), key) if hot is None else hot)
+    if hot.isEmpty():
         return left.join(right, key, how)
-    held = F.broadcast(saved(hot))
+    held = F.broadcast(hot)
     few = F.broadcast(right.join(held, key, "left_semi"))
     return left.join(held, key, "left_anti").join(right, key, how).unionByName(left.join(held, key, "left_semi").join(few, key, how))
 

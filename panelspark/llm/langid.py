@@ -6,11 +6,11 @@ window; the maximum of each filter over the window feeds a softmax layer.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ WINDOW = 256
 #: Labelled rows that a network is trained on, at most; so many windows of each.
 SAMPLE_ROWS = 4_000
 SAMPLE_WINDOWS = 2
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category; numerals such as superscripts and fractions are none.
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 

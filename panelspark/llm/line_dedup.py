@@ -2,7 +2,8 @@
 
 A HyperLogLog sketch of the sites of every line (by hash) estimates on how many
 sites the line stands, a second one in how many distinct texts: a text that is
-copied to many sites spreads none of its lines. Sketches merge by aggregation.
+copied to many sites spreads none of its lines. Sketches are made where the lines
+are read and merge by aggregation; lines of one site or one text get none.
 Lines near a threshold get exact distinct counts; the rest are decided by the
 estimates.
 """
@@ -30,11 +31,7 @@ def lines_of(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
     """
     given = docs.where(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("text"), F.col(site_col).alias("site"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
     trimmed = given.withColumn("line", F.trim("line")).where(F.col("line") != "")
-    return trimmed.select("text", "site", F.xxhash64("line").alias("h"))
-
-
-def _about(column: str) -> Column:
-    return F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(SKETCH_LG)))
+    return trimmed.select("text", F.col("site").cast("string").alias("site"), F.xxhash64("line").alias("h"))
 
 
 def _held(hashes: DataFrame) -> DataFrame:
@@ -44,26 +41,26 @@ def _held(hashes: DataFrame) -> DataFrame:
 def boilerplate(lines: DataFrame, least: int) -> DataFrame:
     """Hashes h of the lines that stand on at least `least` distinct sites and in at least `least` distinct texts.
 
-    A null site counts as none. (line, site) pairs are reduced before the
-    shuffle, texts are counted only for lines that spread over sites, and only
-    lines in the band around the threshold are counted exactly.
+    A null site counts as none. A first pass keeps the lines that stand on two
+    sites and in two texts, by the least and greatest of each. Of these, every
+    task sketches the sites and texts of each line that it meets, and the
+    sketches merge by aggregation: no (line, site) pairs travel. Lines whose
+    estimates lie in the band around the threshold are counted exactly.
     """
     low, high = least * (1 - BAND) - 1, least * (1 + BAND) + 1
-    sited = lines.where(F.col("site").isNotNull())
-    by_site = sited.select("h", "site").distinct().groupBy("h").agg(_about("site").alias("sites"))
-    spread = saved(by_site.where(F.col("sites") >= low))
-    of_spread = lines.join(_held(spread.select("h")), "h", "left_semi")
-    by_text = of_spread.select("h", "text").distinct().groupBy("h").agg(_about("text").alias("texts")).where(F.col("texts") >= low)
-    both = saved(spread.join(by_text, "h"))
-
-    def exact(column: str, about: str) -> DataFrame:
-        near = _held(both.where(F.col(about) <= high).select("h"))
-        counted = lines.where(F.col(column).isNotNull()).join(near, "h", "left_semi").select("h", column).distinct().groupBy("h").count()
-        return counted.where(F.col("count") >= least).select("h", F.lit(True).alias(f"{about}_hold"))
-
-    told = both.join(exact("site", "sites"), "h", "left").join(exact("text", "texts"), "h", "left")
-    enough = [(F.col(about) > high) | F.coalesce(f"{about}_hold", F.lit(False)) for about in ("sites", "texts")]
-    return saved(told.where(enough[0] & enough[1]).select("h"))
+    ends = [F.min("site"), F.max("site"), F.min("text"), F.max("text")]
+    spread = lines.groupBy("h").agg(*[x.alias(name) for x, name in zip(ends, ("s0", "s1", "t0", "t1"), strict=True)])
+    enough = F.col("s0").isNotNull() if least < 2 else (F.col("s0") < F.col("s1")) & (F.col("t0") < F.col("t1"))
+    spread = saved(spread.where(enough).select("h"))
+    sketch = lambda column: F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(SKETCH_LG)))
+    sketched = lines.join(_held(spread), "h", "left_semi").groupBy("h").agg(sketch("site").alias("sites"), sketch("text").alias("texts"))
+    both = saved(sketched.where((F.col("sites") >= low) & (F.col("texts") >= low)))
+    near = saved(both.where((F.col("sites") <= high) | (F.col("texts") <= high)).select("h"))
+    pair = lambda kind, x: F.struct(F.lit(kind).alias("kind"), F.col(x).alias("x"))
+    pairs = lines.join(_held(near), "h", "left_semi").select("h", F.explode(F.array(pair(0, "site"), pair(1, "text"))).alias("p"))
+    once = pairs.where(F.col("p.x").isNotNull()).distinct().groupBy("h").agg(F.count_if(F.col("p.kind") == 0).alias("exact_sites"), F.count_if(F.col("p.kind") == 1).alias("exact_texts"))
+    told = both.join(once, "h", "left")
+    return saved(told.where((F.coalesce("exact_sites", "sites") >= least) & (F.coalesce("exact_texts", "texts") >= least)).select("h"))
 
 
 def drop_boilerplate(

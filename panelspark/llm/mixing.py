@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import saved
+from panelspark.llm.common import hot_keys, joined_by, saved
 
 #: Each pass splits the bracket into so many parts: six bisections at once, eight passes give 48 bits.
 PARTS = 64
@@ -89,7 +89,7 @@ def mix_sources(
     key = F.coalesce(ident.cast("string"), F.lit("<null>"))
     sized = own.withColumns({"source_": F.coalesce(source.cast("string"), F.lit("<null>")), "hash_": F.md5(F.concat(F.lit(f"{seed}|"), key)), "key_": key})
     counted = sized.select("source_", "hash_", "key_", token_count(f"c{names.index(text_col)}_").alias("n_"))
-    per_source = saved(counted.groupBy("source_").agg(F.sum("n_").alias("tokens_")))
+    per_source = saved(counted.groupBy("source_").agg(F.sum("n_").alias("tokens_"), F.count("*").alias("rows_")))
     total = per_source.agg(F.sum("tokens_")).first()[0] or 0
     if not total:
         return own.select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(names)], F.lit(0).alias("mix_epoch_"))
@@ -105,8 +105,11 @@ def mix_sources(
         F.ceil(F.greatest("tokens_", F.lit(1)) / block_tokens).cast("long").alias("blocks_"),
     )
     plan = saved(plan)
-    small = plan.count() <= BROADCAST_SOURCES
-    held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    small, hot = plan.count() <= BROADCAST_SOURCES, saved(hot_keys(per_source, "source_", "rows_"))
+
+    def of_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """rows with what is known of their sources; beyond BROADCAST_SOURCES of them, only large sources are dealt apart."""
+        return rows.join(F.broadcast(facts), "source_") if small else joined_by(rows, facts, "source_", hot=hot)
 
     def dealt(df: DataFrame) -> DataFrame:
         """Block of each document, and the block's place in the permutation of the last, partial epoch."""
@@ -115,21 +118,21 @@ def mix_sources(
         turn = F.md5(F.concat_ws("|", F.lit(seed), "source_", F.col("full_").cast("string"), F.col("block_").cast("string")))
         return with_block.withColumns({"turn_": turn, "doc_turn_": F.md5(F.concat_ws("|", F.lit(seed), F.col("full_").cast("string"), "key_"))})
 
-    placed = dealt(counted.join(held(plan), "source_"))
+    placed = dealt(of_source(counted, plan))
     blocks = placed.groupBy("source_", "turn_", "block_", "rest_").agg(F.sum("n_").alias("n_"))
     order = Window.partitionBy("source_").orderBy("turn_", "block_").rowsBetween(Window.unboundedPreceding, 0)
     summed = blocks.withColumn("until_", F.sum("n_").over(order))
     # The border is the first block that ends beyond the rest; before it, blocks go in whole.
     border = summed.where(F.col("until_") > F.col("rest_")).groupBy("source_").agg(F.min_by(F.struct("turn_", "block_", (F.col("until_") - F.col("n_")).alias("before_")), F.struct("turn_", "block_")).alias("border_"))
     border = saved(border.select("source_", F.col("border_.turn_").alias("border_turn_"), F.col("border_.block_").alias("border_block_"), F.col("border_.before_").alias("before_")))
-    at_border = placed.join(held(border), "source_").where((F.col("turn_") == F.col("border_turn_")) & (F.col("block_") == F.col("border_block_")))
+    at_border = of_source(placed, border).where((F.col("turn_") == F.col("border_turn_")) & (F.col("block_") == F.col("border_block_")))
     by_key = at_border.groupBy("source_", "doc_turn_", "key_", "rest_", "before_").agg(F.sum("n_").alias("n_"))
     in_block = Window.partitionBy("source_").orderBy("doc_turn_", "key_").rowsBetween(Window.unboundedPreceding, 0)
     fits = by_key.withColumn("until_", F.col("before_") + F.sum("n_").over(in_block)).where(F.col("until_") <= F.col("rest_"))
     last = fits.groupBy("source_").agg(F.max(F.struct("doc_turn_", "key_")).alias("last_"))
     last = saved(last.select("source_", F.col("last_.doc_turn_").alias("last_turn_"), F.col("last_.key_").alias("last_key_")))
     decided = plan.join(border, "source_", "left").join(last, "source_", "left")
-    chosen = dealt(sized.join(held(saved(decided)), "source_"))
+    chosen = dealt(of_source(sized, saved(decided)))
     here, edge = F.struct("turn_", "block_"), F.struct(F.col("border_turn_").alias("turn_"), F.col("border_block_").alias("block_"))
     within = F.struct("doc_turn_", "key_") <= F.struct(F.col("last_turn_").alias("doc_turn_"), F.col("last_key_").alias("key_"))
     extra = F.col("border_turn_").isNotNull() & ((here < edge) | ((here == edge) & F.col("last_turn_").isNotNull() & within))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import is_finite, saved
+from panelspark.llm.common import is_finite, joined_by, saved
 from panelspark.llm.components import connected_components
 
 
@@ -398,9 +398,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     able = is_finite("v") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)
     good = saved(rows.where(able).mapInArrow(_unit, f"id long, v array<double>, label {rows.schema['label'].dataType.simpleString()}"))
-    classes = good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = good.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     shorter = lambda batches: (batch.append_column("q", _rounded(batch.column("v"))) for batch in batches)
-    nodes = saved(classes.mapInArrow(shorter, f"label {rows.schema['label'].dataType.simpleString()}, v array<double>, id long, copies long, q binary"))
+    shorted = classes.mapInArrow(shorter, f"label {rows.schema['label'].dataType.simpleString()}, v array<double>, least long, copies long, q binary")
+    # Classes of equal vectors go by numbers of their own: one id may stand at several vectors.
+    nodes = saved(shorted.withColumn("id", F.monotonically_increasing_id()))
     sizes = saved(nodes.groupBy("label", F.size("v").alias("dim")).count())
     largest, longest = sizes.agg(F.max("count"), F.max("dim")).first()
     largest, margin = largest or 0, _margin(longest or 0)
@@ -451,11 +453,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     exact = (nodes.select("id", F.lit(True).alias("asks"), "copies", F.col("id").alias("mate")).limit(0) if part is None else part).groupBy("id").agg(*sums)
     named = nodes.join(counted, "id", "left").join(exact, "id", "left").join(roots, "id", "left")
     linked = F.coalesce("exact", F.coalesce("linked", F.lit(0)) + F.coalesce("answered", F.lit(0)))
-    known = saved(
-        named.select(
-            "label", "v", (F.col("copies") - 1 + linked).alias("n_links"), F.coalesce("root", "id").alias("component_id")
-        )
-    )
+    told = saved(named.select("label", "v", "least", (F.col("copies") - 1 + linked).alias("n_links"), F.coalesce("root", "id").alias("group")))
+    known = joined_by(told, told.groupBy("group").agg(F.min("least").alias("component_id")), "group")
     found = good.join(known, ["label", "v"]).select("id", "n_links", "component_id")
     rest = rows.where(~able).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

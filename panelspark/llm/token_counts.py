@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.chunks import cut
 from panelspark.llm.common import mapped, saved
 
+#: A space in the alphabet of byte-level vocabularies.
+SPACE = "\u0120"
 #: So many chunks are remembered by a Python worker.
 CHUNK_LIMIT = 600_000
 
@@ -78,13 +80,23 @@ def _counter(content: str) -> Counter:
 
 
 def _check(parts: dict) -> None:
-    """Cuts at spaces hold for byte-level BPE with its own pre-token pattern, no normaliser, and added tokens without white space at which they could be cut."""
-    before = parts.get("pre_tokenizer") or {}
+    """Cuts at spaces hold for byte-level BPE with its own pre-token pattern, no normaliser, and added tokens without white space at which they could be cut.
+
+    Proof: text is cut before a space that a character other than white space
+    follows. Without an added token right behind the space, the space leads a
+    pre-token, and what is left of it splits the same with or without it. With one,
+    the library ends the text before the added token, and the space ends a run of
+    white space; the cut tells it from the rest of that run. The rest and the space
+    have as many tokens apart as together, unless a token of several characters
+    ends in a space. So with added tokens such vocabularies are refused.
+    """
+    model, before = parts.get("model") or {}, parts.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
     added = parts.get("added_tokens") or []
     whole = not any(x.get("lstrip") or x.get("rstrip") or x["content"].split() != [x["content"]] for x in added)
-    if (parts.get("model") or {}).get("type") != "BPE" or not plain or parts.get("normalizer") or not whole:
-        raise ValueError("not a plain byte-level BPE tokenizer")
+    merged = any(len(token) > 1 and token.endswith(SPACE) for token in model.get("vocab") or ()) if added else False
+    if model.get("type") != "BPE" or not plain or parts.get("normalizer") or not whole or merged:
+        raise ValueError("not a plain byte-level BPE tokenizer whose texts can be cut at spaces")
 
 
 def count_tokens(

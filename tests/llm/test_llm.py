@@ -578,3 +578,74 @@ def test_nn_descent_audit_counts_beside_a_crowd(spark, monkeypatch):
         low, high = sorted((root[a], root[b]))
         root = [low if r == high else r for r in root]
     assert [got[i]["component_id"] for i in range(len(u))] == root
+
+
+@pytest.mark.parametrize("label", [0, "a"])
+def test_nn_descent_tells_rows_of_one_id_apart(spark, label):
+    """One id at several vectors, in one label and in two, equal, near and far."""
+    rows = [(5, [1.0, 0.0], 0), (6, [1.0, 0.01], 0), (5, [0.0, 1.0], 1), (7, [0.0, -1.0], 1), (8, [1.0, 0.0], None), (9, [0.0, 1.0], 2), (5, [0.0, 1.001], 2), (11, [1.0, 0.02], 2)]
+    rows += [(5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (12, [1.0, 0.0], 1), (12, [1.0, 0.1], 1), (4, [-1.0, 0.0], 0)]
+    kind = "string" if label else "int"
+    given = [(i, v, None if c is None else (f"{label}{c}" if label else c)) for i, v, c in rows]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(given)], f"row long, vec_id long, embedding array<double>, label {kind}")
+    u = np.array([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    linked = lambda a, b: a != b and rows[a][2] is not None and rows[a][2] == rows[b][2] and u[a] @ u[b] >= 0.93
+    group = components(len(rows), linked)
+    want = []
+    for a, (i, _, _) in enumerate(rows):
+        least = min(rows[b][0] for b in range(len(rows)) if group[b] == group[a])
+        want.append((i, sum(linked(a, b) for b in range(len(rows))), least, i == least))
+    got = [tuple(r) for r in nn_descent.near_vectors(frame).select("id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_numerals_are_no_letters(spark):
+    frame = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ ৩ _ 7"), (3, "ª"), (4, "½ ² ① 語"), (5, "plain words")], "doc_id long, text string")
+    net = langid.ByteConvNet.fresh(["x", "y"])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame, net, ["doc_id"]).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and all(got[i][0] in "xy" and 0 < got[i][1] <= 1 for i in (3, 4, 5))
+    assert langid.fit(frame.selectExpr("doc_id", "'½ ²' text", "'en' lang")) is None
+
+
+def test_votes_of_all_windows_of_a_text(spark):
+    """The label of a text is that of the weighted mean of its windows' log-probabilities, taken one by one here."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abc déλ \n", k=k)) for k in (1, 255, 256, 257, 700, 5_000)] + ["x" + "\0" * 600]
+    net = langid.ByteConvNet.fresh(["de", "en", "fr"])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame, net, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        data, total, weight = text.encode(), np.zeros(3), 0
+        for at in range(0, len(data), langid.WINDOW):
+            part = data[at : at + langid.WINDOW]
+            x = np.frombuffer(part.ljust(langid.WINDOW, b"\0"), dtype=np.uint8)[None]
+            own = max(1, len(part) - part.count(0))
+            total += own * net.log_probabilities(x, net.tables())[0].astype(float)
+            weight += own
+        share = np.exp(total / weight - (total / weight).max())
+        share /= share.sum()
+        if any(c.isalpha() for c in text):
+            assert got[i][0] == net.labels[int(share.argmax())] and abs(got[i][1] - share.max()) < 1e-6
+
+
+def test_vocabularies_that_merge_spaces_are_refused_beside_added_tokens(docs):
+    import json
+
+    parts = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    small = {"model": {"type": "BPE", "vocab": {"a": 0, "Ġ": 1, "ĠĠ": 2}}, "pre_tokenizer": {"type": "ByteLevel"}, "added_tokens": parts["added_tokens"]}
+    token_counts._check(parts)
+    with pytest.raises(ValueError):
+        token_counts._check(small)
+    token_counts._check(small | {"added_tokens": []})
+
+
+def test_hot_keys_are_few_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    left = spark.createDataFrame([(k % 40 if k % 2 else 7, k) for k in range(400)] + [(None, -1)], "k long, x long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(30)], "k long, y long")
+    hot = common.hot_keys(left.groupBy("k").count(), "k")
+    assert [r["k"] for r in hot.collect()] == [7]  # each of the others has over HOT_ROWS rows, but a small share
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(str, map(tuple, left.join(right, "k", how).collect())))
+        assert sorted(map(str, map(tuple, common.joined_by(left, right, "k", how).collect()))) == want
