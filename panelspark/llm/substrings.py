@@ -32,6 +32,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Cells of a sketch are merged in blocks of so many.
 BLOCK = 1 << 12
+#: Texts are hashed in blocks of so many bytes, each of which takes about a hundred times its size for a moment.
+BLOCK_BYTES = 1 << 20
 #: Documents equal to an earlier one are broadcast only up to this count; beyond it they are joined.
 BROADCAST_COPIES = 200_000
 
@@ -131,7 +133,7 @@ def sequences(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
         return {name: batch.column(name) for name in keep} | made
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped_by_size(docs.select(*keep, F.col(text_col).alias("text_")), f"{kinds}, n_words long, h1 long, h2 long", block, "text_")
+    return mapped_by_size(docs.select(*keep, F.col(text_col).alias("text_")), f"{kinds}, n_words long, h1 long, h2 long", block, "text_", BLOCK_BYTES)
 
 
 def repeated_cells(docs: DataFrame, text_col: str, bits: int, s: Settings) -> list[np.ndarray]:
@@ -145,7 +147,7 @@ def repeated_cells(docs: DataFrame, text_col: str, bits: int, s: Settings) -> li
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((s.rows, 1 << bits), dtype=np.uint8)
         for batch in batches:
-            for part in by_size(batch, "text_", 4 << 20):
+            for part in by_size(batch, "text_", BLOCK_BYTES):
                 words = Words(text_bytes(part.column("text_")))
                 at = words.windows(s.window)
                 anchor, text = words.anchors(at, s.window, s.anchor), words.text[at]
@@ -212,7 +214,7 @@ def candidate_windows(docs: DataFrame, keep: list[str], text_col: str, sketch: l
         return {name: batch.column(name).take(pa.array(of)) for name in keep} | made
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped_by_size(docs.select(*keep, F.col(text_col).alias("text_")), f"{kinds}, at int, h1 long, h2 long", block, "text_")
+    return mapped_by_size(docs.select(*keep, F.col(text_col).alias("text_")), f"{kinds}, at int, h1 long, h2 long", block, "text_", BLOCK_BYTES)
 
 
 def repeated_starts(docs: DataFrame, id_col: str, mark: str, text_col: str, s: Settings) -> DataFrame:
@@ -280,7 +282,7 @@ def drop_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
         return {name: batch.column(name) for name in names} | made
 
     kinds = [f"`{n}` {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)]
-    told = mapped_by_size(joined, ", ".join([*kinds, "n_words long, n_removed long, kept string"]), block, "text_")
+    told = mapped_by_size(joined, ", ".join([*kinds, "n_words long, n_removed long, kept string"]), block, "text_", BLOCK_BYTES)
     return told.toDF(*keep, "n_words", "n_removed", "kept")
 
 
