@@ -1,193 +1,116 @@
-"""Composite sleeves: weighted sums of ranks, masked or ranked again inside a pool.
+"""Composite sleeves: weighted sums of ranks, under masks and inside pools.
 
-A sleeve is a rule (weights, mask, pool) rather than a table of names: the
-families below give the base combinations and their weight sweeps.
+A sleeve is a rule, not an entry of a table. The families below take legs, grids
+of weights, masks, pools, fields and shares from the caller and build every sleeve
+that follows from them; names tell how a sleeve was made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Mapping
+from itertools import combinations
+
 from panelspark.functions.series import Series, Stages
 
+Sleeves = dict[str, Series]
+
 
-def legs(s: Stages) -> dict[str, Series]:
-    """The ranks that sleeves are made of."""
+def legs(s: Stages) -> Sleeves:
+    """Ranks of the panel's fields, each within its date or its own history: what sleeves can be made of."""
     o, h, lo, c = (s.column(x) for x in ("open", "high", "low", "close"))
-    rank = lambda name: s.column(name).cs_rank()
-    return {
-        "price": c.ts_rank(20), "price60": c.ts_rank(60), "price120": c.ts_rank(120), "mom": c.pct_change(10).cs_rank(), "mv": rank("total_market_cap"),
-        "price252": c.ts_rank(252), "float": rank("float_market_cap"), "small": 1 - rank("total_market_cap"), "div": rank("dividend_yield_ratio"), "cheap": 1 - rank("pe_ttm"), "quiet": 1 - rank("turn"),
-        "vol": s.column("vol").rolling_mean(20).cs_rank(), "range": ((h - lo) / c).cs_rank(), "amount": rank("amount"), "overnight": (o / c.shift(1) - 1).cs_rank(),
-        "location": ((c - lo) / (h - lo)).cs_rank(), "zscore60": c.ts_zscore(60), "bias60": c.rolling_bias(60).cs_rank(), "amount_z": s.column("amount").ts_zscore(20),
+    fields = {"size": "total_market_cap", "float": "float_market_cap", "yield": "dividend_yield_ratio", "earnings": "pe_ttm", "turn": "turn", "amount": "amount"}
+    values = {name: s.column(column) for name, column in fields.items()} | {
+        "gap": o / c.shift(1) - 1, "span": (h - lo) / c, "place": (c - lo) / (h - lo), "volume": s.column("vol").rolling_mean(20), "unrest": c.pct_change(1).rolling_std(20),
     }
+    out = {name: x.cs_rank() for name, x in values.items()}
+    out |= {f"move{n}": c.pct_change(n).cs_rank() for n in (5, 20, 60)}
+    return out | {f"high{n}": c.ts_rank(n) for n in (20, 60, 120)}
+
+
+def mark(x: float) -> str:
+    """A number as part of a name, in thousandths."""
+    return f"{round(1000 * x):04d}"
+
+
+def sleeve(parts: Mapping[str, Series], weights: Mapping[str, float]) -> Series:
+    """The weighted sum of legs, NULL if any is; a leg of negative weight counts from its other end."""
+    terms = [w * parts[leg] if w > 0 else -w * (1 - parts[leg]) for leg, w in weights.items() if w]
+    total = terms[0]
+    for term in terms[1:]:
+        total = total + term
+    return total
+
+
+def sums(parts: Mapping[str, Series], names: Iterable[str], sizes: Iterable[int]) -> Sleeves:
+    """All sums of so many of the named legs, each of weight 1."""
+    names = tuple(names)
+    return {"sum_" + "_".join(own): sleeve(parts, dict.fromkeys(own, 1.0)) for n in sizes for own in combinations(names, n)}
+
+
+def swept(parts: Mapping[str, Series], core: Mapping[str, float], grid: Iterable[float]) -> Sleeves:
+    """The core with each of its legs at each weight of the grid, 0 to leave it out."""
+    return {f"sweep_{leg}_{mark(w)}": sleeve(parts, {**core, leg: w}) for leg in core for w in grid if w != core[leg]}
+
+
+def swept_pairs(parts: Mapping[str, Series], core: Mapping[str, float], low: float, high: float) -> Sleeves:
+    """The core with one leg at the low and another at the high weight, for every two of its legs in both ways."""
+    return {f"pair_{a}_{mark(low)}_{b}_{mark(high)}": sleeve(parts, {**core, a: low, b: high}) for a in core for b in core if a != b}
+
+
+def replaced(parts: Mapping[str, Series], core: Mapping[str, float], leg: str, others: Iterable[str]) -> Sleeves:
+    """The core with one leg exchanged for each of the others, at its weight."""
+    rest = {k: w for k, w in core.items() if k != leg}
+    return {f"for_{leg}_{other}": sleeve(parts, {**rest, other: core[leg]}) for other in others}
+
+
+def tilted(base: Series, tilts: Mapping[str, Series], grid: Iterable[float], prefix: str = "tilt") -> Sleeves:
+    """The base plus each tilt, a value from 0 to 1, at each weight of the grid; at a negative one its other end."""
+    return {f"{prefix}_{name}_{'n' if w < 0 else ''}{mark(abs(w))}": base + (w * x if w > 0 else -w * (1 - x)) for name, x in tilts.items() for w in grid}
+
 
+def masked(base: Series, masks: Mapping[str, Series], prefix: str = "mask") -> Sleeves:
+    """The base where a mask is above zero, NULL elsewhere."""
+    return {f"{prefix}_{name}": base.where(x) for name, x in masks.items()}
 
-def sleeve(parts: dict[str, Series], terms: dict[str, float], mask: Series | None = None, again_in: Series | None = None) -> Series:
-    """The weighted sum of legs, NULL if any is. mask: kept where it is above zero. again_in: ranked again where that is above zero."""
-    total = None
-    for leg, weight in terms.items():
-        term = parts[leg] if weight == 1 else parts[leg] * weight
-        total = term if total is None else total + term
-    if mask is not None:
-        total = total.where(mask)
-    return total if again_in is None else total.where(again_in).cs_rank()
-
-
-#: Legs of the base sleeves, each of weight 1.
-BASE = (
-    "mv div", "price mv div", "mom mv", "mom price", "mom mv div", "mom price mv div", "price mv div vol", "price mv div range", "price60 mv div", "price float div",
-    "price mv div cheap", "price mv div quiet", "price small div", "price60 mv", "price60 div", "price60 mv div cheap", "price60 mv div quiet",
-    "price60 mv div cheap quiet", "zscore60 mv div", "bias60 mv div",
-)
-
-
-def base_sleeves(s: Stages) -> dict[str, Series]:
-    parts = legs(s)
-    return {"sleeve_" + names.replace(" ", "_"): sleeve(parts, dict.fromkeys(names.split(), 1)) for names in BASE}
-
-
-def weight_sweep(s: Stages, core: dict[str, float], leg: str, weights: tuple[float, ...]) -> dict[str, Series]:
-    """The core sleeve with one leg at each of the weights."""
-    parts = legs(s)
-    return {f"sweep_{leg}_{round(100 * x):03d}": sleeve(parts, core | {leg: x}) for x in weights}
-
-
-def masked_sleeves(s: Stages, core: dict[str, float]) -> dict[str, Series]:
-    """The core sleeve under own conditions, tilts, and ranked again inside a pool."""
-    parts = legs(s)
-    c = s.column("close")
-    open_pool = 1 - s.column("st_status")
-    return {
-        "mask_amount_up": sleeve(parts, core, mask=parts["amount_z"]),
-        "mask_above_mean20": sleeve(parts, core, mask=c.rolling_bias(20)),
-        "mask_above_mean60": sleeve(parts, core, mask=c.rolling_bias(60)),
-        "mask_not_flagged": sleeve(parts, core, mask=open_pool),
-        "tilt_reversal": sleeve(parts, core) + 0.5 * (1 - parts["mom"]),
-        "tilt_fade_gap": sleeve(parts, core) + 0.5 * (1 - parts["overnight"]),
-        "again_in_pool": sleeve(parts, core, again_in=open_pool),
-        "cut_quiet": sleeve(parts, core, mask=parts["quiet"] - 0.2),
-    }
-
-
-def index_sleeves(s: Stages, core: dict[str, float]) -> dict[str, Series]:
-    """Sleeves that need an as-of index: columns index_weight and tenure, NULL outside of it.
-
-    Members only, members ranked again, a weight floor, and tilts by weight and by tenure.
-    """
-    parts = legs(s)
-    base = sleeve(parts, core)
-    weight, tenure = s.column("index_weight"), s.column("tenure")
-    return {
-        "index_members": base.where(weight),
-        "index_again": base.where(weight).cs_rank(),
-        "index_weight_floor": base.where(weight.cs_rank() - 0.5),
-        "index_weight_tilt": base + 0.5 * weight.cs_rank(),
-        "index_tenure_tilt": base + 0.25 * tenure.cs_rank(),
-        "index_two_snapshots": base.where(tenure - 1),
-    }
-
-
-#: Weights that a leg of the core takes in a sweep, in hundredths; and pairs of two legs' weights.
-SWEEPS = {"cheap": (25, 50, 75, 125, 150, 175, 200, 300), "div": (0, 25, 50, 75, 150, 200), "price60": (50, 150, 200), "mv": (50, 150, 200)}
-PAIRED = (("div", 50, "cheap", 200), ("div", 200, "cheap", 50), ("mv", 50, "cheap", 200), ("price60", 50, "cheap", 200), ("price60", 200, "cheap", 50), ("div", 0, "cheap", 200))
-EVEN = {"price60": 1.0, "mv": 1.0, "div": 1.0, "cheap": 1.0}
-#: Legs that are added to a core: as they are, and turned (1 - leg).
-ADDED = ("mom", "quiet", "amount", "overnight", "location", "amount_z", "vol", "bias60")
-TURNED = ("range", "mom", "overnight", "location")
-BLENDS = (0.1, 0.25, 0.5)
-
-
-def _mark(weight: float) -> str:
-    return f"{round(100 * weight):03d}"
-
-
-def swept_sleeves(s: Stages) -> dict[str, Series]:
-    """The core of price, size, dividend and cheapness with one leg, or two, at other weights."""
-    parts = legs(s)
-    out = {f"p60_{leg}_{w:03d}": sleeve(parts, EVEN | {leg: w / 100}) for leg, weights in SWEEPS.items() for w in weights}
-    return out | {f"p60_{a}_{x:03d}_{b}_{y:03d}": sleeve(parts, EVEN | {a: x / 100, b: y / 100}) for a, x, b, y in PAIRED}
-
-
-def blended_sleeves(s: Stages) -> dict[str, Series]:
-    """Two cores (cheapness at 0.75 and at 1.5) with a further leg, a turned one, another price shape or another size."""
-    parts = legs(s)
+
+def ranked_within(values: Mapping[str, Series], pool: Series) -> Sleeves:
+    """Each value's rank among the names of a pool."""
+    return {name: x.where(pool).cs_rank() for name, x in values.items()}
+
+
+def ranked_again(base: Series, pools: Mapping[str, Series]) -> Sleeves:
+    return {f"again_{name}": x for name, x in {k: base.where(pool).cs_rank() for k, pool in pools.items()}.items()}
+
+
+def floored(base: Series, pool: Series, value: Series, floors: Iterable[float], shares: Iterable[float], name: str) -> Sleeves:
+    """The base where a value reaches a floor, or the quantile that a share of the pool lies below."""
+    out = {f"floor_{name}_{mark(x)}": base.where(pool.both(value >= x)) for x in floors}
+    return out | {f"share_{name}_{mark(x)}": base.where(pool.both(value >= value.where(pool).cs_quantile(x))) for x in shares}
+
+
+def floored_apart(base: Series, first: Series, second: Series, value: Series, floors: Iterable[float]) -> Sleeves:
+    """As floored, with a floor for the names of a first pool and another for those of the second alone; all ways to choose two of the floors."""
+    floors = tuple(floors)
+    either = lambda a, b: first.both(value >= a).either(first.not_().both(second).both(value >= b))
+    return {f"floors_{mark(a)}_{mark(b)}": base.where(either(a, b)) for a in floors for b in floors if a != b}
+
+
+def cut(base: Series, pool: Series, values: Mapping[str, Series], shares: Iterable[float]) -> Sleeves:
+    """The base without the lowest share of a pool by each value, and without the highest."""
     out = {}
-    for mark in ("075", "150"):
-        core = EVEN | {"cheap": int(mark) / 100}
-        base = sleeve(parts, core)
-        for leg in ADDED:
-            out |= {f"c{mark}_{leg}_{_mark(x)}": base + x * parts[leg] for x in BLENDS}
-        for leg in TURNED:
-            out |= {f"c{mark}_no_{leg}_{_mark(x)}": base + x * (1 - parts[leg]) for x in BLENDS}
-        rest = {k: v for k, v in core.items() if k != "price60"}
-        out |= {f"c{mark}_by_{shape}": sleeve(parts, rest | {shape: 1.0}) for shape in ("price", "price120", "price252", "zscore60", "bias60")}
-        out |= {f"c{mark}_no_price": sleeve(parts, rest), f"c{mark}_no_mv": sleeve(parts, {k: v for k, v in core.items() if k != "mv"})}
-        out[f"c{mark}_float"] = sleeve(parts, {k: v for k, v in core.items() if k != "mv"} | {"float": 1.0})
-        out[f"c{mark}_held"] = base + 0.25 * parts["vol"] + 0.25 * parts["quiet"]
+    for name, x in values.items():
+        for share in shares:
+            out[f"cut_low_{name}_{mark(share)}"] = base.where(x >= x.where(pool).cs_quantile(share))
+            out[f"cut_high_{name}_{mark(share)}"] = base.where(x <= x.where(pool).cs_quantile(1 - share))
     return out
 
 
-def pool_sleeves(s: Stages) -> dict[str, Series]:
-    """Sleeves inside the members of two indexes.
-
-    Needs columns of the as-of indexes, 0 or NULL outside: in_a, in_b, weight
-    (of the first that holds a name), before (held at the snapshot before),
-    weight_before, tenure; and star and growth, 1 for names of those boards.
-    """
-    parts = legs(s)
-    column = s.column
-    base = sleeve(parts, EVEN | {"cheap": 1.5})
-    in_a, in_b, weight = column("in_a"), column("in_b"), column("weight")
-    either = in_a.either(in_b)
-    stable = either.both(column("before"))
-    ranked = lambda x, pool: x.where(pool).cs_rank()
-    pe, div, mv = column("pe_ttm"), column("dividend_yield_ratio"), column("total_market_cap")
-    out = {
-        "off_star": base.where(column("star").not_()), "off_growth": base.where(column("growth").not_()), "off_both": base.where(column("star").either(column("growth")).not_()),
-        "pool_a": base.where(in_a), "pool_b": base.where(in_b), "pool_either": base.where(either), "pool_stable": base.where(stable),
-        "pool_only_b": base.where(either) + 0.25 * in_b.both(in_a.not_()), "pool_light": base.where(either) + 0.25 * (1 - ranked(weight, either)),
-    }
-    out |= {f"pool_weight_{_mark(x)}": base.where(either) + x * ranked(weight, either) for x in BLENDS}
-    cheap, dear = 1 - ranked(pe, either), 1 - ranked(pe, stable)
-    out |= {
-        "pool_cheap_again": (parts["price60"] + parts["mv"] + parts["div"] + 1.5 * cheap).where(either),
-        "stable_cheap_again": (parts["price60"] + parts["mv"] + parts["div"] + 1.5 * dear).where(stable),
-        "stable_div_again": (parts["price60"] + parts["mv"] + ranked(div, stable) + 1.5 * dear).where(stable),
-        "stable_all_again": (parts["price60"] + ranked(mv, stable) + ranked(div, stable) + 1.5 * dear).where(stable),
-        "stable_no_size": sleeve(parts, {"price60": 1, "div": 1, "cheap": 1.5}).where(stable), "stable_no_size_again": (parts["price60"] + parts["div"] + 1.5 * dear).where(stable),
-    }
-    st = base.where(stable)
-    floors = (0.005, 0.01, 0.015, 0.02)  # weights here are shares of one
-    out |= {f"floor_{round(1000 * x):02d}": st.where(weight >= x) for x in floors}
-    out["floor_twice"] = st.where((weight >= floors[0]).both(column("weight_before") >= floors[0]))
-    out |= {f"floor_share_{_mark(x)}": st.where(weight >= weight.where(stable).cs_quantile(x)) for x in (0.2, 0.4, 0.6)}
-    uneven = lambda a, b: in_a.both(weight >= a).either(in_a.not_().both(weight >= b))
-    out |= {f"floor_{round(1000 * a):02d}_{round(1000 * b):02d}": st.where(uneven(a, b)) for a in floors for b in floors if a != b}
-    out |= {f"floor_{round(1000 * a):02d}_{round(1000 * b):02d}_twice": st.where(uneven(a, b).both(column("weight_before") >= floors[0])) for a, b in ((0.01, 0.005), (0.015, 0.005))}
-    out |= {f"floor_of_a_{_mark(x)}": st.where(in_a.both(weight >= weight.where(in_a).cs_quantile(x)).either(in_a.not_().both(weight >= floors[0]))) for x in (0.2, 0.4)}
-    core = st.where(uneven(0.01, 0.005).both(column("weight_before") >= floors[0]))
-    h, lo, c, o = (column(x) for x in ("high", "low", "close", "open"))
-    mom60, mom10, span, place = c.pct_change(60), c.pct_change(10), (h - lo) / c, (c - lo) / (h - lo)
-    turn, gap, amount_z = column("turn"), o / c.shift(1) - 1, column("amount").ts_zscore(20)
-    out["cut_rising"] = core.where(mom60)
-    for name, x in (("mom60", mom60), ("range", span), ("turn", turn)):
-        out |= {f"cut_{name}_{_mark(share)}": core.where(x >= x.where(stable).cs_quantile(share)) for share in (0.1, 0.2, 0.3)}
-    out |= {f"cut_place_{_mark(x)}": core.where(place <= x) for x in (0.8, 0.9)} | {"cut_place_half": core.where(place <= place.where(stable).cs_quantile(0.5))}
-    tilts = {
-        "turn": ranked(turn, stable), "range": ranked(span, stable), "low_place": 1 - ranked(place, stable), "reversal": 1 - ranked(mom10, stable), "fade_div": 1 - ranked(div, stable),
-        "amount_z": ranked(amount_z, stable), "mom60": ranked(mom60, stable), "quiet": 1 - ranked(turn, stable), "fade_gap": 1 - ranked(gap, stable), "weight": ranked(weight, stable),
-        "div": ranked(div, stable), "cheap": 1 - ranked(pe, stable), "price": ranked(c.ts_rank(60), stable), "size": ranked(mv, stable), "fade_size": 1 - ranked(mv, stable),
-    }
-    out |= {f"tilt_{name}_{round(1000 * x):03d}": core + x * tilt for name, tilt in tilts.items() for x in (0.005, 0.03)}
-    fade, rank_div = tilts["fade_div"], tilts["div"]
-    shaped = {
-        "high": fade * (rank_div >= 0.5), "low": fade * (rank_div <= 0.5), "capped": fade.min(0.5), "square": fade.max(0.0).pow(2.0), "root": fade.max(0.0).sqrt(),
-    }
-    out |= {f"fade_{name}": core + 0.03 * term for name, term in shaped.items()}
-    faded = core + 0.03 * fade
-    out |= {f"faded_{name}": faded + 0.005 * tilt for name, tilt in tilts.items() if name not in ("fade_div", "div")}
-    out |= {f"tenure_{_mark(x)}": st + x * ranked(column("tenure"), stable) for x in BLENDS}
-    quiet, calm = 1 - turn.cs_rank(), 1 - c.pct_change(1).rolling_std(20).cs_rank()
-    return out | {
-        "strength_60": mom60.where(stable), "strength_120": c.pct_change(120).where(stable), "breakout_60": c.ts_rank(60).where(stable), "breakout_120": c.ts_rank(120).where(stable),
-        "quality_turn": quiet.where(stable), "quality_calm": calm.where(stable), "quality_both": (quiet + calm).where(stable),
-    }
+def shaped(base: Series, term: Series, shapes: Mapping[str, Callable[[Series], Series]], weight: float) -> Sleeves:
+    """The base plus a term bent by each shape."""
+    return {f"shape_{name}": base + weight * bend(term) for name, bend in shapes.items()}
+
+
+#: Ways to bend a value from 0 to 1.
+SHAPES: dict[str, Callable[[Series], Series]] = {
+    "upper": lambda x: x * (x > 0.5), "lower": lambda x: x * (x < 0.5), "flat": lambda x: x.min(0.7), "square": lambda x: x.pow(2.0), "root": lambda x: x.max(0.0).sqrt(), "middle": lambda x: 1 - 2 * (x - 0.5).abs(),
+}

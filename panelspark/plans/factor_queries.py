@@ -44,10 +44,70 @@ _catalogue("alpha158_trend", lambda s: {k: x for n in alpha158.WINDOWS for k, x
 _catalogue("alpha158_flow", lambda s: {k: x for n in alpha158.WINDOWS for k, x in alpha158.flow(s, n).items()}, bars, "bars", digits=4)
 _catalogue("alpha191_price", alpha191.price_alphas, bars, "bars", digits=4)
 _catalogue("alpha191_corr", alpha191.correlation_alphas, bars, "bars", digits=4, corr_digits=6)
-_catalogue("sleeves_base", sleeves.base_sleeves, bars, "bars")
-CORE = {"price60": 1, "mv": 1, "div": 1, "cheap": 1.5}
-_catalogue("sleeves_swept", lambda s: sleeves.weight_sweep(s, CORE, "cheap", (0.25, 0.5, 0.75, 1.25, 1.5, 2.0)) | sleeves.weight_sweep(s, CORE, "range", (0.25, 0.5)), bars, "bars")
-_catalogue("sleeves_masked", lambda s: sleeves.masked_sleeves(s, CORE), bars, "bars")
+
+#: A core of four legs, and grids of weights; any others can be given.
+CORE = {"high60": 1.0, "size": 1.0, "yield": 1.0, "earnings": -1.2}
+GRID = (0.0, 0.4, 0.8, 1.6, 2.4)
+TILTS = (-0.4, -0.15, 0.15, 0.4)
+FLOORS = (0.008, 0.012, 0.018)  # shares of an index
+SHARES = (0.15, 0.35)
+
+
+def base_sleeves(s: Stages) -> dict[str, Series]:
+    return sleeves.sums(sleeves.legs(s), ("size", "yield", "move20", "high60", "turn"), (2, 3))
+
+
+def swept_sleeves(s: Stages) -> dict[str, Series]:
+    return sleeves.swept(sleeves.legs(s), CORE, GRID)
+
+
+def weighted_sleeves(s: Stages) -> dict[str, Series]:
+    parts = sleeves.legs(s)
+    return sleeves.swept_pairs(parts, CORE, 0.5, 2.0) | sleeves.replaced(parts, CORE, "high60", ("high20", "high120", "move60", "unrest")) | sleeves.replaced(parts, CORE, "size", ("float", "amount"))
+
+
+def blended_sleeves(s: Stages) -> dict[str, Series]:
+    parts = sleeves.legs(s)
+    base = sleeves.sleeve(parts, CORE)
+    return sleeves.tilted(base, {k: x for k, x in parts.items() if k not in CORE}, TILTS) | sleeves.shaped(base, parts["yield"], sleeves.SHAPES, 0.2)
+
+
+def masked_sleeves(s: Stages) -> dict[str, Series]:
+    base, c = sleeves.sleeve(sleeves.legs(s), CORE), s.column("close")
+    masks = {"busy": s.column("amount").ts_zscore(20), "above20": c.rolling_bias(20), "above60": c.rolling_bias(60), "unflagged": 1 - s.column("st_status")}
+    return sleeves.masked(base, masks) | sleeves.ranked_again(base, {"unflagged": masks["unflagged"]})
+
+
+def index_sleeves(s: Stages) -> dict[str, Series]:
+    base = sleeves.sleeve(sleeves.legs(s), CORE)
+    weight, tenure = s.column("index_weight"), s.column("tenure")
+    out = sleeves.masked(base, {"members": weight, "stayed": tenure - 1}) | sleeves.ranked_again(base, {"members": weight})
+    return out | sleeves.tilted(base, sleeves.ranked_within({"weight": weight, "tenure": tenure}, weight), TILTS)
+
+
+def pool_sleeves(s: Stages) -> dict[str, Series]:
+    """Members of two indexes: pools, floors by weight, cuts and tilts within a pool, board masks, ranks within the pool as sleeves of their own."""
+    column, parts = s.column, sleeves.legs(s)
+    base, in_a, in_b, weight = sleeves.sleeve(parts, CORE), column("in_a"), column("in_b"), column("weight")
+    either = in_a.either(in_b)
+    stable = either.both(column("before"))
+    pools = {"a": in_a, "b": in_b, "either": either, "stable": stable, "b_alone": in_b.both(in_a.not_())}
+    boards = {"no_star": column("star").not_(), "no_growth": column("growth").not_(), "neither": column("star").either(column("growth")).not_()}
+    out = sleeves.masked(base, boards, "board") | sleeves.masked(base, pools, "pool") | sleeves.ranked_again(base, pools)
+    held = base.where(stable)
+    out |= sleeves.floored(held, stable, weight, FLOORS, SHARES, "weight") | sleeves.floored(held, stable, column("weight_before"), FLOORS, (), "weight_before")
+    out |= sleeves.floored_apart(held, in_a, in_b, weight, FLOORS)
+    c, h, lo = column("close"), column("high"), column("low")
+    values = {"move20": c.pct_change(20), "span": (h - lo) / c, "turn": column("turn"), "yield": column("dividend_yield_ratio"), "earnings": column("pe_ttm"), "size": column("total_market_cap"), "tenure": column("tenure")}
+    own = sleeves.ranked_within(values, stable)
+    out |= sleeves.cut(held, stable, {k: values[k] for k in ("move20", "span", "turn")}, SHARES)
+    out |= sleeves.tilted(held, own, TILTS, "within") | {f"only_{name}": x for name, x in own.items()}
+    return out | {f"own_{name}": x for name, x in sleeves.sums(own, ("move20", "yield", "size", "turn"), (2, 3)).items()}
+
+
+_catalogue("sleeves_base", base_sleeves, bars, "bars")
+_catalogue("sleeves_swept", swept_sleeves, bars, "bars")
+_catalogue("sleeves_masked", masked_sleeves, bars, "bars")
 
 
 INDEX_PANEL_SQL = """
@@ -71,7 +131,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.join(now, ["date", "instrument"], "left")
 
 
-_catalogue("sleeves_index", lambda s: sleeves.index_sleeves(s, CORE), indexed, "indexed", MEMBERSHIP_SQL, INDEX_PANEL_SQL)
+_catalogue("sleeves_index", index_sleeves, indexed, "indexed", MEMBERSHIP_SQL, INDEX_PANEL_SQL)
 
 
 POOL_PANEL_SQL = """
@@ -113,6 +173,6 @@ def pool_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.fillna(0.0, ["in_a", "in_b", "before"]).withColumns(boards)
 
 
-_catalogue("sleeves_weighted", sleeves.swept_sleeves, bars, "bars")
-_catalogue("sleeves_blended", sleeves.blended_sleeves, bars, "bars")
-_catalogue("sleeves_pool", sleeves.pool_sleeves, pool_panel, "pool_panel", MEMBERSHIP_SQL, POOL_PANEL_SQL)
+_catalogue("sleeves_weighted", weighted_sleeves, bars, "bars")
+_catalogue("sleeves_blended", blended_sleeves, bars, "bars")
+_catalogue("sleeves_pool", pool_sleeves, pool_panel, "pool_panel", MEMBERSHIP_SQL, POOL_PANEL_SQL)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import sqltext as q
 from panelspark.functions import window as w
-from panelspark.functions.catalog import alpha158, alpha191, pack, sleeves
+from panelspark.functions.catalog import alpha158, alpha191, pack
 from panelspark.functions.series import Stages
 from panelspark.operators import models, signals
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
 from panelspark.plans.diagnostic_queries import SCORED_SQL, scored
+from panelspark.plans.factor_queries import base_sleeves
 from panelspark.sources.panel import BARS_SQL, bars, with_sql
 
 EWM_SQL = """
@@ -163,6 +164,14 @@ def _ranked(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN ({up} + {count} + 1 - {down}) / 2 / {count} END"
 
 
-SLEEVE_SQL = f"legs AS (SELECT instrument, date, {_ranked('total_market_cap')} AS mv, {_ranked('dividend_yield_ratio')} AS div, {_ranked('mom10')} AS mom FROM (SELECT *, close / nullif(c10, 0) - 1 AS mom10 FROM moved))"
-SLEEVE_COLUMNS = {"sleeve_mv_div": "mv + div", "sleeve_mom_mv": "mom + mv", "sleeve_mom_mv_div": "mom + mv + div"}
-_by_hand("sleeves_by_hand", sleeves.base_sleeves, SLEEVE_COLUMNS, LAGGED_SQL, SLEEVE_SQL, source="legs")
+SLEEVE_LEGS = {"size": "total_market_cap", "yield_": "dividend_yield_ratio", "move20": "move_", "turn_": "turn", "span": "span_"}
+SLEEVE_SQL = f"legs AS (SELECT instrument, date, high60, {', '.join(f'{_ranked(x)} AS {name}' for name, x in SLEEVE_LEGS.items())} FROM (SELECT *, close / nullif(c20, 0) - 1 AS move_, (high - low) / close AS span_, h60.high60 FROM moved LEFT JOIN h60 USING (instrument, date)))"
+#: The rank of a close among its last 60, by a join with them.
+HIGH_SQL = """h60 AS (
+  SELECT a.instrument, a.date, CASE WHEN count(*) = 60 THEN (sum((b.close < a.close)::INTEGER) + (sum((b.close = a.close)::INTEGER) + 1) / 2.0) / 60 END AS high60
+  FROM moved a JOIN moved b ON a.instrument = b.instrument AND b.n_ BETWEEN a.n_ - 59 AND a.n_ GROUP BY ALL
+)"""
+SLEEVE_COLUMNS = {
+    "sum_size_yield": "size + yield_", "sum_yield_move20": "yield_ + move20", "sum_size_move20_turn": "size + move20 + turn_", "sum_size_high60": "size + high60", "sum_yield_high60_turn": "yield_ + high60 + turn_",
+}
+_by_hand("sleeves_by_hand", base_sleeves, SLEEVE_COLUMNS, LAGGED_SQL, HIGH_SQL, SLEEVE_SQL, source="legs")

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
-from panelspark.functions.catalog import alpha158, alpha191, pack, sleeves
+from panelspark.functions.catalog import alpha158, alpha191, pack
 from panelspark.functions.series import Stages
 from panelspark.operators import archive, books, diagnostics, labels, models, quality, universe
 from panelspark.operators.buckets import daily_quintile, label_bins
 from panelspark.operators.signals import ewm_mean, exponential_indicators
+from panelspark.plans import factor_queries
 
 DAY = dt.date(2024, 1, 1)
 
@@ -226,4 +227,4 @@ def test_catalogue_sizes():
     assert len(text(pack.canonical)) == 50 and len(text(pack.builtin)) == 7 and len(text(pack.moneyflow)) == 4
     assert len(text(alpha158.alpha158)) == 158
     assert len(text(alpha191.price_alphas)) + len(text(alpha191.correlation_alphas)) == 69
-    assert len(text(sleeves.base_sleeves)) == 20
+    assert len(text(factor_queries.base_sleeves)) == 20

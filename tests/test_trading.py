@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.catalog import alpha158, sleeves
 from panelspark.functions.series import Stages
 from panelspark.operators import books, candidates, diagnostics, labels, models, quality, trading, universe
+from panelspark.plans import factor_queries
 
 DAY = dt.date(2024, 1, 1)
 
@@ -126,9 +127,17 @@ def test_candidates(spark):
 
 
 def test_sleeve_families_are_many_and_distinct(spark):
-    stages = Stages()
-    names = [*sleeves.base_sleeves(stages), *sleeves.swept_sleeves(stages), *sleeves.blended_sleeves(stages), *sleeves.pool_sleeves(stages)]
-    assert len(names) == len(set(names)) >= 240
+    stages, own = Stages(), factor_queries
+    families = (own.base_sleeves, own.swept_sleeves, own.weighted_sleeves, own.blended_sleeves, own.masked_sleeves, own.index_sleeves, own.pool_sleeves)
+    names = [name for family in families for name in family(stages)]
+    assert len(names) == len(set(names)) >= 190
+    parts = {"a": stages.column("a"), "b": stages.column("b"), "c": stages.column("c")}
+    assert list(sleeves.sums(parts, "abc", (2, 3))) == ["sum_a_b", "sum_a_c", "sum_b_c", "sum_a_b_c"]
+    frame = spark.createDataFrame([(0.25, 0.5, 1.0), (None, 0.5, 1.0)], "a double, b double, c double")
+    made = sleeves.swept(parts, {"a": 1.0, "b": -2.0}, (0.0, 1.0)) | sleeves.swept_pairs(parts, {"a": 1.0, "c": 1.0}, 0.5, 2.0) | sleeves.replaced(parts, {"a": 1.0, "b": 1.0}, "b", ("c",))
+    got = frame.select(*[x.form.alias(name) for name, x in made.items()]).collect()
+    want = {"sweep_a_0000": 1.0, "sweep_b_0000": 0.25, "sweep_b_1000": 0.75, "pair_a_0500_c_2000": 2.125, "pair_c_0500_a_2000": 1.0, "for_b_c": 1.25}
+    assert got[0].asDict() == want and [k for k, v in got[1].asDict().items() if v is not None] == ["sweep_a_0000"]
 
 
 def test_walk_forward_without_folds(spark):
