@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,12 +48,24 @@ def archived_trades(spark: SparkSession, pattern: str) -> DataFrame:
     return runs.select("run_id", F.explode("trades").alias("t")).select("run_id", "t.*")
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a written table, in the checkpoint folder that the session names."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names, which driver and executors share.
+
+    Where it names none, a local session (tests) gets a folder of its own; on a
+    cluster that is an error, as each executor would write to its own disk.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return context.getCheckpointDir().rstrip("/")
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a written table, in the checkpoint folder that the session names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_by_year(rows: DataFrame, folder: str, date: str = "date") -> None:

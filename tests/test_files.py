@@ -5,6 +5,8 @@ import json
 import os
 from pathlib import Path
 
+import pytest
+
 from panelspark.operators import experts
 from panelspark.sources import files
 from panelspark.streaming import jobs
@@ -42,16 +44,47 @@ def test_verdict(spark):
     assert row["verdict"] == "better" and row["copies"] and row["years"] == 2
 
 
-def test_landing_merges_batches(spark, tmp_path):
-    source, target = tmp_path / "in", tmp_path / "out"
-    spark.createDataFrame([(1, 1.0), (2, 2.0), (1, 0.5)], "k long, v double").write.parquet(str(source))
-    jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), ("v",), str(tmp_path / "c")).awaitTermination()
-    first = sorted(p.name for p in target.glob("version=*"))[-1]
-    assert {r["k"]: r["v"] for r in spark.read.parquet(str(target / first)).collect()} == {1: 1.0, 2: 2.0}  # the last by v, not the last met
-    spark.createDataFrame([(1, 5.0)], "k long, v double").write.mode("append").parquet(str(source))
-    jobs.land(jobs.event_stream(spark, str(source)), str(target), ("k",), ("v",), str(tmp_path / "c")).awaitTermination()
-    last = sorted(p.name for p in target.glob("version=*"))[-1]
-    assert {r["k"]: r["v"] for r in spark.read.parquet(str(target / last)).collect()} == {1: 5.0, 2: 2.0}
+def test_landing_touches_the_days_of_a_batch_alone(spark, tmp_path):
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "c"))
+    schema = "k long, day date, v double"
+    d = lambda n: dt.date(2024, 1, n)
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        jobs.land(jobs.event_stream(spark, source), target, ("k", "day"), ("v",), "day", check).awaitTermination()
+        return {(r["k"], r["day"]): r["v"] for r in spark.read.parquet(target).collect()}
+
+    files = lambda n: sorted(str(p) for p in Path(target, f"day=2024-01-0{n}").glob("*.parquet"))
+    want = {(1, d(1)): 1.0, (2, d(1)): 2.0, (1, d(2)): 3.0}
+    assert land([(1, d(1), 1.0), (2, d(1), 2.0), (1, d(1), 0.5), (1, d(2), 3.0)]) == want  # the last by v, not the last met
+    before = files(1)
+    want |= {(1, d(2)): 1.5, (7, d(3)): 9.0}
+    assert land([(1, d(2), 1.5), (7, d(3), 9.0)]) == want and files(1) == before  # a later batch wins; the first day is left alone
+    want |= {(1, d(1)): 0.25, (3, d(1)): 4.0}
+    assert land([(1, d(1), 0.25), (3, d(1), 4.0), (3, d(1), 4.0)]) == want and files(1) != before  # late and repeated rows
+    # A batch whose commit was lost is done again and gives the same table.
+    last = sorted((Path(check) / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    jobs.land(jobs.event_stream(spark, source), target, ("k", "day"), ("v",), "day", check).awaitTermination()
+    assert {(r["k"], r["day"]): r["v"] for r in spark.read.parquet(target).collect()} == want
+    with pytest.raises(ValueError):
+        jobs.land(jobs.event_stream(spark, source), target, ("k",), ("v",), "day", check)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        files.shared_folder(Session())
 
 
 def test_stream_queries_write_files_rather_than_to_the_driver(spark):
