@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources.files import shared_folder
+
 
 #: A key with more rows, and more than one of HOT_KEYS parts of all rows, is dealt apart from the rest.
 HOT_ROWS = 2_000
@@ -22,20 +23,12 @@ def saved(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that the session names and read it from there.
 
     The folder is shared by driver and executors, so a lost executor loses
-    nothing. Only where the session names none (tests) is an own one set.
+    nothing.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; where it names none (tests), an own one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return context.getCheckpointDir().rstrip("/")
-
-
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for a written table, in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
