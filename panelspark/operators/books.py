@@ -106,18 +106,54 @@ def blended(a: DataFrame, b: DataFrame, weight: float = 0.5) -> DataFrame:
     return both.select("date", (weight * F.col("x") + (1 - weight) * F.col("y")).alias("ret"))
 
 
-def mar(returns: DataFrame, per_year: int = 52) -> DataFrame:
-    """(cagr, max_drawdown, mar)."""
-    curve = wealth(returns).agg(F.count("*").alias("n"), F.max_by("wealth", "date").alias("w"), F.min("drawdown").alias("max_drawdown"))
+def mar(returns: DataFrame, per_year: int = 52, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cagr, max_drawdown, mar)."""
+    curve = wealth(returns, by=by).groupBy(*by).agg(F.count("*").alias("n"), F.max_by("wealth", "date").alias("w"), F.min("drawdown").alias("max_drawdown"))
     cagr = F.pow("w", per_year / F.col("n")) - 1
-    return curve.select(cagr.alias("cagr"), "max_drawdown", div(cagr, -F.col("max_drawdown")).alias("mar"))
+    return curve.select(*by, cagr.alias("cagr"), "max_drawdown", div(cagr, -F.col("max_drawdown")).alias("mar"))
+
+
+def incremental_mar(own: DataFrame, bench: DataFrame, weight: float = 0.5, per_year: int = 52) -> DataFrame:
+    """(series, cagr, max_drawdown, mar, gain) of two return series ('own', 'bench') and their blend; gain: over the MAR of 'bench'."""
+    named = lambda rows, name: rows.select(F.lit(name).alias("series"), "date", "ret")
+    every = named(own, "own").unionByName(named(bench, "bench")).unionByName(named(blended(own, bench, weight), "blend"))
+    found = mar(every, per_year, ("series",))
+    base = found.where(F.col("series") == "bench").select(F.col("mar").alias("base_"))  # one row
+    return found.join(F.broadcast(base)).withColumn("gain", F.col("mar") - F.col("base_")).drop("base_")
+
+
+def numbered_sessions(calendar: DataFrame) -> DataFrame:
+    """(date, s_): the dates of a calendar, numbered from 0; a row a session."""
+    return calendar.select("date").distinct().withColumn("s_", F.row_number().over(Window.orderBy("date")) - 1)
+
+
+def on_or_after(rows: DataFrame, day: str, sessions: DataFrame, name: str) -> DataFrame:
+    """Add `name`, the number of the first session on or after a day: the number of sessions where there is none; NULL for a NULL day.
+
+    sessions: as numbered_sessions gives them. Every calendar day between two
+    sessions belongs to the later one, so that rows find theirs by an equi-join.
+    """
+    before = F.lag("date").over(Window.orderBy("date"))  # one row a session
+    days = sessions.withColumn("first_", F.coalesce(F.date_add(before, 1), F.col("date"))).select(F.explode(F.sequence("first_", "date")).alias("day_"), F.col("s_").alias("on_"))
+    ends = sessions.agg(F.min("date").alias("low_"), F.count("*").cast("int").alias("n_"))  # one row
+    found = rows.join(F.broadcast(days), F.col(day) == F.col("day_"), "left").join(F.broadcast(ends))
+    number = F.when(F.col(day) < F.col("low_"), 0).when(F.col(day).isNotNull(), F.coalesce("on_", "n_"))
+    return found.withColumn(name, number.cast("int")).drop("day_", "on_", "low_", "n_")
+
+
+def _over_sessions(rows: DataFrame, begin: str, end: str, sessions: DataFrame) -> DataFrame:
+    """A row for each session from number `begin` to before number `end` (NULL: to the last), with its date."""
+    n = sessions.agg(F.count("*").cast("int").alias("n_"))  # one row
+    spans = rows.join(F.broadcast(n)).withColumn("last_", F.coalesce(F.col(end), F.col("n_")) - 1).where(F.col(begin) <= F.col("last_"))
+    each = spans.withColumn("s_", F.explode(F.sequence(F.col(begin), F.col("last_")))).drop("n_", "last_")
+    return each.join(F.broadcast(sessions), "s_").drop("s_")
 
 
 def daily_holdings(trades: DataFrame, calendar: DataFrame) -> DataFrame:
     """(date, instrument, trade_id) of each trade on every session from its buy date to before its sell date, if any."""
-    day = F.col("date")
-    open_ = (day >= F.col("buy_date")) & (F.col("sell_date").isNull() | (day < F.col("sell_date")))
-    return trades.join(F.broadcast(calendar.select("date")), open_).select("date", "instrument", "trade_id")  # one row a session
+    sessions = numbered_sessions(calendar)
+    placed = on_or_after(on_or_after(trades.select("instrument", "trade_id", "buy_date", "sell_date"), "buy_date", sessions, "from_"), "sell_date", sessions, "to_")
+    return _over_sessions(placed, "from_", "to_", sessions).select("date", "instrument", "trade_id")
 
 
 def ledger_curve(trades: DataFrame, calendar: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
@@ -125,19 +161,18 @@ def ledger_curve(trades: DataFrame, calendar: DataFrame, prices: DataFrame, capi
     buys = trades.select("instrument", F.col("buy_date").alias("day"), F.col("quantity").alias("q"), (-F.col("buy_price") * F.col("quantity")).alias("cash"))
     sells = trades.where(F.col("sell_date").isNotNull()).select("instrument", F.col("sell_date").alias("day"), (-F.col("quantity")).alias("q"), (F.col("sell_price") * F.col("quantity")).alias("cash"))
     # A flow counts from the first session on or after its day.
-    sessions = calendar.select("date").distinct()
+    sessions = numbered_sessions(calendar)
     flows = buys.unionByName(sells).groupBy("instrument", "day").agg(F.sum("q").alias("q"), F.sum("cash").alias("cash"))
-    day_to_session = flows.select("day").distinct().join(F.broadcast(sessions), F.col("date") >= F.col("day")).groupBy("day").agg(F.min("date").alias("date"))
-    placed = flows.join(day_to_session, "day").groupBy("instrument", "date").agg(F.sum("q").alias("q"), F.sum("cash").alias("cash"))
+    placed = on_or_after(flows, "day", sessions, "s_").groupBy("instrument", "s_").agg(F.sum("q").alias("q"), F.sum("cash").alias("cash"))
+    placed = placed.join(F.broadcast(sessions), "s_")  # flows after the last session have no date and go
     # A name has a row for each session to its last flow, or to the end while something is held; earlier prices carry forward.
-    spans = placed.groupBy("instrument").agg(F.when(F.sum("q") == 0, F.max("date")).alias("until_"))
-    inside = F.col("until_").isNull() | (F.col("date") <= F.col("until_"))
-    grid = spans.join(F.broadcast(sessions), inside).select("instrument", "date")  # one row a session
+    spans = placed.groupBy("instrument").agg(F.when(F.sum("q") == 0, F.max("s_") + 1).alias("until_")).withColumn("from_", F.lit(0))
+    grid = _over_sessions(spans, "from_", "until_", sessions).select("instrument", "date")
     line = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    held = grid.join(placed, ["instrument", "date"], "left").join(prices.select("instrument", "date", "close"), ["instrument", "date"], "left")
+    held = grid.join(placed.drop("s_"), ["instrument", "date"], "left").join(prices.select("instrument", "date", "close"), ["instrument", "date"], "left")
     marked = held.select("date", F.coalesce("cash", F.lit(0.0)).alias("cash"), (F.coalesce(F.sum("q").over(line), F.lit(0)) * F.coalesce(F.last("close", ignorenulls=True).over(line), F.lit(0.0))).alias("value"))
     summed = marked.groupBy("date").agg(F.sum("cash").alias("flow"), F.sum("value").alias("invested"))
-    daily = sessions.join(summed, "date", "left").fillna(0.0, ["flow", "invested"])
+    daily = sessions.select("date").join(summed, "date", "left").fillna(0.0, ["flow", "invested"])
     cash = F.lit(capital) + F.sum("flow").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))  # one row a session
     return daily.select("date", cash.alias("cash"), "invested", (cash + F.col("invested")).alias("equity"))
 

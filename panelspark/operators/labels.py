@@ -79,9 +79,13 @@ def walk_forward_folds(calendar: DataFrame, train_months: int, test_months: int,
 
 
 def fold_rows(panel: DataFrame, folds: DataFrame) -> DataFrame:
-    """Panel rows with fold and part ('train' up to the label cutoff, 'test' in the test window): a range join with few folds."""
+    """Panel rows with fold and part ('train' up to the label cutoff, 'test' in the test window).
+
+    Sessions are matched with folds first (both tables are small: a row a
+    session, a row a fold); panel rows then meet their folds by an equi-join.
+    """
     day = F.col("date")
     train = day.between(F.col("train_from"), F.col("label_cutoff"))
     test = (day >= F.col("test_from")) & (day < F.col("test_to"))
-    joined = panel.join(F.broadcast(folds), train | test)  # folds: a row for each half-year or so
-    return joined.withColumn("part", F.when(train, "train").otherwise("test"))
+    days = panel.select("date").distinct().join(F.broadcast(folds), train | test)
+    return panel.join(days.withColumn("part", F.when(train, "train").otherwise("test")), "date")

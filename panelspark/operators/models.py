@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.window import cs_zscore
 from panelspark.operators.buckets import label_bins
 from panelspark.operators.labels import fold_rows
+from panelspark.sources.files import shared_folder
 
 
 #: Penalties that are used where none is given.
@@ -87,9 +88,11 @@ def boosted_ranking(train: DataFrame, valid: DataFrame, test: DataFrame, feature
 def walk_forward(panel: DataFrame, folds: DataFrame, features: tuple[str, ...], label: str, kind: str, **settings) -> DataFrame:
     """(fold, instrument, date, score): a model for each fold, fitted up to its label cutoff. One fit a fold, on the cluster.
 
-    No folds give no rows.
+    No folds give no rows. The panel is computed once and read by all fits. Linear
+    models but huber are fitted for all folds in one job by `gram.walk_forward`.
     """
-    parted = fold_rows(panel, folds)
+    shared_folder(panel.sparkSession)
+    parted = fold_rows(panel, folds).checkpoint(eager=True)
     scored = [panel.select(F.lit(0).alias("fold"), "instrument", "date", F.lit(None).cast("double").alias("score")).limit(0)]
     for row in folds.select("fold").orderBy("fold").collect():  # a row for each half-year or so
         own = parted.where(F.col("fold") == row["fold"])

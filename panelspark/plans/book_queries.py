@@ -39,19 +39,29 @@ def topk_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_book(spark, sf_dir), ("date",))
 
 
+#: Weekly outcomes of these tables are in the hundreds of per cent; measures are taken of a book with a hundredth of its capital at stake.
+STAKE = 0.01
+CALM_SQL = f"calm AS (SELECT date, turnover, {STAKE} * ret AS ret, {STAKE} * bench AS bench, {STAKE} * excess AS excess FROM book)"
+
+
+def _calm(book: DataFrame) -> DataFrame:
+    return book.withColumns({c: STAKE * F.col(c) for c in ("ret", "bench", "excess")})
+
+
 CURVE_SQL = """
 curve AS (SELECT *, exp(sum(ln(1 + greatest(ret, -0.999999))) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM book),
 drawn AS (SELECT *, wealth / greatest(max(wealth) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 1) - 1 AS drawdown FROM curve)"""
 
 
-@REGISTRY.query("book_metrics", with_sql(BARS_SQL, SCORED_SQL, BOOK_SQL, CURVE_SQL, select="""
-SELECT count(*) AS days, round(ln(arg_max(wealth, date)), 4) AS log_wealth, round(min(drawdown), 6) AS max_drawdown, round(avg(ret) / stddev_samp(ret) * sqrt(52), 5) AS sharpe,
+@REGISTRY.query("book_metrics", with_sql(BARS_SQL, SCORED_SQL, BOOK_SQL, CALM_SQL, CURVE_SQL.replace("FROM book", "FROM calm"), select="""
+SELECT count(*) AS days, round(ln(arg_max(wealth, date)), 4) AS log_wealth, round(arg_max(wealth, date) ** (52.0 / count(*)) - 1, 5) AS annual_return,
+  round((arg_max(wealth, date) ** (52.0 / count(*)) - 1) / -min(drawdown), 4) AS calmar, round(min(drawdown), 6) AS max_drawdown, round(avg(ret) / stddev_samp(ret) * sqrt(52), 5) AS sharpe,
   round(avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(52), 4) AS sortino, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate,
   round(avg(turnover), 6) AS turnover, round(avg(excess) / stddev_samp(excess) * sqrt(52), 5) AS information_ratio FROM drawn"""))
 def book_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = books.book_metrics(_book(spark, sf_dir))
+    found = books.book_metrics(_calm(_book(spark, sf_dir)))
     return found.select(
-        "days", r(F.ln(F.col("total_return") + 1), 4).alias("log_wealth"), r(F.col("max_drawdown")).alias("max_drawdown"), r(F.col("sharpe"), 5).alias("sharpe"), r(F.col("sortino"), 4).alias("sortino"),
+        "days", r(F.ln(F.col("total_return") + 1), 4).alias("log_wealth"), r(F.col("annual_return"), 5).alias("annual_return"), r(F.col("calmar"), 4).alias("calmar"), r(F.col("max_drawdown")).alias("max_drawdown"), r(F.col("sharpe"), 5).alias("sharpe"), r(F.col("sortino"), 4).alias("sortino"),
         r(F.col("win_rate")).alias("win_rate"), r(F.col("turnover")).alias("turnover"), r(F.col("information_ratio"), 5).alias("information_ratio"),
     )
 
@@ -83,10 +93,28 @@ gross AS (SELECT dimension, bucket, date, sum(0.95 / 3 * label) AS gross FROM to
 bench AS (SELECT dimension, bucket, date, avg(label) AS bench FROM inside GROUP BY 1, 2, 3)"""
 
 
-@REGISTRY.query("segment_books", with_sql(BARS_SQL, SCORED_SQL, SEGMENT_SQL, select="SELECT dimension, bucket, count(*) AS days, round(avg(bench), 6) + 0.0 AS bench FROM gross JOIN bench USING (dimension, bucket, date) GROUP BY 1, 2"))
+SEGMENT_BOOK_SQL = """
+seats AS (SELECT dimension, bucket, date, lead(date) OVER (PARTITION BY dimension, bucket ORDER BY date) AS next_ FROM (SELECT DISTINCT dimension, bucket, date FROM top)),
+had AS (SELECT t.dimension, t.bucket, next_ AS date, instrument FROM top t JOIN seats USING (dimension, bucket, date) WHERE next_ IS NOT NULL),
+shifts AS (SELECT dimension, bucket, date, (t.instrument IS NOT NULL)::INTEGER - (h.instrument IS NOT NULL)::INTEGER AS way FROM top t FULL JOIN had h USING (dimension, bucket, date, instrument)),
+traded AS (SELECT dimension, bucket, date, 0.95 / 3 * count(*) FILTER (WHERE way = 1) AS turnover, 0.95 / 3 * count(*) FILTER (WHERE way = -1) AS sold FROM shifts GROUP BY 1, 2, 3),
+segment AS (SELECT dimension, bucket, date, turnover, 0.01 * (gross - 0.0005 * turnover - 0.0015 * sold) AS ret, 0.01 * bench AS bench FROM gross JOIN traded USING (dimension, bucket, date) JOIN bench USING (dimension, bucket, date)),
+risen AS (SELECT *, exp(sum(ln(1 + greatest(ret, -0.999999))) OVER s) AS wealth FROM segment WINDOW s AS (PARTITION BY dimension, bucket ORDER BY date ROWS UNBOUNDED PRECEDING)),
+fallen AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY dimension, bucket ORDER BY date ROWS UNBOUNDED PRECEDING), 1) - 1 AS drawdown FROM risen)"""
+SEGMENT_SELECT = """
+SELECT dimension, bucket, count(*) AS days, round(avg(ret), 6) + 0.0 AS ret, round(avg(bench), 6) + 0.0 AS bench, round(avg(ret - bench), 6) + 0.0 AS excess, round(avg(turnover), 6) + 0.0 AS turnover,
+  round(arg_max(wealth, date) ** (52.0 / count(*)) - 1, 5) + 0.0 AS annual_return, round(min(drawdown), 6) + 0.0 AS max_drawdown, round(avg(ret) / stddev_samp(ret) * sqrt(52), 5) + 0.0 AS sharpe,
+  round(avg(ret - bench) / stddev_samp(ret - bench) * sqrt(52), 5) + 0.0 AS information_ratio FROM fallen GROUP BY 1, 2"""
+
+
+@REGISTRY.query("segment_books", with_sql(BARS_SQL, SCORED_SQL, SEGMENT_SQL, SEGMENT_BOOK_SQL, select=SEGMENT_SELECT))
 def segment_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = books.segment_books(scored(spark, sf_dir), "momentum_5", "label", ("float_market_cap", "turn"), 3)
-    return daily.groupBy("dimension", "bucket").agg(F.count("*").alias("days"), r(F.avg("bench")).alias("bench"))
+    by = ("dimension", "bucket")
+    daily = _calm(books.segment_books(scored(spark, sf_dir), "momentum_5", "label", ("float_market_cap", "turn"), 3))
+    means = daily.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("ret", "bench", "excess")])
+    found = books.book_metrics(daily, by).join(means, list(by))
+    measures = {"ret": 6, "bench": 6, "excess": 6, "turnover": 6, "annual_return": 5, "max_drawdown": 6, "sharpe": 5, "information_ratio": 5}
+    return found.select(*by, "days", *[r(F.col(c), digits).alias(c) for c, digits in measures.items()])
 
 
 @REGISTRY.query("drawdown_streak", with_sql(BARS_SQL, SCORED_SQL, BOOK_SQL, "n AS (SELECT *, row_number() OVER (ORDER BY date) AS i FROM book)", "g AS (SELECT i - row_number() OVER (ORDER BY date) AS island FROM n WHERE ret < 0)", select="SELECT max(n) AS streak FROM (SELECT count(*) AS n FROM g GROUP BY island)"))
@@ -105,17 +133,24 @@ def active_pearson_mar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.active_correlation(book, book.select("date", F.col("bench").alias("ret"))).select("days", r(F.col("corr"), 4).alias("corr"))
 
 
-@REGISTRY.query("incremental_mar", with_sql(BARS_SQL, SCORED_SQL, BOOK_SQL, "mixed AS (SELECT date, 0.5 * ret + 0.5 * bench AS ret FROM book)", CURVE_SQL.replace("FROM book", "FROM mixed"), select="SELECT round(min(drawdown), 6) + 0.0 AS max_drawdown, round(ln(arg_max(wealth, date)), 4) AS log_wealth FROM drawn"))
+MAR_SQL = """
+series AS (SELECT 'own' AS series, date, ret FROM calm UNION ALL SELECT 'bench', date, bench FROM calm UNION ALL SELECT 'blend', date, 0.5 * ret + 0.5 * bench FROM calm),
+grown AS (SELECT *, exp(sum(ln(1 + greatest(ret, -0.999999))) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM series),
+sunk AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING), 1) - 1 AS drawdown FROM grown),
+measured AS (SELECT series, arg_max(wealth, date) ** (52.0 / count(*)) - 1 AS cagr, min(drawdown) AS worst FROM sunk GROUP BY 1),
+told AS (SELECT *, cagr / nullif(-worst, 0) AS mar FROM measured)"""
+
+
+@REGISTRY.query("incremental_mar", with_sql(BARS_SQL, SCORED_SQL, BOOK_SQL, CALM_SQL, MAR_SQL, select="SELECT t.series, round(t.cagr, 5) + 0.0 AS cagr, round(t.worst, 6) + 0.0 AS max_drawdown, round(t.mar, 4) + 0.0 AS mar, round(t.mar - b.mar, 4) + 0.0 AS gain FROM told t, told b WHERE b.series = 'bench'"))
 def incremental_mar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _book(spark, sf_dir)
-    mixed = books.wealth(books.blended(book, book.select("date", F.col("bench").alias("ret"))))
-    return mixed.agg(r(F.min("drawdown")).alias("max_drawdown"), r(F.ln(F.max_by("wealth", "date")), 4).alias("log_wealth"))
+    book = _calm(_book(spark, sf_dir))
+    found = books.incremental_mar(book, book.select("date", F.col("bench").alias("ret")))
+    return found.select("series", r(F.col("cagr"), 5).alias("cagr"), r(F.col("max_drawdown")).alias("max_drawdown"), r(F.col("mar"), 4).alias("mar"), r(F.col("gain"), 4).alias("gain"))
 
 
-@REGISTRY.query("holdings_interval", with_sql(BARS_SQL, CALENDAR_SQL, TRADES_SQL, select="SELECT date, instrument, trade_id FROM trades JOIN calendar ON buy_date <= date AND (sell_date IS NULL OR date < sell_date) WHERE sell_date IS NOT NULL"))
+@REGISTRY.query("holdings_interval", with_sql(BARS_SQL, CALENDAR_SQL, TRADES_SQL, select="SELECT date, instrument, trade_id FROM trades JOIN calendar ON buy_date <= date AND (sell_date IS NULL OR date < sell_date)"))
 def holdings_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = trades(spark, sf_dir).where(F.col("sell_date").isNotNull())
-    return books.daily_holdings(closed, calendar(bars(spark, sf_dir)))
+    return books.daily_holdings(trades(spark, sf_dir), calendar(bars(spark, sf_dir)))
 
 
 LEDGER_SQL = """
@@ -241,17 +276,10 @@ def _model(name: str, kind: str) -> None:
         return models.fit_predict(cut, panel.where(~split), FEATURES, "label", kind)
 
 
-for _name, _kind in (("ml_linear", "ridge"), ("ml_lasso", "lasso"), ("ml_elastic_net", "elastic_net"), ("ml_ols", "ols"), ("ml_huber", "huber"), ("ml_forest", "forest"), ("ml_gbt", "boosted")):
+for _name, _kind in (("ml_huber", "huber"), ("ml_forest", "forest"), ("ml_gbt", "boosted")):
     _model(_name, _kind)
 
 
-@REGISTRY.query("walk_forward")
-def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = scored(spark, sf_dir)
-    folds = labels.walk_forward_folds(calendar(panel), train_months=24, test_months=12, hold=2)
-    return models.walk_forward(panel, folds, FEATURES, "label", "ridge")
-
-
 STREAM_SQL = """
 SELECT user_id AS instrument, date_trunc('week', ts)::DATE AS date, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, ROW(ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2
