@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
 from panelspark.functions import sqltext as q
+from panelspark.operators.rolling import KINDS, Rolling, with_rolling
 
 #: Before rounding, values move away from zero by this share: what lies half-way then rounds alike in both engines.
 NUDGE = 1e-9
 
+#: Window functions that go through the pass of operators.rolling: those over ordered windows, and others from LONG rows on.
+ORDERED = ("ts_rank", "rolling_quantile", "rolling_rank_share", "bars_since_max", "bars_since_min", "ols_slope", "ols_rsquare", "ols_residual")
+LONG = 100
+
 #: Of each window function: the Column function and the SQL text function.
 WINDOWS: dict[str, tuple[Callable, Callable]] = {
     "shift": (w.shift, q.shift),
@@ -83,7 +88,9 @@ class Stages:
     def frame(self, panel: DataFrame, factors: dict[str, Series], keys: tuple[str, ...] = ("instrument", "date"), digits: int | None = None) -> DataFrame:
         """The keys and factors of a panel; infinities are NULL. One window sort by instrument and one by date a projection."""
         for level in self.levels:
-            panel = panel.withColumns(level)
+            passed = {name: x for name, x in level.items() if isinstance(x, Rolling)}
+            panel = panel.withColumns({name: x for name, x in level.items() if name not in passed})
+            panel = with_rolling(panel, passed)
         values = {name: w.finite(x.form.cast("double")) for name, x in factors.items()}
         return panel.select(*keys, *[(v if digits is None else F.round(v + v * NUDGE, digits) + F.lit(0.0)).alias(name) for name, v in values.items()])
 
@@ -207,9 +214,14 @@ class Series:
             base = self.stages.settled(self)
             others = [self.stages.settled(a) if isinstance(a, Series) else a for a in args]
             function = WINDOWS[name][self.stages.sql]
-            form = function(base.form, *[a.form if isinstance(a, Series) else a for a in others])
+            plain = [a.form if isinstance(a, Series) else a for a in others]
+            n = next((a for a in reversed(plain) if isinstance(a, int)), 0)
+            if not self.stages.sql and (name in ORDERED or (name in KINDS and n >= LONG)):
+                form = Rolling(name, base.form, n, next((a.form for a in others if isinstance(a, Series)), None), next((a for a in plain if isinstance(a, float)), None))
+            else:
+                form = function(base.form, *plain)
             digits = self.stages.corr_digits
-            if digits is not None and name in ("rolling_corr", "rolling_corr_zero"):
+            if digits is not None and not isinstance(form, Rolling) and name in ("rolling_corr", "rolling_corr_zero"):
                 form = f"round({form}, {digits})" if self.stages.sql else F.round(form, digits)
             key = f"{base.key}.{name}({', '.join(a.key if isinstance(a, Series) else repr(a) for a in others)})"
             level = max([base.level, *(a.level for a in others if isinstance(a, Series))])
