@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.window import average_rank, div
 from panelspark.operators.buckets import daily_quintile
+from panelspark.operators.quantiles import exact_quantiles
 
 
 #: A correlation up to this is rounding noise around zero.
@@ -31,10 +32,17 @@ def distribution(panel: DataFrame, value: str, by: tuple[str, ...] = ()) -> Data
     skew = F.when(n > 2, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)) * F.skewness(x))
     kurt = F.when(n > 3, F.try_divide((n - 1).cast("double"), (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
     marks = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    if by:
+        quantile = F.percentile(x, F.array(*map(F.lit, marks)))
+    else:  # of the whole table: not all in one task
+        known = exact_quantiles(panel, {"x": x}, marks)["x"]
+        quantile = F.array(*[F.lit(v).cast("double") for v in known])
     stats = panel.groupBy(*by).agg(
         F.count("*").alias("rows"), n.alias("values"), (n / F.count("*")).alias("coverage"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"), F.percentile(x, F.array(*map(F.lit, marks))).alias("q_"),
+        F.min(x).alias("min"), F.max(x).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"), *([quantile.alias("q_")] if by else []),
     )
+    if not by:
+        stats = stats.withColumn("q_", quantile)
     return stats.select("*", *[F.element_at("q_", i + 1).alias(f"p{round(m * 100)}") for i, m in enumerate(marks)]).drop("q_")
 
 
@@ -76,11 +84,12 @@ def histogram(panel: DataFrame, value: str, bins: int = 60, low: float = 0.01, h
     The scale is logarithmic if the low quantile is positive and the high one at
     least ten times as large, or if at least `positive` of the values are above
     zero and that holds for the quantiles of those: the bins then span them, and
-    what is not positive is below. Two passes: the quantiles, then counts.
+    what is not positive is below. The quantiles are exact and come first, then counts.
     """
     x, plus = F.col(value), F.when(F.col(value) > 0, F.col(value))
-    marks = F.array(F.lit(low), F.lit(high))
-    ends = panel.agg(F.percentile(x, marks).alias("e"), F.percentile(plus, marks).alias("p"), (F.count(plus) / F.count(x)).alias("share"))
+    known = exact_quantiles(panel, {"x": x, "plus": plus}, (low, high))
+    fixed = lambda name: F.array(*[F.lit(v).cast("double") for v in known[name]])
+    ends = panel.agg(F.try_divide(F.count(plus), F.count(x)).alias("share")).select(fixed("x").alias("e"), fixed("plus").alias("p"), "share")
     wide = lambda e: F.coalesce((F.element_at(e, 1) > 0) & (F.element_at(e, 2) >= 10 * F.element_at(e, 1)), F.lit(False))
     mostly = ~wide("e") & F.coalesce(F.col("share") >= positive, F.lit(False)) & wide("p")
     ends = ends.select(F.when(mostly, F.col("p")).otherwise(F.col("e")).alias("e"), (wide("e") | mostly).alias("log_"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.window import two_valued
+from panelspark.operators.quantiles import exact_quantiles
 
 
 def period_ends(calendar: DataFrame, unit: str) -> DataFrame:
@@ -47,8 +48,8 @@ def by_section(rows: DataFrame, validation_from: str, train: Column, validation:
 
 def unit_normalised(panel: DataFrame, column: str, bound: float, factor: int = 1000) -> DataFrame:
     """Multiply a column by `factor` if its median is below the bound."""
-    unit = panel.agg(F.when(F.percentile(column, F.lit(0.5)) >= bound, 1).otherwise(factor).alias("unit_"))
-    return panel.crossJoin(F.broadcast(unit)).withColumn(column, F.col(column) * F.col("unit_")).drop("unit_")  # one row
+    middle = exact_quantiles(panel, {"x": F.col(column)}, (0.5,))["x"][0]
+    return panel.withColumn(column, F.col(column) * (1 if middle is not None and middle >= bound else factor))
 
 
 def holdout(panel: DataFrame, calendar: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:

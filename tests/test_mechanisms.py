@@ -106,3 +106,22 @@ def test_folds_are_fitted_in_one_job(spark, training):
     a, b = ({(r["fold"], r["instrument"], r["date"], round(r["a_"], 3)): r["score"] for r in x.join(training.select("instrument", "date", F.col("a").alias("a_")), ["instrument", "date"]).collect()} for x in (got, want))
     assert a.keys() == b.keys() and len(a) > 50 and all(abs(a[k] - b[k]) < 1e-6 for k in a)
     assert gram.walk_forward(training, folds.limit(0), ("a", "b"), "label", "ridge").count() == 0
+
+
+@pytest.mark.parametrize(("rows", "items"), [(10, 16), (40, 64), (100_000, 4096)])
+def test_quantiles_by_sketch_and_selection_are_exact(spark, monkeypatch, rows, items):
+    from panelspark.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SELECTED_ROWS", rows)
+    monkeypatch.setattr(quantiles, "SKETCH_ITEMS", items)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=3_000) ** 3
+    tied = rng.integers(0, 4, 3_000).astype(float)  # few values, each of many rows
+    data = [(float(a), float(b) if i % 5 else None, 7.0, None) for i, (a, b) in enumerate(zip(x, tied))] + [(float("nan"), None, None, None)]
+    frame = spark.createDataFrame(data, "x double, tied double, one double, none double").repartition(5)
+    marks = (0.0, 0.01, 0.25, 0.5, 0.731, 0.99, 1.0)
+    got = quantiles.exact_quantiles(frame, {c: F.col(c) for c in frame.columns}, marks)
+    assert got["x"] == pytest.approx(list(np.quantile(x, marks)), abs=1e-12)
+    assert got["tied"] == list(np.quantile([b for i, b in enumerate(tied) if i % 5], marks)) and got["one"] == [7.0] * 7 and got["none"] == [None] * 7
+    single = quantiles.exact_quantiles(frame.limit(1), {"x": F.col("x")}, marks)["x"]
+    assert len(set(single)) == 1 and quantiles.exact_quantiles(frame.limit(0), {"x": F.col("x")}, marks)["x"] == [None] * 7
