@@ -176,3 +176,26 @@ def asof_backward(left: DataFrame, right: DataFrame, value: str, by: str = "inst
     line = Window.partitionBy(by).orderBy("date", "side_").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
     return both.withColumn(value, F.last("v_", ignorenulls=True).over(line)).where(F.col("side_") == 1).drop("side_", "v_")
+
+
+def allowed_dates(panel: DataFrame, dates: DataFrame | None) -> DataFrame:
+    """Rows whose date is among the allowed ones; all rows if there is no such table (None), none if it is empty."""
+    return panel if dates is None else panel.join(dates.select("date").distinct(), "date", "left_semi")
+
+
+def passing_dates(index_daily: DataFrame, benchmark: Column, mean: int = 200) -> DataFrame:
+    """(date): sessions of one index (date, close) on which a predicate of its close and its own mean, sma_<n>, holds; unknown is false."""
+    named = index_daily.withColumn("instrument", F.lit("index")).withColumn(f"sma_{mean}", w.rolling_mean(F.col("close"), mean))
+    return named.where(w.two_valued(benchmark)).select("date").distinct()
+
+
+def before_trading(panel: DataFrame, stock: Column | None = None, index_daily: DataFrame | None = None, benchmark: Column | None = None, mean: int = 200) -> DataFrame:
+    """Rows that pass a predicate of their own, on dates on which the benchmark passes one of its own.
+
+    A predicate that is not given lets all pass; one that is unknown for a row is
+    false. With a benchmark predicate but no index no row passes.
+    """
+    kept = panel if stock is None else panel.where(w.two_valued(stock))
+    if benchmark is None:
+        return kept
+    return kept.limit(0) if index_daily is None else allowed_dates(kept, passing_dates(index_daily, benchmark, mean))

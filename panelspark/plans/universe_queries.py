@@ -161,3 +161,28 @@ def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("session_shift", with_sql(BARS_SQL, CALENDAR_SQL, select="SELECT a.date, b.date AS later FROM calendar a LEFT JOIN calendar b ON b.session = a.session + 5"))
 def session_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.shift_sessions(calendar(bars(spark, sf_dir)), 5)
+
+
+GATED_SQL = f"asia AS (SELECT date, close, {q.mean('close', 20)} AS sma_20 FROM (SELECT ts_code AS instrument, * FROM index_daily WHERE ts_code = 'ASIA'))"
+
+
+@REGISTRY.query("allowed_dates", with_sql(BARS_SQL, INDEX_SQL, GATED_SQL, select="SELECT b.date, instrument, round(b.close, 6) + 0.0 AS close FROM bars b WHERE b.date IN (SELECT date FROM asia WHERE close > sma_20)"))
+def allowed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars on the dates that an index gate leaves open."""
+    panel = bars(spark, sf_dir)
+    gates = universe.moving_average_gate(index_daily(spark, sf_dir, panel), 20)
+    kept = universe.allowed_dates(panel, universe.open_dates(gates, ("ASIA",)))
+    return kept.select("date", "instrument", (F.round("close", 6) + 0.0).alias("close"))
+
+
+@REGISTRY.query(
+    "pretrade_filter",
+    with_sql(BARS_SQL, INDEX_SQL, GATED_SQL, select="SELECT b.date, instrument, round(turn, 6) + 0.0 AS turn FROM bars b JOIN asia a USING (date) WHERE turn < 28 AND NOT coalesce(pe_ttm > 0.06, false) AND st_status = 0 AND a.close > 0.98 * sma_20"),
+)
+def pretrade_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by their own predicate, dates by the benchmark's; an unknown ratio is not above its bound."""
+    panel = bars(spark, sf_dir)
+    index = index_daily(spark, sf_dir, panel).where(F.col("ts_code") == "ASIA").select("date", "close")
+    stock = (F.col("turn") < 28) & ~w.two_valued(F.col("pe_ttm") > 0.06) & (F.col("st_status") == 0)
+    kept = universe.before_trading(panel, stock, index, F.col("close") > 0.98 * F.col("sma_20"), mean=20)
+    return kept.select("date", "instrument", (F.round("turn", 6) + 0.0).alias("turn"))
