@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CONFIG = "test struct<date_from:string,date_to:string>, top_n int, factor_versions array<string>, weighting string"
-METRICS = "sharpe double, excess_return double"
+CONFIG = "test struct<date_from:string,date_to:string>, top_n int, factor_versions array<string>, weighting string, gates array<string>"
+#: The measures of a run's summary.
+MEASURES = (
+    "total_return", "annual_return", "benchmark_return", "excess_return", "sharpe", "sortino", "calmar", "max_drawdown", "win_rate", "turnover", "capital_usage", "information_ratio", "trade_count", "losing_streak",
+)
+METRICS = ", ".join(f"{name} double" for name in MEASURES)
 
 
 def summaries(runs: DataFrame) -> DataFrame:
-    """A row for each run, with the fields of its JSON texts and the sorted, distinct factor key."""
+    """A row for each run: settings and all measures of its JSON texts, test dates, and the sorted, distinct keys of factors and gates.
+
+    Measures that a text lacks are NULL; the year is that of a test within one calendar year.
+    """
     parsed = runs.withColumns({"c": F.from_json("config_json", CONFIG), "m": F.from_json("metrics_json", METRICS)})
     key = F.array_join(F.array_sort(F.array_distinct("c.factor_versions")), ",")
     year = F.when(F.substring("c.test.date_from", 1, 4) == F.substring("c.test.date_to", 1, 4), F.substring("c.test.date_from", 1, 4).cast("int"))
     return parsed.select(
         "run_id", "finished", "status", year.alias("year"), F.col("c.top_n").alias("top_n"), F.col("c.weighting").alias("weighting"), key.alias("factor_key"),
-        F.col("m.sharpe").alias("sharpe"), F.col("m.excess_return").alias("excess_return"),
+        F.array_join(F.array_sort(F.array_distinct("c.gates")), ",").alias("gate_key"), F.to_date("c.test.date_from").alias("date_from"), F.to_date("c.test.date_to").alias("date_to"), *[F.col(f"m.{name}").alias(name) for name in MEASURES],
     )
 
 
@@ -56,13 +63,17 @@ def champion_replay(grid: DataFrame) -> DataFrame:
     return best.join(grid, ["year", "expert"], "left").select("year", "expert", "sharpe", "excess_return")
 
 
-def screen_picks(found: DataFrame, formula: str) -> DataFrame:
-    """Of the runs that earn more than their benchmark at a positive ratio, one of each formula family: the best, earlier runs win ties; with the family's size."""
+def screen_picks(found: DataFrame, formula: str, own: str = "annual_return", bench: str = "benchmark_return", ratio: str = "information_ratio") -> DataFrame:
+    """Of the runs whose own book earns more than its benchmark at a positive information ratio, one of each formula family.
+
+    It is the one with the best ratio, earlier runs win ties; with the family's
+    size. A run without a benchmark or ratio does not pass.
+    """
     family = F.regexp_replace(F.regexp_replace(F.col(formula), "\\s+", ""), ",\\d+\\)", ",W)")
-    passed = found.where((F.col("excess_return") > 0) & (F.col("sharpe") > 0)).withColumn("family", family)
-    order = Window.partitionBy("family").orderBy(F.desc("sharpe"), "run_id")
+    passed = found.where((F.col(own) > F.col(bench)) & (F.col(ratio) > 0)).withColumn("family", family)
+    order = Window.partitionBy("family").orderBy(F.desc(ratio), "run_id")
     ranked = passed.withColumns({"place_": F.row_number().over(order), "family_size": F.count("*").over(Window.partitionBy("family"))})
-    return ranked.where(F.col("place_") == 1).select("family", "run_id", "sharpe", "family_size")
+    return ranked.where(F.col("place_") == 1).select("family", "run_id", F.col(own).alias("own"), F.col(bench).alias("bench"), F.col(ratio).alias("ratio"), "family_size")
 
 
 def window_usage(runs: DataFrame) -> DataFrame:

@@ -215,13 +215,18 @@ def accepted(correlations: DataFrame, factors: tuple[str, ...], limit: float) ->
 
 
 def library_max_corr(panel: DataFrame, factor: str, library: tuple[str, ...], least: int = 8) -> DataFrame:
-    """(column, mean_abs_corr): mean of absolute daily correlations with each library column; a constant column counts 0."""
+    """(column, mean_abs_corr, most, closest): mean of absolute daily correlations with each library column; a constant column counts 0.
+
+    most: the greatest of these means, by which a factor is judged; closest: whether it is this column's.
+    """
     f = F.col(factor)
     daily = panel.where(f.isNotNull()).groupBy("date").agg(
         F.stddev_pop(f).alias("sd_"), *[F.struct(F.count(F.col(c)).alias("n"), F.abs(guarded_corr(f, F.col(c))).alias("r")).alias(c) for c in library]
     )
     long = daily.where(F.col("sd_") > 0).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in library])).alias("p"))
-    return long.where(F.col("p.v.n") >= least).groupBy(F.col("p.column").alias("column")).agg(F.avg(F.coalesce("p.v.r", F.lit(0.0))).alias("mean_abs_corr"))
+    means = long.where(F.col("p.v.n") >= least).groupBy(F.col("p.column").alias("column")).agg(F.avg(F.coalesce("p.v.r", F.lit(0.0))).alias("mean_abs_corr"))
+    most = F.max("mean_abs_corr").over(Window.partitionBy())  # a row a library column
+    return means.withColumn("most", most).withColumn("closest", F.col("mean_abs_corr") == F.col("most"))
 
 
 def monthly_ranking(scores: DataFrame, score: str, outcome: str, k: int = 10) -> DataFrame:

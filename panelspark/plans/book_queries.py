@@ -189,7 +189,13 @@ def factor_blend_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("instrument", "date", r(score + 3 * score * 1e-9).alias("score"))
 
 
-@REGISTRY.query("run_summary_json", with_sql(RUNS_SQL, select="SELECT run_id, finished, status, year::INTEGER AS year, top_n::INTEGER AS top_n, weighting, array_to_string(factors, ',') AS factor_key, sharpe, excess_return FROM runs"))
+SUMMARY_SELECT = (
+    "SELECT run_id, finished, status, year::INTEGER AS year, top_n::INTEGER AS top_n, weighting, array_to_string(factors, ',') AS factor_key, array_to_string(gates, ',') AS gate_key, "
+    f"make_date(year, 1, 1) AS date_from, make_date(year, 12, 31) AS date_to, {', '.join(archive.MEASURES)} FROM runs"
+)
+
+
+@REGISTRY.query("run_summary_json", with_sql(RUNS_SQL, select=SUMMARY_SELECT))
 def run_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.summaries(runs(spark, sf_dir))
 
@@ -229,10 +235,10 @@ def champion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("year", "expert", r(F.col("sharpe")).alias("sharpe"), r(F.col("excess_return")).alias("excess_return"))
 
 
-PICK_SQL = "f AS (SELECT *, 'Mean(close,W)' AS family FROM runs WHERE run_id % 2 = 0 AND excess_return > 0 AND sharpe > 0 UNION ALL SELECT *, 'Std(close,W)' FROM runs WHERE run_id % 2 = 1 AND excess_return > 0 AND sharpe > 0)"
+PICK_SQL = "f AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 'Mean(close,W)' ELSE 'Std(close,W)' END AS family FROM runs WHERE annual_return > benchmark_return AND information_ratio > 0)"
 
 
-@REGISTRY.query("screen_picks", with_sql(RUNS_SQL, PICK_SQL, select="SELECT family, run_id, sharpe, n AS family_size FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sharpe DESC, run_id) AS place, count(*) OVER (PARTITION BY family) AS n FROM f) WHERE place = 1"))
+@REGISTRY.query("screen_picks", with_sql(RUNS_SQL, PICK_SQL, select="SELECT family, run_id, annual_return AS own, benchmark_return AS bench, information_ratio AS ratio, n AS family_size FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY information_ratio DESC, run_id) AS place, count(*) OVER (PARTITION BY family) AS n FROM f) WHERE place = 1"))
 def screen_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.when(F.col("run_id") % 2 == 0, "Mean").otherwise("Std")
     formula = F.concat(call, F.lit("( close , "), (F.col("run_id") % 50 + 1).cast("string"), F.lit(")"))

@@ -166,9 +166,10 @@ LIBRARY = ("turn", "pe_ttm", "vol")
 LIBRARY_SQL = " UNION ALL ".join(f"SELECT date, '{c}' AS \"column\", count({c}) AS n, abs({_corr_sql('momentum_5', c)}) AS r FROM scored WHERE momentum_5 IS NOT NULL GROUP BY 1 HAVING stddev_pop(momentum_5) > 0" for c in LIBRARY)
 
 
-@REGISTRY.query("library_max_corr", with_sql(BARS_SQL, SCORED_SQL, f"daily AS ({LIBRARY_SQL})", select="SELECT \"column\", round(avg(coalesce(r, 0)), 4) AS mean_abs_corr FROM daily WHERE n >= 8 GROUP BY 1"))
+@REGISTRY.query("library_max_corr", with_sql(BARS_SQL, SCORED_SQL, f"daily AS ({LIBRARY_SQL})", select="SELECT \"column\", round(m, 4) AS mean_abs_corr, round(max(m) OVER (), 4) AS most, m = max(m) OVER () AS closest FROM (SELECT \"column\", avg(coalesce(r, 0)) AS m FROM daily WHERE n >= 8 GROUP BY 1)"))
 def library_max_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.library_max_corr(scored(spark, sf_dir), "momentum_5", LIBRARY).select("column", r(F.col("mean_abs_corr"), 4).alias("mean_abs_corr"))
+    found = d.library_max_corr(scored(spark, sf_dir), "momentum_5", LIBRARY)
+    return found.select("column", r(F.col("mean_abs_corr"), 4).alias("mean_abs_corr"), r(F.col("most"), 4).alias("most"), "closest")
 
 
 NDCG_SQL = """

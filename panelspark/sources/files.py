@@ -5,19 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.quality import keep_last
 
 
+def _file_date() -> Column:
+    """The date (YYYYMMDD) in a file's name, or else in that of its folder."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"(?:^|/)[^/]*?(\d{8})[^/]*(?:/[^/]*)?$", 1)
+
+
 def read_dated_folder(spark: SparkSession, folder: str, keys: tuple[str, ...], columns: tuple[str, ...], since: str | None = None) -> DataFrame:
-    """Rows of `<YYYYMMDD>.parquet` files whose columns may grow over time: the row of the newest file wins for each key.
+    """Rows of `<YYYYMMDD>.parquet` files or folders whose columns may grow over time: the row of the newest file wins for each key.
 
-    Columns that no file has are NULL strings. since: files with a date (YYYYMMDD) before it are not opened.
+    folder: the folder, or a pattern of its parts. Columns that no file has are
+    NULL strings. since: files with a date (YYYYMMDD) before it are not opened.
     """
-    rows, day = spark.read.option("mergeSchema", True).parquet(folder), F.regexp_extract(F.col("_metadata.file_name"), "(\\d{8})", 1)
+    rows, day = spark.read.option("mergeSchema", True).parquet(folder), _file_date()
     if since is not None:
         rows = rows.where(day >= since)
     rows = rows.withColumn("file_date_", day)
@@ -27,22 +34,41 @@ def read_dated_folder(spark: SparkSession, folder: str, keys: tuple[str, ...], c
 
 
 def interface_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """(files, rows, first, last) of a dated folder, by file names."""
-    rows = spark.read.option("mergeSchema", True).parquet(folder).select(F.col("_metadata.file_name").alias("name"))
-    by_file = rows.groupBy(F.regexp_extract("name", "(\\d{8})", 1).alias("day")).agg(F.count("*").alias("n"))
+    """(files, rows, first, last) of a dated folder, by the dates of its files."""
+    rows = spark.read.option("mergeSchema", True).parquet(folder).select(_file_date().alias("day"))
+    by_file = rows.groupBy("day").agg(F.count("*").alias("n"))
     return by_file.agg(F.count("*").alias("files"), F.sum("n").alias("rows"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
-def read_run_archive(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Runs, and their equity curves as rows (run_id, date, equity), of JSON files with a nested curve."""
-    runs = spark.read.option("multiLine", True).json(pattern)
+def interface_drift(before: dict[str, DataFrame], now: dict[str, DataFrame]) -> DataFrame:
+    """(interface, change, files, rows, first, last): profiles (of interface_profile) that differ, `gone` as they were and `new` as they are."""
+    named = lambda found: reduce(DataFrame.unionByName, [p.withColumn("interface", F.lit(name)) for name, p in found.items()])  # noqa: E731  a row each
+    old, new = named(before), named(now)
+    changed = old.exceptAll(new).withColumn("change", F.lit("gone")).unionByName(new.exceptAll(old).withColumn("change", F.lit("new")))
+    return changed.select("interface", "change", "files", "rows", "first", "last")
+
+
+def write_run_archive(runs: DataFrame, folder: str, per_file: int = 500) -> None:
+    """Runs as nested JSON, so many to a file about, each file an array over several lines."""
+    parts = max(1, -(-runs.count() // per_file))
+    text = F.to_json(F.struct(*runs.columns), {"pretty": "true"})
+    dealt = runs.select(F.pmod(F.xxhash64("run_id"), F.lit(parts)).alias("part"), text.alias("run"))
+    whole = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("run")), ",\n"), F.lit("]"))
+    dealt.groupBy("part").agg(whole.alias("value")).write.partitionBy("part").text(folder)
+
+
+def read_run_archive(spark: SparkSession, pattern: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs, and their equity curves as rows (run_id, date, equity), of JSON files with a nested curve. schema: else it is inferred."""
+    reader = spark.read.option("multiLine", True)
+    runs = (reader.schema(schema) if schema else reader).json(pattern)
     curve = runs.select("run_id", F.explode("equity_curve").alias("p")).select("run_id", "p.*")
     return runs.drop("equity_curve"), curve
 
 
-def archived_trades(spark: SparkSession, pattern: str) -> DataFrame:
+def archived_trades(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
     """The trades of archived runs as rows (run_id, and a trade's own fields); runs without any give none."""
-    runs = spark.read.option("multiLine", True).json(pattern)
+    reader = spark.read.option("multiLine", True)
+    runs = (reader.schema(schema) if schema else reader).json(pattern)
     if "trades" not in runs.columns:
         return runs.select("run_id").limit(0)
     return runs.select("run_id", F.explode("trades").alias("t")).select("run_id", "t.*")

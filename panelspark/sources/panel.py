@@ -189,6 +189,27 @@ trades AS (
 )"""
 
 
+#: Measures of a run, each from its order's price: a factor, and what is taken off the thousandths.
+MEASURES = {
+    "total_return": (3, 0.2), "annual_return": (7, 0.3), "benchmark_return": (11, 0.4), "sortino": (13, 0.1), "calmar": (17, 0.25), "max_drawdown": (19, 1.0), "win_rate": (23, 0.0), "turnover": (29, 0.0),
+    "capital_usage": (31, 0.0), "information_ratio": (37, 0.5), "trade_count": (41, 0.0), "losing_streak": (43, 0.0),
+}
+#: One run in nine has no benchmark.
+UNMEASURED = {"benchmark_return": 9}
+
+
+def _measure(name: str) -> Column:
+    factor, off = MEASURES[name]
+    value = F.round((F.floor("o_totalprice").cast("long") * factor % 997).cast("double") / 1000 - off, 6)
+    return F.when(F.col("o_orderkey") % UNMEASURED[name] != 0, value) if name in UNMEASURED else value
+
+
+def _measure_sql(name: str) -> str:
+    factor, off = MEASURES[name]
+    value = f"round((floor(o_totalprice)::BIGINT * {factor} % 997)::DOUBLE / 1000 - {off}, 6)"
+    return f"CASE WHEN o_orderkey % {UNMEASURED[name]} <> 0 THEN {value} END AS {name}" if name in UNMEASURED else f"{value} AS {name}"
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, finished, status, config_json, metrics_json): one run an order, with nested settings as JSON text."""
     config = F.struct(
@@ -196,8 +217,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 5 + 1).alias("top_n"),
         F.array(F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string")), F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string"))).alias("factor_versions"),
         F.col("o_orderpriority").alias("weighting"),
+        F.array(F.concat(F.lit("ma"), (F.col("o_custkey") % 3 * 20).cast("string")), F.concat(F.lit("ma"), (F.col("o_orderkey") % 2 * 20).cast("string"))).alias("gates"),
     )
-    metrics = F.struct(F.round(F.floor("o_totalprice") / 100000 - 1, 6).alias("sharpe"), F.round(F.floor("o_totalprice") / 1000000 - 0.1, 6).alias("excess_return"))
+    metrics = F.struct(*[_measure(name).alias(name) for name in MEASURES], F.round(F.floor("o_totalprice") / 100000 - 1, 6).alias("sharpe"), F.round(F.floor("o_totalprice") / 1000000 - 0.1, 6).alias("excess_return"))
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("date").alias("finished"), status.alias("status"), F.to_json(config).alias("config_json"), F.to_json(metrics).alias("metrics_json")
@@ -208,7 +230,8 @@ RUNS_SQL = """
 runs AS (
   SELECT o_orderkey AS run_id, o_orderdate::DATE AS finished, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status,
     year(o_orderdate) AS year, o_custkey % 5 + 1 AS top_n, list_sort(list_distinct(['f' || (o_custkey % 3), 'f' || (o_orderkey % 3)])) AS factors,
-    o_orderpriority AS weighting, round(floor(o_totalprice) / 100000 - 1, 6) AS sharpe, round(floor(o_totalprice) / 1000000 - 0.1, 6) AS excess_return
+    o_orderpriority AS weighting, round(floor(o_totalprice) / 100000 - 1, 6) AS sharpe, round(floor(o_totalprice) / 1000000 - 0.1, 6) AS excess_return,
+    list_sort(list_distinct(['ma' || (o_custkey % 3 * 20), 'ma' || (o_orderkey % 2 * 20)])) AS gates, """ + ", ".join(map(_measure_sql, MEASURES)) + """
   FROM orders
 )"""
 
