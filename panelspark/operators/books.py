@@ -271,3 +271,26 @@ def blend_score(panel: DataFrame, legs: dict[str, int]) -> Column:
         rank = cs_rank(F.col(name))
         total = total + (rank if direction > 0 else 1 - rank)
     return total / len(legs)
+
+
+def lot_ledger(fills: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(instrument, buy, sell, quantity, buy_price, sell_price, profit): which quantity of each buy was sold by which sell, first in first out.
+
+    fills: (instrument, fill, side 'buy' or 'sell', quantity above 0, price), in
+    an order without ties. Fills of a side take up consecutive stretches of the
+    quantity that is traded in all; the ends of both sides' stretches cut it into
+    pieces, each of one buy and one sell. What is never sold has no sell, what is
+    sold without being held no buy; there is no profit then. One pass a name over
+    its ordered ends: no pairs of fills are formed.
+    """
+    so_far = Window.partitionBy("instrument", "side").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = fills.withColumn("end_", F.sum("quantity").over(so_far))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("fill", "price"))).alias(side)  # noqa: E731  one fill a side ends at a point
+    points = ends.groupBy("instrument", "end_").agg(of("buy"), of("sell"))
+    down = Window.partitionBy("instrument").orderBy(F.desc("end_"))
+    seen = down.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = points.select(
+        "instrument", (F.col("end_") - F.lead("end_", 1, 0).over(down)).alias("quantity"), F.last("buy", ignorenulls=True).over(seen).alias("b_"), F.last("sell", ignorenulls=True).over(seen).alias("s_")
+    )
+    profit = (F.col("s_.price") - F.col("b_.price")) * F.col("quantity")
+    return pieces.select("instrument", F.col("b_.fill").alias("buy"), F.col("s_.fill").alias("sell"), "quantity", F.col("b_.price").alias("buy_price"), F.col("s_.price").alias("sell_price"), profit.alias("profit"))

@@ -331,3 +331,34 @@ def expert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def expert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(experts.state_features(*_experts(spark, sf_dir)), ("date", "expert"))
+
+
+LOTS_SQL = """
+ticks AS (
+  SELECT l_suppkey AS instrument, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity::BIGINT AS quantity, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS fill FROM lineitem
+),
+spans AS (SELECT *, sum(quantity) OVER (PARTITION BY instrument, side ORDER BY fill ROWS UNBOUNDED PRECEDING) AS upto FROM ticks),
+totals AS (SELECT instrument, coalesce(sum(quantity) FILTER (WHERE side = 'buy'), 0) AS bought, coalesce(sum(quantity) FILTER (WHERE side = 'sell'), 0) AS sold FROM ticks GROUP BY 1),
+matched AS (
+  SELECT b.instrument, b.fill AS buy, s.fill AS sell, least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity) AS quantity, b.price AS bp, s.price AS sp
+  FROM spans b JOIN spans s ON b.instrument = s.instrument AND b.side = 'buy' AND s.side = 'sell' AND b.upto - b.quantity < s.upto AND s.upto - s.quantity < b.upto
+  UNION ALL SELECT instrument, CASE WHEN side = 'buy' THEN fill END, CASE WHEN side = 'sell' THEN fill END, upto - greatest(upto - quantity, least(bought, sold)), CASE WHEN side = 'buy' THEN price END, CASE WHEN side = 'sell' THEN price END
+  FROM spans JOIN totals USING (instrument) WHERE upto > least(bought, sold)
+)"""
+
+
+@REGISTRY.query("lot_ledger", with_sql(LOTS_SQL, select="SELECT instrument, buy, sell, quantity::BIGINT AS quantity, round((sp - bp) * quantity, 2) + 0.0 AS profit FROM matched"))
+def lot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as fills of their supplier: what is returned is sold, first in first out; partial lots and what is left are rows of their own."""
+    from pyspark.sql import Window
+
+    from panelspark.sources.panel import table
+
+    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5).cast("double") / 100
+    fills = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("instrument"), F.row_number().over(order).cast("long").alias("fill"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").cast("long").alias("quantity"), price.alias("price")
+    )
+    found = books.lot_ledger(fills, ("fill",))
+    return found.select("instrument", "buy", "sell", "quantity", r(F.col("profit"), 2).alias("profit"))

@@ -125,3 +125,22 @@ def test_quantiles_by_sketch_and_selection_are_exact(spark, monkeypatch, rows, i
     assert got["tied"] == list(np.quantile([b for i, b in enumerate(tied) if i % 5], marks)) and got["one"] == [7.0] * 7 and got["none"] == [None] * 7
     single = quantiles.exact_quantiles(frame.limit(1), {"x": F.col("x")}, marks)["x"]
     assert len(set(single)) == 1 and quantiles.exact_quantiles(frame.limit(0), {"x": F.col("x")}, marks)["x"] == [None] * 7
+
+
+def test_lots_are_matched_first_in_first_out(spark):
+    from panelspark.operators import books
+
+    rng = np.random.default_rng(4)
+    rows = [(name, i, "buy" if rng.random() < 0.6 else "sell", int(rng.integers(1, 6)), float(rng.integers(1, 9))) for name, size in ((1, 40), (2, 3), (3, 1), (None, 12)) for i in range(size)]
+    frame = spark.createDataFrame(rows, "instrument long, fill long, side string, quantity long, price double").repartition(4)
+    want = []
+    for name in (1, 2, 3, None):
+        own = [r for r in rows if r[0] == name]
+        buys, sells = ([(r[1], r[4]) for r in own if r[2] == side for _ in range(r[3])] for side in ("buy", "sell"))  # unit by unit
+        units = [(buys[k] if k < len(buys) else (None, None), sells[k] if k < len(sells) else (None, None)) for k in range(max(len(buys), len(sells)))]
+        for (b, bp), (s, sp) in sorted(set(units), key=str):
+            n = units.count(((b, bp), (s, sp)))
+            want.append((name, b, s, n, None if b is None or s is None else (sp - bp) * n))
+    got = [(r["instrument"], r["buy"], r["sell"], r["quantity"], r["profit"]) for r in books.lot_ledger(frame, ("fill",)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert books.lot_ledger(frame.limit(0), ("fill",)).count() == 0
