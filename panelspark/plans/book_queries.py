@@ -266,7 +266,7 @@ built AS (
 @REGISTRY.query("volume_week_screen", with_sql(BARS_SQL, SCREEN_SQL, select="SELECT date, instrument, round(period_ret, 6) + 0.0 AS period_ret, (row_number() OVER (PARTITION BY date ORDER BY period_ret, instrument))::INTEGER AS place FROM built WHERE float_market_cap BETWEEN 1000 AND 14000 AND turn < 40 AND ret_long < 0.2 AND ret_1 BETWEEN -0.3 AND 0.3 AND growth > 0.5"))
 def volume_week_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.date_trunc("month", "date").cast("date")
-    picks = signals.volume_screen(bars(spark, sf_dir), month, (1000, 14000), 40.0, 0.5, 0.2, (-0.3, 0.3))
+    picks = signals.volume_screen(bars(spark, sf_dir), month, (1000, 14000), 40.0, 0.5, 0.2, (-0.3, 0.3), long_bars=24)
     return picks.select("date", "instrument", r(F.col("period_ret")).alias("period_ret"), "place")
 
 
@@ -362,3 +362,42 @@ def lot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = books.lot_ledger(fills, ("fill",))
     return found.select("instrument", "buy", "sell", "quantity", r(F.col("profit"), 2).alias("profit"))
+
+
+DAILY_SQL = """
+priced AS (SELECT *, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS px FROM lineitem),
+days AS (SELECT l_suppkey AS instrument, l_shipdate::DATE AS date, arg_max(px, ROW(l_orderkey, l_linenumber, l_partkey)) AS close, sum(l_quantity) AS vol FROM priced GROUP BY ALL),
+daily AS (
+  SELECT *, sum(vol) OVER (PARTITION BY instrument ORDER BY date ROWS UNBOUNDED PRECEDING) AS cap, close / nullif(lag(close) OVER t, 0) - 1 AS ret_1, close / nullif(lag(close, 20) OVER t, 0) - 1 AS ret_long,
+    (date_trunc('week', date + INTERVAL 2 DAY) + INTERVAL 4 DAY)::DATE AS week FROM days WINDOW t AS (PARTITION BY instrument ORDER BY date)
+),
+weeks AS (SELECT instrument, week, lag(sum(vol)) OVER (PARTITION BY instrument ORDER BY week) AS before_vol, lag(arg_max(close, date)) OVER (PARTITION BY instrument ORDER BY week) AS before_close FROM daily GROUP BY instrument, week),
+screened AS (
+  SELECT d.*, before_vol, sum(vol) OVER (PARTITION BY instrument, week ORDER BY date ROWS UNBOUNDED PRECEDING) AS to_date_vol, close / nullif(before_close, 0) - 1 AS period_ret FROM daily d JOIN weeks USING (instrument, week)
+)"""
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instrument, date, close, vol, turn, float_market_cap): a bar a day of a supplier's shipped lines."""
+    from pyspark.sql import Window
+
+    from panelspark.sources.panel import table
+
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5).cast("double") / 100
+    day = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("instrument"), F.col("l_shipdate").cast("date").alias("date"))
+    made = day.agg(F.max_by(price, F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("close"), F.sum("l_quantity").alias("vol"))
+    so_far = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return made.withColumns({"turn": F.col("vol"), "float_market_cap": F.sum("vol").over(so_far)})
+
+
+@REGISTRY.query("week_growth", with_sql(DAILY_SQL, select="SELECT instrument, date, to_date_vol, before_vol, round(to_date_vol / nullif(before_vol, 0), 6) + 0.0 AS growth, round(period_ret, 6) + 0.0 AS period_ret FROM screened"))
+def week_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars against their week, which ends on Friday, and the week before."""
+    found = signals.period_features(daily_bars(spark, sf_dir), labels.friday_week())
+    return found.select("instrument", "date", "to_date_vol", "before_vol", r(F.col("growth")).alias("growth"), r(F.col("period_ret")).alias("period_ret"))
+
+
+@REGISTRY.query("weekly_volume_picks", with_sql(DAILY_SQL, select="SELECT date, instrument, round(period_ret, 6) + 0.0 AS period_ret, (row_number() OVER (PARTITION BY date ORDER BY period_ret, instrument))::INTEGER AS place FROM screened WHERE cap BETWEEN 1000 AND 14000 AND vol < 60 AND ret_long < 0.2 AND ret_1 BETWEEN -0.3 AND 0.3 AND to_date_vol / nullif(before_vol, 0) > 1"))
+def weekly_volume_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = signals.volume_screen(daily_bars(spark, sf_dir), labels.friday_week(), (1000, 14000), 60.0, 1.0, 0.2, (-0.3, 0.3), long_bars=20)
+    return picks.select("date", "instrument", r(F.col("period_ret")).alias("period_ret"), "place")

@@ -9,12 +9,12 @@ from panelspark.functions import sqltext as q
 from panelspark.functions import window as w
 from panelspark.functions.catalog import alpha158, alpha191, pack
 from panelspark.functions.series import Stages
-from panelspark.operators import models, signals
+from panelspark.operators import models, signals, universe
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
 from panelspark.plans.diagnostic_queries import SCORED_SQL, scored
 from panelspark.plans.factor_queries import base_sleeves
-from panelspark.sources.panel import BARS_SQL, bars, with_sql
+from panelspark.sources.panel import BARS_SQL, MEMBERSHIP_SQL, bars, calendar, membership, with_sql
 
 EWM_SQL = """
 seq AS (SELECT instrument, date, close, row_number() OVER (PARTITION BY instrument ORDER BY date) AS n FROM bars),
@@ -38,10 +38,10 @@ def _recursive(*parts: str, select: str) -> str:
     return with_sql(*parts, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@REGISTRY.query("ewm_indicators", _recursive(BARS_SQL, EWM_SQL, select="SELECT instrument, date, " + ", ".join(f"round({x}, 5) + 0.0 AS {x}" for x in INDICATORS) + " FROM ewm"))
+@REGISTRY.query("ewm_indicators", _recursive(BARS_SQL, EWM_SQL, select="SELECT instrument, date, " + ", ".join(f"round({x}, 4) + 0.0 AS {x}" for x in INDICATORS) + " FROM ewm"))
 def ewm_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = signals.exponential_indicators(bars(spark, sf_dir))
-    return found.select("instrument", "date", *[r(F.col(x), 5).alias(x) for x in INDICATORS])
+    return found.select("instrument", "date", *[r(F.col(x), 4).alias(x) for x in INDICATORS])
 
 
 @REGISTRY.query("ewm_mean", _recursive(BARS_SQL, EWM_SQL, select="SELECT instrument, date, CASE WHEN n >= 20 THEN round(ema_20, 5) END AS ewm_20 FROM ewm"))
@@ -63,6 +63,22 @@ def trend_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.trend_signal(bars(spark, sf_dir)).select("date", "instrument", r(F.col("rank_score")).alias("rank_score"), "weight")
 
 
+MEMBER_TREND_SQL = TREND_SQL.replace(
+    "passed AS (SELECT * FROM built WHERE",
+    "chosen AS (SELECT c.date, m.con_code AS instrument FROM (SELECT d.date, max(m.snapshot) AS snapshot FROM (SELECT DISTINCT date FROM bars) d JOIN (SELECT DISTINCT snapshot FROM membership) m ON m.snapshot <= d.date GROUP BY 1) c JOIN membership m USING (snapshot)),\n"
+    "passed AS (SELECT * FROM built WHERE (date, instrument) IN (SELECT (date, instrument) FROM chosen) AND instrument % 10 <> 3 AND amount >= 60000 AND",
+).replace("b.st_status,", "b.st_status, b.amount,")
+
+
+@REGISTRY.query("trend_signal_members", _recursive(BARS_SQL, EWM_SQL, MEMBERSHIP_SQL, MEMBER_TREND_SQL, select="SELECT date, instrument, round(rank_score, 6) AS rank_score, 0.1::DOUBLE AS weight FROM ranked QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(rank_score, 9) DESC, instrument) <= 10"))
+def trend_signal_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend rules among the members as of each date, without one board, from an amount on."""
+    panel = bars(spark, sf_dir)
+    members = universe.members_pooled(panel, calendar(panel), membership(spark, sf_dir))
+    picks = signals.trend_signal(panel, members=members, board=F.col("instrument") % 10 != 3, least_amount=60_000.0)
+    return picks.select("date", "instrument", r(F.col("rank_score")).alias("rank_score"), "weight")
+
+
 OLS_SQL = """
 held AS (SELECT momentum_5 AS x, label AS y FROM scored WHERE momentum_5 IS NOT NULL AND label IS NOT NULL AND date < DATE '1996-01-01'),
 told AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx FROM held)"""

@@ -144,3 +144,28 @@ def test_lots_are_matched_first_in_first_out(spark):
     got = [(r["instrument"], r["buy"], r["sell"], r["quantity"], r["profit"]) for r in books.lot_ledger(frame, ("fill",)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert books.lot_ledger(frame.limit(0), ("fill",)).count() == 0
+
+
+def test_exponential_means_equal_pandas(spark):
+    """Long histories over several blocks, gaps (also longer than a block), leading unknown values, decays that need two passes."""
+    from panelspark.operators import signals
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for name, size in ((1, 900), (2, 5), (None, 40), (3, 1)):
+        x = rng.normal(50, 30, size)
+        x[rng.random(size) < 0.1] = np.nan
+        if name == 1:
+            x[:3], x[300:650] = np.nan, np.nan
+        rows += [(name, day(i), None if np.isnan(v) else float(v), "kept") for i, v in enumerate(x)]
+    frame = pd.DataFrame(rows, columns=["k", "date", "x", "block_"])
+    panel = spark.createDataFrame(rows, "instrument long, date date, x double, note string").repartition(3)
+    alphas = {"slow": 0.25, "fast": 0.5, "quick": 0.95, "long": 0.02}
+    got = signals.exponential_means(panel, {name: (F.col("x"), a) for name, a in alphas.items()}).toPandas()
+    assert len(got) == len(frame) and list(got.columns) == ["instrument", "date", "x", "note", *alphas]
+    for name, own in frame.groupby("k", dropna=False):
+        mine = got[got["instrument"].isna() if pd.isna(name) else got["instrument"] == name].sort_values("date")
+        for column, a in alphas.items():
+            assert np.allclose(mine[column].to_numpy(float), own["x"].astype(float).ewm(alpha=a, adjust=False).mean().to_numpy(), rtol=1e-9, atol=1e-12, equal_nan=True), (name, column)
+    assert "Pandas" not in signals.exponential_means(panel, {"m": (F.col("x"), 0.1)})._jdf.queryExecution().toString()
+    assert signals.exponential_means(panel.limit(0), {"m": (F.col("x"), 0.1)}).count() == 0
