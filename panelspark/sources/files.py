@@ -119,3 +119,32 @@ def append_factors(sidecar: DataFrame, factors: DataFrame, keys: tuple[str, ...]
 def export_csv(rows: DataFrame, path: str, order: tuple[str, ...], most: int) -> None:
     """The first rows in an order, with a header; an export is bounded by `most`."""
     rows.orderBy(*order).limit(most).coalesce(1).write.option("header", True).csv(path)
+
+
+def write_buckets(rows: DataFrame, name: str, folder: str, buckets: int = 8, key: str = "instrument", order: str = "date", dealt: bool = False) -> DataFrame:
+    """rows laid out by a key: a table in buckets of it, each file sorted by key and order.
+
+    Windows over the key and joins of tables with as many buckets then need no
+    shuffle, and a bucket of a single file no sort. Rows are dealt by key before
+    they are written, so that a bucket is one file; dealt: they lie so already.
+    name: of the table in the session's catalogue; its files lie in the given
+    (shared) folder.
+    """
+    own = rows if dealt else rows.repartition(buckets, key)
+    own.write.bucketBy(buckets, key).sortBy(key, order).option("path", folder).mode("overwrite").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def attach_on_buckets(left: DataFrame, right: DataFrame, keys: tuple[str, ...], name: str, folder: str, buckets: int = 8) -> DataFrame:
+    """left with the columns of right, both laid out by `write_buckets`, as a table that is laid out alike: nothing is shuffled.
+
+    The first of the keys is that of the buckets. Spark joins on part of the keys
+    only where it is allowed to; that is allowed for this one write.
+    """
+    spark, allowed = left.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(allowed)
+    spark.conf.set(allowed, "false")
+    try:
+        return write_buckets(left.join(right.hint("merge"), list(keys), "left"), name, folder, buckets, *keys[:2], dealt=True)
+    finally:
+        spark.conf.set(allowed, before)

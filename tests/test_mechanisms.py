@@ -169,3 +169,47 @@ def test_exponential_means_equal_pandas(spark):
             assert np.allclose(mine[column].to_numpy(float), own["x"].astype(float).ewm(alpha=a, adjust=False).mean().to_numpy(), rtol=1e-9, atol=1e-12, equal_nan=True), (name, column)
     assert "Pandas" not in signals.exponential_means(panel, {"m": (F.col("x"), 0.1)})._jdf.queryExecution().toString()
     assert signals.exponential_means(panel.limit(0), {"m": (F.col("x"), 0.1)}).count() == 0
+
+
+def test_correlations_of_many_columns_equal_pairwise_ones(spark):
+    from panelspark.operators import pairwise
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 130)) + 1e6 * (np.arange(130) % 3)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7], x[:, 8] = 3.5, np.nan
+    x[5, 9] = np.inf
+    names = tuple(f"c{i}" for i in range(130))
+    frame = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in pairwise.correlations(frame, names, tile=32).collect()}
+    assert len(got) == 130 * 129 // 2
+    x[5, 9] = np.nan
+    for i in range(0, 130, 3):
+        for j in range(i + 1, 130, 5):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            want = np.corrcoef(a, b)[0, 1] if both.sum() > 1 and a.std() > 0 and b.std() > 0 else None
+            n, corr = got[names[i], names[j]]
+            assert n == both.sum() and (corr is None) == (want is None) and (want is None or abs(corr - want) < 1e-7)
+    none = pairwise.correlations(frame.limit(0), names[:3]).collect()
+    assert all(r["n"] == 0 and r["corr"] is None for r in none)
+
+
+def test_a_laid_out_panel_needs_no_shuffle(spark):
+    from panelspark.functions import window as w
+    from panelspark.plans import layout_queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = layout_queries.laid_out(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    made = found.withColumn("m", w.rolling_mean(F.col("close"), 5))
+    assert "Window" in plan(made) and "Exchange" not in plan(made)
+    # The join itself: as it is planned where part of the keys may do.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        tables = [t.name for t in spark.catalog.listTables() if t.name.startswith(("bars_", "flows_"))]
+        bars, flows = (spark.table(next(t for t in tables if t.startswith(x))) for x in ("bars_", "flows_"))
+        joined = plan(bars.join(flows.hint("merge"), ["instrument", "date"], "left"))
+        assert "SortMergeJoin" in joined and "Exchange" not in joined
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
