@@ -10,6 +10,7 @@ for the SQL check.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -86,14 +87,27 @@ class Stages:
         return Series(self, name if self.sql else F.col(name), x.key, x.level + 1, False)
 
     def frame(self, panel: DataFrame, factors: dict[str, Series], keys: tuple[str, ...] = ("instrument", "date"), digits: int | None = None) -> DataFrame:
-        """The keys and factors of a panel; infinities are NULL. One window sort by instrument and one by date a projection."""
-        for level in self.levels:
+        """The keys and factors of a panel; infinities are NULL. One window sort by instrument and one by date a projection.
+
+        Window calls that none of the factors asks for are left out.
+        """
+        for level in self._asked([x.form for x in factors.values()]):
             passed = {name: x for name, x in level.items() if isinstance(x, Rolling)}
             panel = panel.withColumns({name: x for name, x in level.items() if name not in passed})
             panel = with_rolling(panel, passed)
         values = {name: w.finite(x.form.cast("double")) for name, x in factors.items()}
         return panel.select(*keys, *[(v if digits is None else F.round(v + v * NUDGE, digits) + F.lit(0.0)).alias(name) for name, v in values.items()])
 
+    def _asked(self, forms: list) -> list[dict[str, object]]:
+        """The levels with the calls that the forms need, directly or through later calls."""
+        named = lambda form: set(re.findall(r"\bs\d+_\b", f"{form.x} {form.y}" if isinstance(form, Rolling) else str(form)))
+        needed, out = set().union(*map(named, forms)), []
+        for level in reversed(self.levels):
+            own = {name: form for name, form in level.items() if name in needed}
+            needed = needed.union(*map(named, own.values()))
+            out.append(own)
+        return out[::-1]
+
     def text(self, source: str, factors: dict[str, Series], digits: int, keys: tuple[str, ...] = ("instrument", "date")) -> tuple[list[str], str]:
         """The projections as parts of a WITH list, and the final SELECT."""
         parts = []

@@ -191,3 +191,37 @@ SLEEVE_COLUMNS = {
     "sum_size_yield": "size + yield_", "sum_yield_move20": "yield_ + move20", "sum_size_move20_turn": "size + move20 + turn_", "sum_size_high60": "size + high60", "sum_yield_high60_turn": "yield_ + high60 + turn_",
 }
 _by_hand("sleeves_by_hand", base_sleeves, SLEEVE_COLUMNS, LAGGED_SQL, HIGH_SQL, SLEEVE_SQL, source="legs")
+
+
+def _pearson(x: str, y: str, n: int) -> str:
+    """By sums of products over the frame, known where all pairs are and neither side is constant up to rounding."""
+    both = f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END"
+    steady = " OR ".join(f"{_over(f'stddev_samp({z})', n)} <= 1e-9 * abs({_over(f'avg({z})', n)})" for z in (x, y))
+    return f"CASE WHEN {_over(f'count({both})', n)} < {n} OR {steady} THEN NULL ELSE {_over(f'covar_pop({x}, {y})', n)} / ({_over(f'stddev_pop({x})', n)} * {_over(f'stddev_pop({y})', n)}) END"
+
+
+_PLACE = f"(close - {_over('min(low)', 12)}) / nullif({_over('max(high)', 12)} - {_over('min(low)', 12)}, 0)"
+#: Parts first, then ranks of them, then correlations of ranks: each a projection of its own.
+CORR_PARTS_SQL = f"""
+parts AS (
+  SELECT *, amount / nullif(vol, 0) AS vwap, {_full('vol', 20, _over('avg(vol)', 20))} AS v20, {_full('close', 7, _over('avg(close)', 7))} AS c7, {_full('high', 12, _PLACE)} AS place,
+    {_full('high', 10, _over('stddev_samp(high)', 10))} AS sd_high, {_full('close', 20, _over('stddev_samp(close)', 20))} AS sd_close, ret - lag(ret, 3) OVER (PARTITION BY instrument ORDER BY date) AS ret_3 FROM moved
+),
+ranks AS (SELECT *, {', '.join(f'{_ranked(x)} AS r_{name}' for name, x in (('open', 'open'), ('vol', 'vol'), ('place', 'place'), ('sd_high', 'sd_high'), ('sd_close', 'sd_close'), ('ret_3', 'ret_3')))} FROM parts),
+tied AS (SELECT *, {_pearson('high', 'vol', 5)} AS hv, {_pearson('open', 'vol', 10)} AS ov, {_pearson('high', 'vol', 10)} AS hv10 FROM ranks)"""
+CORR_COLUMNS = {
+    "alpha191_026": f"(c7 - close) + {_pearson('vwap', 'c5', 230)}", "alpha191_042": "-r_sd_high * hv10", "alpha191_062": f"-({_pearson('high', 'r_vol', 5)})",
+    "alpha191_104": "-(hv - lag(hv, 5) OVER (PARTITION BY instrument ORDER BY date)) * r_sd_close", "alpha191_105": f"-({_pearson('r_open', 'r_vol', 10)})", "alpha191_136": "-r_ret_3 * ov",
+    "alpha191_139": "-ov", "alpha191_176": _pearson("r_place", "r_vol", 6), "alpha191_191": f"{_pearson('v20', 'low', 5)} + (high + low) / 2 - close",
+}
+_by_hand("alpha191_corr_by_hand", alpha191.correlation_alphas, CORR_COLUMNS, LAGGED_SQL, CORR_PARTS_SQL, source="tied")
+
+REST_COLUMNS = {f"{name}{n}": x for n in (5, 60) for name, x in {
+    "SUMD": _full("dc", n, f"({_over('sum(greatest(dc, 0))', n)} - {_over('sum(greatest(-dc, 0))', n)}) / ({_over('sum(abs(dc))', n)} + 1e-12)"),
+    "VSUMN": _full("dv", n, f"{_over('sum(greatest(-dv, 0))', n)} / ({_over('sum(abs(dv))', n)} + 1e-12)"),
+    "VSUMD": _full("dv", n, f"({_over('sum(greatest(dv, 0))', n)} - {_over('sum(greatest(-dv, 0))', n)}) / ({_over('sum(abs(dv))', n)} + 1e-12)"),
+    "CORR": f"CASE WHEN {_over('count(close)', n)} = {n} THEN coalesce({_pearson('close', 'log_vol', n)}, 0.0) END",
+    "CORD": f"CASE WHEN {_over('count(c_step)', n)} = {n} THEN coalesce({_pearson('c_step', 'v_step', n)}, 0.0) END",
+}.items()}
+STEPS_SQL = "steps AS (SELECT *, ln(vol + 1) AS log_vol, close / nullif(c1, 0) AS c_step, ln(vol / nullif(v1, 0) + 1) AS v_step FROM moved)"
+_by_hand("alpha158_flow_by_hand", lambda s: {k: x for n in (5, 60) for k, x in alpha158.flow(s, n).items()}, REST_COLUMNS, LAGGED_SQL, STEPS_SQL, source="steps")
