@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.operators import gram, labels
+from panelspark.operators import diagnostics, gram, labels
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
 from panelspark.plans.diagnostic_queries import SCORED_SQL, scored
@@ -113,3 +113,28 @@ def fold_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = folds.select("fold", F.col("train_from").alias("from_"), F.col("label_cutoff").alias("to_"))
     found = gram.fold_models(panel, windows, ("momentum_5", "turn"), "label", "ols")
     return found.select("fold", "n", r(F.col("coefficients")[0], 7).alias("momentum_5"), r(F.col("coefficients")[1], 7).alias("turn"), r(F.col("intercept"), 7).alias("intercept"))
+
+
+JUDGED_SQL = f"""
+told AS (SELECT fold, instrument, date, label, {SCORE} AS score FROM scored JOIN folds ON date >= test_from AND date < test_to JOIN solved USING (fold) WHERE {KNOWN} AND label IS NOT NULL),
+ranked AS (
+  SELECT *, (rank() OVER (PARTITION BY date ORDER BY score) + rank() OVER (PARTITION BY date ORDER BY score DESC) * -1 + count(*) OVER (PARTITION BY date) + 1) / 2.0 AS rs,
+    (rank() OVER (PARTITION BY date ORDER BY label) + rank() OVER (PARTITION BY date ORDER BY label DESC) * -1 + count(*) OVER (PARTITION BY date) + 1) / 2.0 AS rl FROM told
+),
+daily_ic AS (SELECT date, covar_pop(rs, rl) / nullif(stddev_pop(rs) * stddev_pop(rl), 0) AS ic FROM ranked GROUP BY 1 HAVING count(*) >= 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, instrument) AS own, row_number() OVER (PARTITION BY date ORDER BY rl DESC, instrument) AS ideal FROM ranked),
+daily_ndcg AS (SELECT date, sum(rl / log2(own + 1)) FILTER (WHERE own <= 10) / nullif(sum(rl / log2(ideal + 1)) FILTER (WHERE ideal <= 10), 0) AS ndcg FROM placed GROUP BY 1)"""
+
+
+@REGISTRY.query(
+    "walk_forward_judged",
+    with_sql(BARS_SQL, SCORED_SQL, CALENDAR_SQL, FOLDS_SQL, moments_sql("trained", FEATURES, "fold"), eliminated_sql(4, "fold", 1.0), JUDGED_SQL,
+        select="SELECT date_trunc('month', date)::DATE AS month, round(avg(ic), 5) + 0.0 AS rank_ic, round(avg(ndcg), 5) + 0.0 AS ndcg FROM daily_ndcg LEFT JOIN daily_ic USING (date) GROUP BY 1"),
+)
+def walk_forward_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-sample scores of all folds, by month: rank correlation with the outcome, and how good the top ten are."""
+    panel = scored(spark, sf_dir)
+    folds = labels.walk_forward_folds(calendar(bars(spark, sf_dir)), train_months=24, test_months=12, hold=2)
+    scores = gram.walk_forward(panel, folds, FEATURES, "label", "ridge").join(panel.select("instrument", "date", "label"), ["instrument", "date"])
+    found = diagnostics.monthly_ranking(scores, "score", "label")
+    return found.select("month", r(F.col("rank_ic"), 5).alias("rank_ic"), r(F.col("ndcg"), 5).alias("ndcg"))
