@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import archive
-from panelspark.plans.book_queries import SUMMARY_SELECT
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.plans.common import r
 from panelspark.sources import files
