@@ -230,13 +230,13 @@ class Series:
             function = WINDOWS[name][self.stages.sql]
             plain = [a.form if isinstance(a, Series) else a for a in others]
             n = next((a for a in reversed(plain) if isinstance(a, int)), 0)
+            digits = self.stages.corr_digits if name in ("rolling_corr", "rolling_corr_zero") else None
             if not self.stages.sql and (name in ORDERED or (name in KINDS and n >= LONG)):
-                form = Rolling(name, base.form, n, next((a.form for a in others if isinstance(a, Series)), None), next((a for a in plain if isinstance(a, float)), None))
+                form = Rolling(name, base.form, n, next((a.form for a in others if isinstance(a, Series)), None), next((a for a in plain if isinstance(a, float)), None), digits)
             else:
                 form = function(base.form, *plain)
-            digits = self.stages.corr_digits
-            if digits is not None and not isinstance(form, Rolling) and name in ("rolling_corr", "rolling_corr_zero"):
-                form = f"round({form}, {digits})" if self.stages.sql else F.round(form, digits)
+                if digits is not None:
+                    form = f"round({form}, {digits})" if self.stages.sql else F.round(form, digits)
             key = f"{base.key}.{name}({', '.join(a.key if isinstance(a, Series) else repr(a) for a in others)})"
             level = max([base.level, *(a.level for a in others if isinstance(a, Series))])
             return self.stages.settled(Series(self.stages, form, key, level, True))

@@ -34,6 +34,7 @@ class Rolling:
     """A statistic of the last n values of x (and y). The result is NULL unless all are known; ts_rank asks for the last value and n rows alone.
 
     ols_*: of the line through the values over their numbers. q: of rolling_quantile.
+    digits: the result is rounded to so many; by default not at all.
     """
 
     kind: str
@@ -41,6 +42,7 @@ class Rolling:
     n: int
     y: Column | None = None
     q: float | None = None
+    digits: int | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS or self.n < 1 or (self.kind == "rolling_quantile") != (self.q is not None):
@@ -204,4 +206,5 @@ def with_rolling(panel: DataFrame, calls: Mapping[str, Rolling], key: str = "ins
             tail = [v[len(v) - min(len(v), longest - 1) :] for v in values]
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema]
-    return dealt.mapInArrow(run, ", ".join([*kinds, *[f"`{name}` double" for name in calls]]))
+    made = dealt.mapInArrow(run, ", ".join([*kinds, *[f"`{name}` double" for name in calls]]))
+    return made.withColumns({name: F.round(name, call.digits) for name, call in calls.items() if call.digits is not None})

@@ -55,6 +55,24 @@ def test_constant_windows_have_no_correlation(spark):
     assert row["a"] is None and row["b"] == 0.0 and row["c"] is None
 
 
+def test_long_correlations_are_rounded_as_short_ones(spark):
+    rng = np.random.default_rng(8)
+    panel = spark.createDataFrame([(i, day(d), float(rng.normal()), float(rng.normal())) for i in range(40) for d in range(103)], "instrument long, date date, x double, y double")
+
+    def formulas(s):
+        tied = {f"corr_{n}": s.column("x").rolling_corr(s.column("y"), n) for n in (5, 100)}
+        return tied | {f"rank_{name}": x.cs_rank() for name, x in tied.items()}
+
+    rounded, plain = Stages(corr_digits=1), Stages()
+    got = rounded.frame(panel, formulas(rounded)).orderBy("instrument", "date").toPandas()
+    free = plain.frame(panel, formulas(plain)).orderBy("instrument", "date").toPandas()
+    for n in (5, 100):
+        want = free[f"corr_{n}"].round(1)
+        assert np.allclose(got[f"corr_{n}"], want, atol=1e-12, equal_nan=True) and want.notna().any()
+        assert np.allclose(got[f"rank_corr_{n}"], want.groupby(got["date"]).rank(pct=True), atol=1e-12, equal_nan=True)
+        assert free[f"corr_{n}"].dropna().nunique() > 10 * want.nunique()
+
+
 def test_quintiles_equal_qcut(spark):
     rng = np.random.default_rng(1)
     values = [rng.normal(size=23), rng.integers(0, 3, 20).astype(float), np.ones(10), np.arange(4.0), np.arange(5.0)]
