@@ -73,9 +73,12 @@ def blended_sleeves(s: Stages) -> dict[str, Series]:
 
 
 def masked_sleeves(s: Stages) -> dict[str, Series]:
-    base, c = sleeves.sleeve(sleeves.legs(s), CORE), s.column("close")
-    masks = {"busy": s.column("amount").ts_zscore(20), "above20": c.rolling_bias(20), "above60": c.rolling_bias(60), "unflagged": 1 - s.column("st_status")}
-    return sleeves.masked(base, masks) | sleeves.ranked_again(base, {"unflagged": masks["unflagged"]})
+    """The core under own conditions, without the most traded fifth, tilted against the last move and the gap, and ranked again inside a pool."""
+    parts, c = sleeves.legs(s), s.column("close")
+    base = sleeves.sleeve(parts, CORE)
+    masks = {"busy": s.column("amount").ts_zscore(20), "above20": c.rolling_bias(20), "above60": c.rolling_bias(60), "unflagged": 1 - s.column("st_status"), "quiet": 1 - parts["turn"] - 0.2}
+    against = {"move10": c.pct_change(10).cs_rank(), "gap": parts["gap"]}
+    return sleeves.masked(base, masks) | sleeves.tilted(base, against, (-0.5,)) | sleeves.ranked_again(base, {"unflagged": masks["unflagged"]})
 
 
 def index_sleeves(s: Stages) -> dict[str, Series]:

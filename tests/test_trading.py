@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,35 @@ def test_sleeve_families_are_many_and_distinct(spark):
     assert got[0].asDict() == want and [k for k, v in got[1].asDict().items() if v is not None] == ["sweep_a_0000"]
 
 
+def test_masked_sleeves_hold_masks_tilts_and_a_cut(spark):
+    rng = np.random.default_rng(9)
+    closes = 100 + rng.normal(size=(10, 70)).cumsum(axis=1)
+    opens = closes + rng.normal(size=(10, 70))
+    rows = [
+        (i, day(d), float(opens[i, d]), float(closes[i, d] + 3), float(closes[i, d] - 3), float(closes[i, d]), *[float(x) for x in rng.uniform(1, 9, 7)], int(i % 3 == 0))
+        for i in range(10) for d in range(70)
+    ]
+    columns = ["open", "high", "low", "close", "vol", "amount", "turn", "pe_ttm", "dividend_yield_ratio", "total_market_cap", "float_market_cap"]
+    stages = Stages()
+    frame = spark.createDataFrame(rows, f"instrument long, date date, {', '.join(f'{c} double' for c in columns)}, st_status int")
+    got = stages.frame(frame, factor_queries.masked_sleeves(stages)).toPandas().sort_values(["instrument", "date"]).reset_index(drop=True)
+    panel = pd.DataFrame(rows, columns=["instrument", "date", *columns, "st_status"])
+    rank = lambda x: x.groupby(panel["date"]).rank(pct=True)
+    close = panel.groupby("instrument")["close"]
+    high60 = close.transform(lambda x: x.rolling(60).rank(pct=True))
+    base = high60 + rank(panel["total_market_cap"]) + rank(panel["dividend_yield_ratio"]) + 1.2 * (1 - rank(panel["pe_ttm"]))
+    amount, flagged = panel.groupby("instrument")["amount"], panel["st_status"] == 1
+    above = {n: panel["close"] > close.transform(lambda x, n=n: x.rolling(n).mean()) for n in (20, 60)}
+    want = {
+        "mask_busy": base.where(panel["amount"] > amount.transform(lambda x: x.rolling(20).mean())), "mask_above20": base.where(above[20]), "mask_above60": base.where(above[60]), "mask_unflagged": base.where(~flagged),
+        "mask_quiet": base.where(1 - rank(panel["turn"]) - 0.2 > 0), "tilt_move10_n0500": base + 0.5 * (1 - rank(panel["close"] / close.shift(10))), "tilt_gap_n0500": base + 0.5 * (1 - rank(panel["open"] / close.shift(1))),
+        "again_unflagged": rank(base.where(~flagged)),
+    }
+    assert set(want) == set(got.columns) - {"instrument", "date"}
+    for name, x in want.items():
+        assert x.notna().any() and np.allclose(got[name].astype(float), x, atol=1e-9, equal_nan=True), name
+
+
 def test_walk_forward_without_folds(spark):
     panel = spark.createDataFrame([(1, day(i), float(i), float(i % 3)) for i in range(5)], "instrument long, date date, x double, label double")
     calendar = panel.select("date").withColumn("session", F.dayofmonth("date"))
