@@ -108,7 +108,8 @@ def trend_signal(
     20-mean. Where given: a member as of the date (date, instrument), of an
     allowed board, with at least such an amount. Ranks are among the names that
     pass. Score: 0.40, 0.35 and 0.25 times the ranks of histogram, momentum and
-    RSI.
+    RSI. Scores are ordered by nine digits, as equal sums of different ranks
+    differ in their last bit; the smaller instrument wins ties.
     """
     close = F.col("close")
     built = exponential_indicators(panel).withColumns(
@@ -125,7 +126,7 @@ def trend_signal(
         passed = passed.join(members.select("date", "instrument").distinct(), ["date", "instrument"], "left_semi")
     score = 0.40 * w.cs_rank(F.col("macd_hist")) + 0.35 * w.cs_rank(F.col("mom_20")) + 0.25 * w.cs_rank(F.col("rsi_14"))
     ranked = passed.withColumn("rank_score", score)
-    best = Window.partitionBy("date").orderBy(F.desc_nulls_last("rank_score"), "instrument")
+    best = Window.partitionBy("date").orderBy(F.desc_nulls_last(F.round("rank_score", 9)), "instrument")
     return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).select("date", "instrument", "rank_score", F.lit(weight).alias("weight"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.catalog import alpha158, sleeves
 from panelspark.functions.series import Stages
-from panelspark.operators import books, candidates, diagnostics, labels, models, quality, trading, universe
+from panelspark.operators import books, candidates, diagnostics, labels, models, quality, signals, trading, universe
 from panelspark.plans import factor_queries
 
 DAY = dt.date(2024, 1, 1)
@@ -192,3 +192,14 @@ def test_suspensions_are_counted(spark, panel):
     stopped = spark.createDataFrame([(1, day(1), "S"), (1, day(2), "R")], "instrument long, date date, suspend_type string")
     row = universe.suspension_counts(marked, universe.apply_suspensions(marked, stopped)).first()
     assert (row["marked"], row["cleared"]) == (1, 1)
+
+
+def test_trend_scores_that_are_equal_but_for_rounding_are_ties(spark, monkeypatch):
+    ranks = {1: (1, 3, 4), 2: (4, 1, 2), 3: (5, 5, 5), 4: (3, 4, 3), 5: (2, 2, 1)}  # of histogram, momentum and RSI; 1 and 2 have 0.49
+    one, two = (0.40 * (a / 5) + 0.35 * (b / 5) + 0.25 * (c / 5) for a, b, c in (ranks[1], ranks[2]))
+    assert one < two and round(one, 9) == round(two, 9)
+    rows = [(i, day(d), 100.0 + (m if d == 20 else 0), 0, 2.0, 1.0, 2.0, 1.0, float(h), 50.0 + s) for i, (h, m, s) in ranks.items() for d in range(21)]
+    panel = spark.createDataFrame(rows, "instrument long, date date, close double, st_status int, ema_20 double, ema_60 double, dif double, dea double, macd_hist double, rsi_14 double")
+    monkeypatch.setattr(signals, "exponential_indicators", lambda found: found)
+    picks = signals.trend_signal(panel, top=3, least_days=20).collect()
+    assert sorted(p["instrument"] for p in picks) == [1, 3, 4]
