@@ -203,3 +203,6 @@ def test_trend_scores_that_are_equal_but_for_rounding_are_ties(spark, monkeypatc
     monkeypatch.setattr(signals, "exponential_indicators", lambda found: found)
     picks = signals.trend_signal(panel, top=3, least_days=20).collect()
     assert sorted(p["instrument"] for p in picks) == [1, 3, 4]
+    members = panel.select("date", "instrument")  # all of them, some twice
+    picks = signals.trend_signal(panel, top=3, least_days=20, members=members.union(members.limit(30))).collect()
+    assert sorted(p["instrument"] for p in picks) == [1, 3, 4]
