@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import window as w
 from panelspark.functions import sqltext as q
 from panelspark.operators.rolling import KINDS, Rolling, with_rolling
+from panelspark.operators.sections import KINDS as SECTIONS, Section, with_sections
 
 #: Before rounding, values move away from zero by this share: what lies half-way then rounds alike in both engines.
 NUDGE = 1e-9
@@ -55,6 +56,11 @@ WINDOWS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
+def words(form: object) -> set[str]:
+    """The words of a call or Column, the columns that it reads among them."""
+    return set(re.findall(r"\w+", " ".join(map(str, (form.x, form.y) if isinstance(form, Rolling) else (form.x,) if isinstance(form, Section) else (form,)))))
+
+
 class Stages:
     """The projections that a set of formulas needs; equal parts are computed once.
 
@@ -87,20 +93,41 @@ class Stages:
         return Series(self, name if self.sql else F.col(name), x.key, x.level + 1, False)
 
     def frame(self, panel: DataFrame, factors: dict[str, Series], keys: tuple[str, ...] = ("instrument", "date"), digits: int | None = None) -> DataFrame:
-        """The keys and factors of a panel; infinities are NULL. One window sort by instrument and one by date a projection.
+        """The keys and factors of a panel; infinities are NULL.
 
-        Window calls that none of the factors asks for are left out.
+        Window calls that none of the factors asks for are left out. Calls over
+        histories, passes and calls over dates take turns, each with all that can
+        be computed by then, as every turn shuffles the panel. What a turn hands on
+        is what later ones need, and of finished factors themselves or their parts,
+        whichever are fewer.
         """
-        for level in self._asked([x.form for x in factors.values()]):
-            passed = {name: x for name, x in level.items() if isinstance(x, Rolling)}
-            panel = panel.withColumns({name: x for name, x in level.items() if name not in passed})
-            panel = with_rolling(panel, passed)
-        values = {name: w.finite(x.form.cast("double")) for name, x in factors.items()}
-        return panel.select(*keys, *[(v if digits is None else F.round(v + v * NUDGE, digits) + F.lit(0.0)).alias(name) for name, v in values.items()])
+        finite = {name: w.finite(x.form.cast("double")) for name, x in factors.items()}
+        values = {name: v if digits is None else F.round(v + v * NUDGE, digits) + F.lit(0.0) for name, v in finite.items()}
+        left = {name: form for level in self._asked([x.form for x in factors.values()]) for name, form in level.items()}
+        uses, wants = {name: words(form) for name, form in left.items()}, {name: words(x.form) for name, x in factors.items()}
+        places, made, turn = {name: f"f{i}_" for i, name in enumerate(factors)}, set(), ""
+        while left:
+            ready = {name: form for name, form in left.items() if not uses[name] & left.keys()}
+            kinds = {name: "pass" if isinstance(form, Rolling) else "date" if isinstance(form, Section) else "time" for name, form in left.items()}
+            before, turn = turn, min({kinds[name] for name in ready}, key=lambda kind: (kind != turn, ("time", "pass", "date").index(kind)))
+            if turn != before:
+                whole = [name for name in factors if name not in made and not wants[name] & left.keys()]
+                later = {*keys, "instrument", "date"}.union(*(uses[name] for name in left), *(wants[name] for name in factors if name not in made and name not in whole))
+                parts = set().union(*(wants[name] for name in whole)) & set(panel.columns) - later
+                ended = whole if len(whole) < len(parts) else []
+                chosen = [c for c in panel.columns if c in later or (c in parts and not ended)]
+                panel = panel.select(*chosen, *[places[name] for name in factors if name in made], *[values[name].alias(places[name]) for name in ended])
+                made.update(ended)
+            own = {name: form for name, form in ready.items() if kinds[name] == turn}
+            if turn == "date":  # ranks of ranks that are made in this turn
+                own |= {name: form for name, form in left.items() if kinds[name] == turn and str(form.x) in {str(F.col(of)) for of in own}}
+            panel = {"time": DataFrame.withColumns, "pass": with_rolling, "date": with_sections}[turn](panel, own)
+            left = {name: form for name, form in left.items() if name not in own}
+        return panel.select(*keys, *[(F.col(places[name]) if name in made else value).alias(name) for name, value in values.items()])
 
     def _asked(self, forms: list) -> list[dict[str, object]]:
         """The levels with the calls that the forms need, directly or through later calls."""
-        named = lambda form: set(re.findall(r"\bs\d+_\b", f"{form.x} {form.y}" if isinstance(form, Rolling) else str(form)))
+        named = lambda form: {word for word in words(form) if re.fullmatch(r"s\d+_", word)}
         needed, out = set().union(*map(named, forms)), []
         for level in reversed(self.levels):
             own = {name: form for name, form in level.items() if name in needed}
@@ -233,6 +260,8 @@ class Series:
             digits = self.stages.corr_digits if name in ("rolling_corr", "rolling_corr_zero") else None
             if not self.stages.sql and (name in ORDERED or (name in KINDS and n >= LONG)):
                 form = Rolling(name, base.form, n, next((a.form for a in others if isinstance(a, Series)), None), next((a for a in plain if isinstance(a, float)), None), digits)
+            elif not self.stages.sql and name in SECTIONS:
+                form = Section(name, base.form, *plain)
             else:
                 form = function(base.form, *plain)
                 if digits is not None:

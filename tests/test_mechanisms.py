@@ -7,7 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions import window as w
+from panelspark.functions.catalog import alpha191
+from panelspark.functions.series import Stages
 from panelspark.operators import gram, labels, models, rolling
+from panelspark.operators.sections import Section, with_sections
 
 DAY = dt.date(2024, 1, 1)
 
@@ -213,3 +217,34 @@ def test_a_laid_out_panel_needs_no_shuffle(spark):
         assert "SortMergeJoin" in joined and "Exchange" not in joined
     finally:
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+
+
+def test_sections_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    values = [None, float("nan"), -0.0, 0.0, *rng.normal(size=6).tolist()]
+    rows = [(i, None if d == 3 else d, values[rng.integers(len(values))], None if d == 2 else float(rng.integers(4))) for d in range(6) for i in range(1 if d == 4 else 50)]
+    panel = spark.createDataFrame(rows, "instrument long, date long, x double, y double").repartition(3)
+    calls = {"rx": Section("cs_rank", F.col("x")), "ry": Section("cs_rank", F.col("y")), "q": Section("cs_quantile", F.col("y"), 0.3), "again": Section("cs_rank", F.col("rx"))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = with_sections(panel, calls).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ranked = panel.withColumns({"rx": w.cs_rank(F.col("x")), "ry": w.cs_rank(F.col("y")), "q": w.cs_quantile(F.col("y"), 0.3)}).withColumn("again", w.cs_rank(F.col("rx")))
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, ranked.collect()))
+
+
+#: Shuffles of a catalogue whose panel lies anywhere; a turn of calls over histories, of passes or of dates takes one.
+TURNS = {
+    "alpha191_price": (lambda s: alpha191.price_alphas(s), 3),
+}
+
+
+@pytest.mark.parametrize("name", TURNS)
+def test_a_catalogue_shuffles_once_a_turn(spark, name):
+    formulas, most = TURNS[name]
+    columns = "open high low close vol amount turn pe_ttm dividend_yield_ratio total_market_cap float_market_cap index_weight tenure in_a in_b weight before weight_before star growth".split()
+    panel = spark.createDataFrame([], "instrument long, date date, st_status int, " + ", ".join(f"{c} double" for c in columns))
+    stages = Stages()
+    plan = stages.frame(panel, formulas(stages), digits=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= most
