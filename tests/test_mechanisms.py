@@ -237,6 +237,7 @@ def test_sections_equal_brute_force(spark):
 #: Shuffles of a catalogue whose panel lies anywhere; a turn of calls over histories, of passes or of dates takes one.
 TURNS = {
     "alpha191_price": (lambda s: alpha191.price_alphas(s), 3),
+    "alpha191_corr": (alpha191.correlation_alphas, 7),
 }
 
 
