@@ -12,6 +12,7 @@ from panelspark.functions.catalog import alpha191
 from panelspark.functions.series import Stages
 from panelspark.operators import gram, labels, models, rolling
 from panelspark.operators.sections import Section, with_sections
+from panelspark.plans import factor_queries, recursive_queries
 
 DAY = dt.date(2024, 1, 1)
 
@@ -238,6 +239,7 @@ def test_sections_equal_brute_force(spark):
 TURNS = {
     "alpha191_price": (lambda s: alpha191.price_alphas(s), 3),
     "alpha191_corr": (alpha191.correlation_alphas, 7),
+    "alpha191_corr_by_hand": (lambda s: {name: x for name, x in alpha191.correlation_alphas(s).items() if name in recursive_queries.CORR_COLUMNS}, 4),
 }
 
 
