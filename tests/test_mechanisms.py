@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
-from panelspark.functions.catalog import alpha191
+from panelspark.functions.catalog import alpha191, pack
 from panelspark.functions.series import Stages
 from panelspark.operators import gram, labels, models, rolling
 from panelspark.operators.sections import Section, with_sections
@@ -240,6 +240,7 @@ TURNS = {
     "alpha191_price": (lambda s: alpha191.price_alphas(s), 3),
     "alpha191_corr": (alpha191.correlation_alphas, 7),
     "alpha191_corr_by_hand": (lambda s: {name: x for name, x in alpha191.correlation_alphas(s).items() if name in recursive_queries.CORR_COLUMNS}, 4),
+    "pack_factors": (pack.canonical, 3),
 }
 
 
