@@ -242,6 +242,7 @@ TURNS = {
     "alpha191_corr_by_hand": (lambda s: {name: x for name, x in alpha191.correlation_alphas(s).items() if name in recursive_queries.CORR_COLUMNS}, 4),
     "pack_factors": (pack.canonical, 3),
     "sleeves_pool": (factor_queries.pool_sleeves, 4),
+    "sleeves_blended": (factor_queries.blended_sleeves, 3),
 }
 
 
