@@ -67,10 +67,12 @@ class Stages:
     corr_digits: rolling correlations are rounded to so many digits. A query
     sets it where its formulas rank correlations and two engines must see the
     same ties; by default nothing is rounded.
+    long: windows of so many rows or more go through the pass of operators.rolling,
+    which costs the same for any of them; a window function costs a step a row.
     """
 
-    def __init__(self, sql: bool = False, corr_digits: int | None = None) -> None:
-        self.sql, self.corr_digits = sql, corr_digits
+    def __init__(self, sql: bool = False, corr_digits: int | None = None, long: int = LONG) -> None:
+        self.sql, self.corr_digits, self.long = sql, corr_digits, long
         self.levels: list[dict[str, object]] = []
         self.names: dict[str, str] = {}
 
@@ -258,7 +260,7 @@ class Series:
             plain = [a.form if isinstance(a, Series) else a for a in others]
             n = next((a for a in reversed(plain) if isinstance(a, int)), 0)
             digits = self.stages.corr_digits if name in ("rolling_corr", "rolling_corr_zero") else None
-            if not self.stages.sql and (name in ORDERED or (name in KINDS and n >= LONG)):
+            if not self.stages.sql and (name in ORDERED or (name in KINDS and n >= self.stages.long)):
                 form = Rolling(name, base.form, n, next((a.form for a in others if isinstance(a, Series)), None), next((a for a in plain if isinstance(a, float)), None), digits)
             elif not self.stages.sql and name in SECTIONS:
                 form = Section(name, base.form, *plain)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
 from panelspark.functions.catalog import alpha158, alpha191, pack, sleeves
-from panelspark.functions.series import Series, Stages
+from panelspark.functions.series import LONG, Series, Stages
 from panelspark.operators import universe
 from panelspark.plans.catalogue import REGISTRY
 from panelspark.sources.panel import BARS_SQL, MEMBERSHIP_SQL, MONEYFLOW_SQL, bars, membership, moneyflow, with_sql
@@ -26,13 +26,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).join(moneyflow(spark, sf_dir), ["instrument", "date"], "left")
 
 
-def _catalogue(name: str, formulas: Callable[[Stages], dict[str, Series]], panel: Callable[[SparkSession, str], DataFrame], source: str, *parts: str, digits: int = 5, corr_digits: int | None = None) -> None:
+def _catalogue(name: str, formulas: Callable[[Stages], dict[str, Series]], panel: Callable[[SparkSession, str], DataFrame], source: str, *parts: str, digits: int = 5, corr_digits: int | None = None, long: int = LONG) -> None:
     text = Stages(sql=True, corr_digits=corr_digits)
     staged, select = text.text(source, formulas(text), digits)
 
     @REGISTRY.query(name, with_sql(BARS_SQL, *parts, *staged, select=select))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stages = Stages(corr_digits=corr_digits)
+        stages = Stages(corr_digits=corr_digits, long=long)
         return stages.frame(panel(spark, sf_dir), formulas(stages), digits=digits)
 
 
@@ -41,7 +41,7 @@ _catalogue("pack_factors", pack.canonical, bars, "bars")
 _catalogue("moneyflow_factors", pack.moneyflow, flows, "flows", MONEYFLOW_SQL, FLOWS_SQL)
 _catalogue("alpha158_candle", alpha158.candle, bars, "bars")
 _catalogue("alpha158_trend", lambda s: {k: x for n in alpha158.WINDOWS for k, x in alpha158.trend(s, n).items()}, timed, "timed", TIMED_SQL, digits=4)
-_catalogue("alpha158_flow", lambda s: {k: x for n in alpha158.WINDOWS for k, x in alpha158.flow(s, n).items()}, bars, "bars", digits=4)
+_catalogue("alpha158_flow", lambda s: {k: x for n in alpha158.WINDOWS for k, x in alpha158.flow(s, n).items()}, bars, "bars", digits=4, long=min(alpha158.WINDOWS))
 _catalogue("alpha191_price", alpha191.price_alphas, bars, "bars", digits=4)
 _catalogue("alpha191_corr", alpha191.correlation_alphas, bars, "bars", digits=4, corr_digits=6)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import window as w
-from panelspark.functions.catalog import alpha191, pack
+from panelspark.functions.catalog import alpha158, alpha191, pack
 from panelspark.functions.series import Stages
 from panelspark.operators import gram, labels, models, rolling
 from panelspark.operators.sections import Section, with_sections
@@ -254,3 +254,19 @@ def test_a_catalogue_shuffles_once_a_turn(spark, name):
     stages = Stages()
     plan = stages.frame(panel, formulas(stages), digits=4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most
+
+
+def test_flow_features_read_histories_in_a_pass(spark):
+    """A sliding window function costs a step for each of its rows; the pass does not."""
+    panel = spark.createDataFrame([(i, day(d), 10.0 + (7 * i + d * d) % 11, float(1 + (3 * i + d) % 5)) for i in range(2) for d in range(70)], "instrument long, date date, close double, vol double")
+    made = []
+    for long in (5, 100):
+        stages = Stages(long=long)
+        found = {k: x for n in (5, 60) for k, x in alpha158.flow(stages, n).items()}
+        made.append(stages.frame(panel, found, digits=4).orderBy("instrument", "date"))
+    slides = ["stddev_samp" in m._jdf.queryExecution().optimizedPlan().toString() for m in made]
+    assert slides == [False, True]
+    one, other = (m.toPandas().astype(float, errors="ignore") for m in made)
+    assert list(one.columns) == list(other.columns)
+    for name in one.columns[2:]:
+        assert np.allclose(one[name], other[name], atol=1e-9, equal_nan=True), name
