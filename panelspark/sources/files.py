@@ -49,12 +49,15 @@ def interface_drift(before: dict[str, DataFrame], now: dict[str, DataFrame]) ->
 
 
 def write_run_archive(runs: DataFrame, folder: str, per_file: int = 500) -> None:
-    """Runs as nested JSON, so many to a file about, each file an array over several lines."""
+    """Runs as nested JSON, so many to a file about, each file a compressed array over several lines.
+
+    Runs are dealt as they are and become text, which is several times as long, by file.
+    """
     parts = max(1, -(-runs.count() // per_file))
-    text = F.to_json(F.struct(*runs.columns), {"pretty": "true"})
-    dealt = runs.select(F.pmod(F.xxhash64("run_id"), F.lit(parts)).alias("part"), text.alias("run"))
-    whole = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("run")), ",\n"), F.lit("]"))
-    dealt.groupBy("part").agg(whole.alias("value")).write.partitionBy("part").text(folder)
+    dealt = runs.select(F.pmod(F.xxhash64("run_id"), F.lit(parts)).alias("part"), F.struct(*runs.columns).alias("run"))
+    texts = F.transform(F.collect_list("run"), lambda run: F.to_json(run, {"pretty": "true"}))
+    whole = F.concat(F.lit("["), F.array_join(F.sort_array(texts), ",\n"), F.lit("]"))
+    dealt.groupBy("part").agg(whole.alias("value")).write.partitionBy("part").option("compression", "gzip").text(folder)
 
 
 def read_run_archive(spark: SparkSession, pattern: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.operators import experts
 from panelspark.sources import files
@@ -113,3 +114,13 @@ print("rows", e.queries()["ewm_mean"](spark, "/root/testdata/sf0.001").count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows " in done.stdout, done.stderr[-2000:]
+
+
+def test_a_run_archive_is_written_compressed(spark, tmp_path):
+    runs = spark.range(40).select(F.col("id").alias("run_id"), F.array(F.struct((F.col("id") * 1.5).alias("equity"))).alias("equity_curve"), F.when(F.col("id") > 3, F.lit("x")).alias("note"))
+    files.write_run_archive(runs, str(tmp_path / "a"), per_file=10)
+    written = list((tmp_path / "a").rglob("part-*"))
+    assert written and all(f.suffix == ".gz" for f in written)
+    found, curve = files.read_run_archive(spark, str(tmp_path / "a"), "run_id bigint, note string, equity_curve array<struct<equity: double>>")
+    assert sorted((r["run_id"], r["note"]) for r in found.collect()) == [(i, "x" if i > 3 else None) for i in range(40)]
+    assert sorted(map(tuple, curve.collect())) == [(i, i * 1.5) for i in range(40)]
