@@ -243,6 +243,7 @@ TURNS = {
     "pack_factors": (pack.canonical, 3),
     "sleeves_pool": (factor_queries.pool_sleeves, 4),
     "sleeves_blended": (factor_queries.blended_sleeves, 3),
+    "sleeves_index": (factor_queries.index_sleeves, 4),
 }
 
 
@@ -270,3 +271,13 @@ def test_flow_features_read_histories_in_a_pass(spark):
     assert list(one.columns) == list(other.columns)
     for name in one.columns[2:]:
         assert np.allclose(one[name], other[name], atol=1e-9, equal_nan=True), name
+
+
+def test_legs_hand_on_fewer_columns_than_sleeves(spark):
+    """What a shuffle carries: the keys, and of formulas and their parts the fewer."""
+    columns = "open high low close vol amount turn pe_ttm dividend_yield_ratio total_market_cap float_market_cap index_weight tenure".split()
+    panel = spark.createDataFrame([], "instrument long, date date, st_status int, " + ", ".join(f"{c} double" for c in columns))
+    stages = Stages()
+    plan = stages.frame(panel, factor_queries.index_sleeves(stages), digits=4)._jdf.queryExecution().optimizedPlan()
+    passed = [node for node in plan.toString().splitlines() if "MapInArrow" in node]
+    assert passed and not any("open#" in node or "vol#" in node for node in passed)
