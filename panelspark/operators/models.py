@@ -42,6 +42,12 @@ def regressor(kind: str, rows: int = 1, spread: float = 1.0, alpha: float | None
     return kinds[kind]()
 
 
+def computed_once(panel: DataFrame, *columns: str) -> DataFrame:
+    """The columns of a panel, computed and laid down in the shared folder, for jobs that read it more than once."""
+    shared_folder(panel.sparkSession)
+    return panel.select(*columns).checkpoint(eager=True)
+
+
 def training_rows(panel: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
     """Rows with all features and a label, as features vector and label."""
     whole = panel.dropna(subset=[*features, label]).withColumn("label", F.col(label))

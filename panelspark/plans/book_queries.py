@@ -276,7 +276,7 @@ FEATURES = ("momentum_5", "turn", "pe_ttm", "dividend_yield_ratio")
 def _model(name: str, kind: str) -> None:
     @REGISTRY.query(name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        panel = scored(spark, sf_dir)
+        panel = models.computed_once(scored(spark, sf_dir), "instrument", "date", *FEATURES, "label")
         split = F.col("date") < F.lit("1997-01-01").cast("date")
         cut = labels.embargoed(panel, calendar(panel), "1997-01-01", hold=2)
         return models.fit_predict(cut, panel.where(~split), FEATURES, "label", kind)

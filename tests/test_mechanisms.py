@@ -12,7 +12,7 @@ from panelspark.functions.catalog import alpha158, alpha191, pack
 from panelspark.functions.series import Stages
 from panelspark.operators import gram, labels, models, rolling
 from panelspark.operators.sections import Section, with_sections
-from panelspark.plans import factor_queries, recursive_queries
+from panelspark.plans import REGISTRY, factor_queries, recursive_queries
 
 DAY = dt.date(2024, 1, 1)
 
@@ -281,3 +281,9 @@ def test_legs_hand_on_fewer_columns_than_sleeves(spark):
     plan = stages.frame(panel, factor_queries.index_sleeves(stages), digits=4)._jdf.queryExecution().optimizedPlan()
     passed = [node for node in plan.toString().splitlines() if "MapInArrow" in node]
     assert passed and not any("open#" in node or "vol#" in node for node in passed)
+
+
+@pytest.mark.parametrize("name", ["ml_huber"])
+def test_a_model_reads_its_panel_from_where_it_is_laid_down(spark, name):
+    plan = REGISTRY.queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()
