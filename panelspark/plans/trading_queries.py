@@ -287,6 +287,8 @@ def rows_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("ml_boosted_ranking")
 def ml_boosted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on the 20-bin label; validation rows stop them early."""
-    split = trading.three_way(scored(spark, sf_dir), "1992-01-01", "1995-12-31", "1996-12-31", "1998-12-31")
+    features = ("momentum_5", "turn", "pe_ttm", "dividend_yield_ratio")
+    panel = models.computed_once(scored(spark, sf_dir), *KEYS, *features, "label")
+    split = trading.three_way(panel, "1992-01-01", "1995-12-31", "1996-12-31", "1998-12-31")
     part = {name: split.where(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
-    return models.boosted_ranking(part["train"], part["validation"], part["test"], ("momentum_5", "turn", "pe_ttm", "dividend_yield_ratio"), "label")
+    return models.boosted_ranking(part["train"], part["validation"], part["test"], features, "label")

@@ -283,7 +283,7 @@ def test_legs_hand_on_fewer_columns_than_sleeves(spark):
     assert passed and not any("open#" in node or "vol#" in node for node in passed)
 
 
-@pytest.mark.parametrize("name", ["ml_huber"])
+@pytest.mark.parametrize("name", ["ml_huber", "ml_boosted_ranking"])
 def test_a_model_reads_its_panel_from_where_it_is_laid_down(spark, name):
     plan = REGISTRY.queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower()
